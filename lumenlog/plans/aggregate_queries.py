@@ -9,7 +9,7 @@ from lumenlog.operators import aggregates as a
 from lumenlog.operators import normalize as n
 from lumenlog.plans.oracle_views import log_type_sql, present
 from lumenlog.plans.registry import query, r, rounded
-from lumenlog.plans.shapes import normalized
+from lumenlog.plans.shapes import unified
 
 ALL = 24 * 31  # hours: the whole data set
 SINCE = "log_date BETWEEN DATE '2023-12-31' AND DATE '2024-01-31' AND event_timestamp >= TIMESTAMP '2023-12-31 00:00:00'"
@@ -105,12 +105,12 @@ def _hourly_sql(where: str) -> str:
 
 @query("services_hourly", _hourly_sql("log_date IS NOT NULL"))
 def _(c):
-    return rounded(a.services_hourly(normalized(c)), "avg_latency_ms")
+    return rounded(a.services_hourly(unified(c)), "avg_latency_ms")
 
 
 @query("services_hourly_requests", _hourly_sql("log_date IS NOT NULL AND (http_latency_ms IS NOT NULL OR is_request)"))
 def _(c):
-    return rounded(a.services_hourly(normalized(c), requests_only=True), "avg_latency_ms")
+    return rounded(a.services_hourly(unified(c), requests_only=True), "avg_latency_ms")
 
 
 ENDPOINTS = """SELECT service_name, request_url, status, count(*) AS error_count, min(event_timestamp) AS first_seen, max(event_timestamp) AS last_seen

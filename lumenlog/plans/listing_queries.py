@@ -9,7 +9,7 @@ from lumenlog.operators import listing as q
 from lumenlog.operators import normalize as n
 from lumenlog.plans.oracle_views import level_sql, log_type_sql, present
 from lumenlog.plans.registry import query
-from lumenlog.plans.shapes import enveloped, typed_logs
+from lumenlog.plans.shapes import typed_logs, unified
 
 WEEK = "log_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-31' AND event_timestamp >= TIMESTAMP '2024-01-24 00:00:00'"
 LISTED = f"""log_id, event_timestamp, severity, service_name, source_table AS source_log_name, message, source_table, stream_id, trace_id, span_id,
@@ -47,7 +47,7 @@ def _(c):
     ),
 )
 def _(c):
-    return q.list_logs_envelope(enveloped(c), q.ListParams(limit=100, hours=168, search="sessions"), AS_OF)
+    return q.list_logs_envelope(unified(c), q.ListParams(limit=100, hours=168, search="sessions"), AS_OF)
 
 
 @query(
@@ -150,7 +150,7 @@ FACT = [x for x in q.FACT_COLUMNS if x not in ("universal_envelope", "error_grou
     f"SELECT {', '.join(FACT)}, coalesce(correlation_request_id, operation_id, trace_id) AS correlation_id, 'logs' AS source_system, 'envelope_logs' AS source_view FROM o_normal WHERE log_date IS NOT NULL",
 )
 def _(c):
-    return q.fact_logs(enveloped(c)).drop("universal_envelope")
+    return q.fact_logs(unified(c)).drop("universal_envelope")
 
 
 @query(

@@ -21,7 +21,7 @@ from lumenlog.plans.oracle_views import (
     present,
 )
 from lumenlog.plans.registry import query
-from lumenlog.plans.shapes import enveloped, normalized
+from lumenlog.plans.shapes import enveloped, normalized, unified
 
 MAP = "map<string,string>"
 
@@ -190,7 +190,7 @@ QUICK_FROM = "FROM (SELECT *, lower(coalesce(message, '')) AS t, lower(coalesce(
 
 @query("quick_classify", f"SELECT log_id, {QUICK} AS category {QUICK_FROM}")
 def _(c):
-    rows = normalized(c)
+    rows = unified(c)
     return rows.select("log_id", n.quick_category(rows).alias("category"))
 
 
@@ -208,7 +208,7 @@ def _(c):
 
 @query("classify_or_other", f"SELECT log_id, coalesce({QUICK}, 'other') AS message_category, {present('message_summary', 'substr(message, 1, 200)')} AS message_summary {QUICK_FROM}")
 def _(c):
-    return n.classify_or_other(normalized(c)).select("log_id", "message_category", "message_summary")
+    return n.classify_or_other(unified(c)).select("log_id", "message_category", "message_summary")
 
 
 NORMAL_COLUMNS = """log_id insert_id event_timestamp receive_timestamp etl_timestamp severity severity_level log_type source_dataset source_table source_log_name stream_id
@@ -379,7 +379,7 @@ def _(c):
 )
 def _(c):
     key = n.error_fingerprint("service_name", "http_method", "http_url", "http_status", "message", "json_payload")
-    return normalized(c).select("log_id", key.alias("error_fingerprint"))
+    return unified(c).select("log_id", key.alias("error_fingerprint"))
 
 
 ALERT_TEXT = f"""SELECT log_id, severity || ' | ' || coalesce(service_name, 'unknown') || ' | ' ||

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.adapters import Tables
-from lumenlog.operators import normalize
+from lumenlog.operators import mappings, normalize
+from lumenlog.session import scratch_path
+from lumenlog.sources.io import write_clustered
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def typed_logs(c: Tables) -> DataFrame:
@@ -15,8 +19,106 @@ def typed_logs(c: Tables) -> DataFrame:
 
 
 def normalized(c: Tables) -> DataFrame:
+    """Unified rows computed from the raw records."""
     return normalize.normalize_logs(c.records)
 
 
 def enveloped(c: Tables) -> DataFrame:
     return normalize.envelope(normalized(c))
+
+
+def unified(c: Tables) -> DataFrame:
+    """The stored unified table: partitioned by day, clustered, with the envelope.
+
+    Written once per session and data folder; the queries over it then read only the columns and days they need instead of
+    parsing every payload again.
+    """
+    key = (c.spark.sparkContext.applicationId, c.sf_dir)
+    if key not in _STORED:
+        path = scratch_path(c.spark, "unified")
+        write_clustered(enveloped(c), path, "log_date", ["severity", "service_name", "resource_type"], spread="log_id")
+        _STORED[key] = path
+    return c.spark.read.parquet(_STORED[key])
+
+
+# Which events a raw sink holds.
+SINK_KINDS = {
+    "activity": "purchase",
+    "data_access": "purchase",
+    "system_event": "signup",
+    "stdout": "view",
+    "stderr": "error",
+    "requests": "click",
+    "varlog": "view",
+    "syslog": "error",
+    "build": "signup",
+    "insights": "error",
+    "scheduler": "click",
+}
+
+
+def raw_sink(c: Tables, name: str) -> DataFrame:
+    """A raw sink table with the nested columns it has in the field; sinks differ in their columns."""
+    flat = c.raw_flat.filter(F.col("sink_kind") == SINK_KINDS[name])
+
+    def resource(**labels: str):
+        return F.struct(F.col("resource_type").alias("type"), F.struct(*[F.col(v).alias(k) for k, v in labels.items()]).alias("labels")).alias("resource")
+
+    common = [
+        F.col("ts").alias("timestamp"),
+        "severity",
+        F.col("receive_ts").alias("receiveTimestamp"),
+        "trace",
+        F.col("span_id").alias("spanId"),
+    ]
+    native = [F.col("insert_id").alias("insertId"), F.col("log_name").alias("logName"), F.col("trace_sampled").alias("traceSampled")]
+    text = F.col("text_payload").alias("textPayload")
+    payload = F.struct(F.col("json_message").alias("message")).alias("jsonPayload")
+    audit = F.struct(F.col("audit_service").alias("serviceName"), F.col("method_name").alias("methodName")).alias("protopayload_auditlog")
+    columns = {
+        "activity": [
+            *native,
+            resource(service_name="svc", module_id="build_id", project_id="project_id"),
+            F.struct(F.col("method_name").alias("methodName"), F.struct(F.col("json_message").alias("message")).alias("response")).alias("protoPayload"),
+        ],
+        "data_access": [*native, resource(project_id="project_id"), audit],
+        "system_event": [*native, resource(project_id="project_id"), audit],
+        "stdout": [resource(service_name="svc", project_id="project_id"), text, payload],
+        "stderr": [resource(service_name="svc", project_id="project_id"), text, payload],
+        "requests": [
+            *native,
+            resource(service_name="svc"),
+            F.struct(F.col("http_method").alias("requestMethod"), F.col("http_url").alias("requestUrl")).alias("httpRequest"),
+        ],
+        "varlog": [resource(service_name="svc"), text],
+        "syslog": [text, payload],
+        "build": [*native, resource(build_id="build_id"), text],
+        "insights": [
+            *native,
+            resource(project_id="project_id"),
+            text,
+            F.struct(
+                F.col("json_message").alias("message"),
+                F.struct(F.col("method_name").alias("message")).alias("exceptioninfo"),
+                F.struct(F.col("audit_service").alias("message")).alias("errorevent"),
+            ).alias("jsonpayload_v1beta1_insight"),
+        ],
+        "scheduler": [
+            *native,
+            resource(job_id="build_id"),
+            text,
+            F.when(F.col("phase") < 2, F.struct(F.col("job_id").alias("jobname"))).alias("jsonpayload_logging_attemptstarted"),
+            F.when(F.col("phase").isin(2, 3), F.struct(F.col("job_id").alias("jobname"), F.col("project_id").alias("status"))).alias(
+                "jsonpayload_logging_attemptfinished"
+            ),
+        ],
+    }
+    return flat.select(*common, *columns[name])
+
+
+def raw_sinks(c: Tables) -> dict[str, DataFrame]:
+    return {name: raw_sink(c, name) for name in SINK_KINDS}
+
+
+def canonical(c: Tables) -> DataFrame:
+    return mappings.canonical(raw_sinks(c))
