@@ -268,6 +268,49 @@ SELECT event_id, ts, event_type, user_id, value,
 FROM events
 """
 
+# Raw log records with their payloads as JSON texts.
+ADAPTERS["records"] = r"""
+SELECT CAST(event_id AS STRING) AS log_id, 'ins-' || CAST(event_id AS STRING) AS insert_id,
+       ts AS event_timestamp, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + (user_id % 7) * INTERVAL '1' SECOND END AS receive_timestamp,
+       ts + INTERVAL '2' MINUTE AS etl_timestamp, 'v1' AS etl_version,
+       CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'NOTICE' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS severity,
+       'central' AS source_dataset,
+       CASE event_type WHEN 'click' THEN 'run_googleapis_com_requests' WHEN 'view' THEN 'run_googleapis_com_stdout'
+            WHEN 'error' THEN 'run_googleapis_com_stderr' WHEN 'purchase' THEN 'cloudaudit_googleapis_com_activity' ELSE 'cloudbuild' END AS source_table,
+       'projects/p1/logs/' || event_type AS source_log_name,
+       'logs_v1.' || event_type AS stream_id,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'cloud_run_revision' END AS resource_type,
+       '{"project_id":"proj-' || CAST(user_id % 6 AS STRING) || '","region":"' || CASE WHEN user_id % 2 = 0 THEN '' ELSE 'r1' END || '","zone":"z' || CAST(user_id % 3 AS STRING) ||
+         '","service_name":"' || CASE WHEN user_id % 8 = 0 THEN '' ELSE 'svc-' || CAST(user_id % 5 AS STRING) || CASE user_id % 4 WHEN 0 THEN '-dev' WHEN 1 THEN '_staging' WHEN 2 THEN '-test' ELSE '' END END ||
+         '","job_name":"' || CASE WHEN user_id % 16 = 0 THEN 'job-7' ELSE '' END || '","revision_name":"rev-' || CAST(user_id % 3 AS STRING) || '"}' AS resource_labels,
+       CASE WHEN event_id % 41 = 0 THEN '{bad' WHEN event_id % 43 = 0 THEN NULL
+            ELSE '{"env":"' || CASE user_id % 3 WHEN 0 THEN 'dev' ELSE '' END || '","tenant_id":"t' || CAST(user_id % 4 AS STRING) ||
+                 '","request_id":"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE 'r-' || CAST(event_id % 500 AS STRING) END || '"}' END AS labels,
+       '{"tag":"g' || CAST(user_id % 3 AS STRING) || '","team":"core"}' AS user_labels,
+       CASE WHEN event_type = 'error' AND value < 50 THEN 'ValueError: bad value ' || CAST(CAST(floor(value) AS INT) AS STRING) || chr(10) || 'at line 3'
+            WHEN event_type = 'error' THEN 'request failed: host 10.0.' || CAST(user_id % 9 AS STRING) || '.' || CAST(event_id % 200 AS STRING)
+            WHEN event_type = 'signup' THEN 'login user' || CAST(user_id AS STRING) || '@example.org token=' || substr(md5(CAST(event_id AS STRING)), 1, 8)
+            WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'debug counter ' || CAST(CAST(floor(value) AS INT) AS STRING)
+            WHEN event_type = 'view' THEN '' END AS text_payload,
+       CASE WHEN event_id % 10 = 0 THEN '{}' WHEN event_id % 9 = 0 THEN NULL
+            WHEN event_type = 'view' THEN '{"message":"m' || CAST(event_id AS STRING) || ' user_id=' || CAST(user_id AS STRING) || '","level":"' || CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'nope' ELSE 'info' END || '"}'
+            WHEN event_type = 'click' THEN '{"error":"E' || CAST(event_id % 7 AS STRING) || '","session_id":"s' || CAST(user_id AS STRING) || '","chat_id":"c' || CAST(user_id % 9 AS STRING) || '"}'
+            END AS json_payload,
+       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN '{"methodName":"m.build","serviceName":"builder","status":{"code":3,"message":"BAD_ARGUMENT"}}' END AS proto_payload,
+       CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN '{"serviceName":"store","methodName":"m.buy","status":{"code":7,"message":"PERMISSION_DENIED"},"requestMetadata":{"callerIp":"10.1.2.' || CAST(user_id % 200 AS STRING) || '","callerNetwork":"n1"},"authenticationInfo":{"principalEmail":"u' || CAST(user_id AS STRING) || '@example.org","principalSubject":"user"}}'
+            WHEN event_type = 'purchase' THEN '{"methodName":"m.read"}' END AS audit_payload,
+       CASE WHEN event_type = 'click' THEN '{"requestMethod":"' || CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END || '","requestUrl":"/api/sessions/' || CAST(user_id % 7 AS STRING) ||
+            '","status":' || CASE WHEN value > 150 THEN '503' WHEN value > 100 THEN '404' ELSE '200' END || ',"userAgent":"ua-' || CAST(user_id % 3 AS STRING) || '","remoteIp":"192.168.0.' || CAST(user_id % 100 AS STRING) ||
+            '","latency":' || CASE WHEN event_id % 5 = 0 THEN CAST(CAST(floor(value * 10) AS INT) AS STRING) WHEN event_id % 7 = 0 THEN '"xs"'
+                 ELSE '"' || CAST(CAST(floor(value * 10) AS INT) AS STRING) || 's"' END || ',"requestSize":' || CAST(event_id % 900 AS STRING) || ',"responseSize":' || CAST(event_id % 5000 AS STRING) || '}' END AS http_request,
+       CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'projects/p1/traces/' || md5(CAST(user_id AS STRING) || '-' || CAST(date_trunc('HOUR', ts) AS STRING)) ELSE md5(CAST(user_id AS STRING)) END AS trace,
+       substr(md5(CAST(event_id AS STRING)), 1, 16) AS span_id, event_id % 2 = 0 AS trace_sampled,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE substr(md5(CAST(event_id - 1 AS STRING)), 1, 16) END AS parent_span_id,
+       CASE WHEN event_id % 6 = 0 THEN '{"id":"op-' || CAST(event_id % 50 AS STRING) || '","producer":"p","first":true,"last":false}' END AS operation,
+       CASE WHEN event_type = 'error' THEN '{"file":"app.py","line":' || CAST(event_id % 400 AS STRING) || ',"function":"run"}' END AS source_location
+FROM events
+"""
+
 _FROM = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)", re.I)
 
 
@@ -300,23 +343,27 @@ def with_adapters(sql: str, extra: str = "") -> str:
 
 
 class Tables:
-    """Base tables and adapter views of one data folder as lazy DataFrames."""
+    """Base tables and adapter views of one data folder as lazy DataFrames; each is resolved once per instance."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        if table not in self._frames:
+            self._frames[table] = self.spark.read.parquet(self.path(table))
+        return self._frames[table]
 
     def sql(self, text: str) -> DataFrame:
         """Run a portable text over the adapters and base tables it names."""
-        expanded = with_adapters(text)
-        used = {name for name in _FROM.findall(expanded) if name in BASE_TABLES}
-        tables = ",\n".join(f"{name} AS (SELECT * FROM parquet.`{self.path(name)}`)" for name in sorted(used))
+        used = sorted({name for name in _FROM.findall(with_adapters(text)) if name in BASE_TABLES})
+        for name in used:
+            self.base(name).createOrReplaceTempView(f"lumenlog_{name}")
+        tables = ",\n".join(f"{name} AS (SELECT * FROM lumenlog_{name})" for name in used)
         return self.spark.sql(with_adapters(text, extra=tables))
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -325,49 +372,7 @@ class Tables:
         if name in BASE_TABLES:
             return self.base(name)
         if name in ADAPTERS:
-            return self.sql(f"SELECT * FROM {name}")
+            if name not in self._frames:
+                self._frames[name] = self.sql(f"SELECT * FROM {name}")
+            return self._frames[name]
         raise AttributeError(name)
-
-
-# Raw log records with their payloads as JSON texts.
-ADAPTERS["records"] = r"""
-SELECT CAST(event_id AS STRING) AS log_id, 'ins-' || CAST(event_id AS STRING) AS insert_id,
-       ts AS event_timestamp, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + (user_id % 7) * INTERVAL '1' SECOND END AS receive_timestamp,
-       ts + INTERVAL '2' MINUTE AS etl_timestamp, 'v1' AS etl_version,
-       CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'NOTICE' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS severity,
-       'central' AS source_dataset,
-       CASE event_type WHEN 'click' THEN 'run_googleapis_com_requests' WHEN 'view' THEN 'run_googleapis_com_stdout'
-            WHEN 'error' THEN 'run_googleapis_com_stderr' WHEN 'purchase' THEN 'cloudaudit_googleapis_com_activity' ELSE 'cloudbuild' END AS source_table,
-       'projects/p1/logs/' || event_type AS source_log_name,
-       'logs_v1.' || event_type AS stream_id,
-       CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'cloud_run_revision' END AS resource_type,
-       '{"project_id":"proj-' || CAST(user_id % 6 AS STRING) || '","region":"' || CASE WHEN user_id % 2 = 0 THEN '' ELSE 'r1' END || '","zone":"z' || CAST(user_id % 3 AS STRING) ||
-         '","service_name":"' || CASE WHEN user_id % 8 = 0 THEN '' ELSE 'svc-' || CAST(user_id % 5 AS STRING) || CASE user_id % 4 WHEN 0 THEN '-dev' WHEN 1 THEN '_staging' WHEN 2 THEN '-test' ELSE '' END END ||
-         '","job_name":"' || CASE WHEN user_id % 16 = 0 THEN 'job-7' ELSE '' END || '","revision_name":"rev-' || CAST(user_id % 3 AS STRING) || '"}' AS resource_labels,
-       CASE WHEN event_id % 41 = 0 THEN '{bad' WHEN event_id % 43 = 0 THEN NULL
-            ELSE '{"env":"' || CASE user_id % 3 WHEN 0 THEN 'dev' ELSE '' END || '","tenant_id":"t' || CAST(user_id % 4 AS STRING) ||
-                 '","request_id":"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE 'r-' || CAST(event_id % 500 AS STRING) END || '"}' END AS labels,
-       '{"tag":"g' || CAST(user_id % 3 AS STRING) || '","team":"core"}' AS user_labels,
-       CASE WHEN event_type = 'error' AND value < 50 THEN 'ValueError: bad value ' || CAST(CAST(floor(value) AS INT) AS STRING) || chr(10) || 'at line 3'
-            WHEN event_type = 'error' THEN 'request failed: host 10.0.' || CAST(user_id % 9 AS STRING) || '.' || CAST(event_id % 200 AS STRING)
-            WHEN event_type = 'signup' THEN 'login user' || CAST(user_id AS STRING) || '@example.org token=' || substr(md5(CAST(event_id AS STRING)), 1, 8)
-            WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'debug counter ' || CAST(CAST(floor(value) AS INT) AS STRING)
-            WHEN event_type = 'view' THEN '' END AS text_payload,
-       CASE WHEN event_id % 10 = 0 THEN '{}' WHEN event_id % 9 = 0 THEN NULL
-            WHEN event_type = 'view' THEN '{"message":"m' || CAST(event_id AS STRING) || ' user_id=' || CAST(user_id AS STRING) || '","level":"' || CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'nope' ELSE 'info' END || '"}'
-            WHEN event_type = 'click' THEN '{"error":"E' || CAST(event_id % 7 AS STRING) || '","session_id":"s' || CAST(user_id AS STRING) || '","chat_id":"c' || CAST(user_id % 9 AS STRING) || '"}'
-            END AS json_payload,
-       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN '{"methodName":"m.build","serviceName":"builder","status":{"code":3,"message":"BAD_ARGUMENT"}}' END AS proto_payload,
-       CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN '{"serviceName":"store","methodName":"m.buy","status":{"code":7,"message":"PERMISSION_DENIED"},"requestMetadata":{"callerIp":"10.1.2.' || CAST(user_id % 200 AS STRING) || '","callerNetwork":"n1"},"authenticationInfo":{"principalEmail":"u' || CAST(user_id AS STRING) || '@example.org","principalSubject":"user"}}'
-            WHEN event_type = 'purchase' THEN '{"methodName":"m.read"}' END AS audit_payload,
-       CASE WHEN event_type = 'click' THEN '{"requestMethod":"' || CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END || '","requestUrl":"/api/sessions/' || CAST(user_id % 7 AS STRING) ||
-            '","status":' || CASE WHEN value > 150 THEN '503' WHEN value > 100 THEN '404' ELSE '200' END || ',"userAgent":"ua-' || CAST(user_id % 3 AS STRING) || '","remoteIp":"192.168.0.' || CAST(user_id % 100 AS STRING) ||
-            '","latency":' || CASE WHEN event_id % 5 = 0 THEN CAST(CAST(floor(value * 10) AS INT) AS STRING) WHEN event_id % 7 = 0 THEN '"xs"'
-                 ELSE '"' || CAST(CAST(floor(value * 10) AS INT) AS STRING) || 's"' END || ',"requestSize":' || CAST(event_id % 900 AS STRING) || ',"responseSize":' || CAST(event_id % 5000 AS STRING) || '}' END AS http_request,
-       CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'projects/p1/traces/' || md5(CAST(user_id AS STRING) || '-' || CAST(date_trunc('HOUR', ts) AS STRING)) ELSE md5(CAST(user_id AS STRING)) END AS trace,
-       substr(md5(CAST(event_id AS STRING)), 1, 16) AS span_id, event_id % 2 = 0 AS trace_sampled,
-       CASE WHEN event_id % 4 = 0 THEN NULL ELSE substr(md5(CAST(event_id - 1 AS STRING)), 1, 16) END AS parent_span_id,
-       CASE WHEN event_id % 6 = 0 THEN '{"id":"op-' || CAST(event_id % 50 AS STRING) || '","producer":"p","first":true,"last":false}' END AS operation,
-       CASE WHEN event_type = 'error' THEN '{"file":"app.py","line":' || CAST(event_id % 400 AS STRING) || ',"function":"run"}' END AS source_location
-FROM events
-"""

@@ -226,11 +226,11 @@ def trace_connectivity(per_system: DataFrame, cross: DataFrame) -> DataFrame:
         F.col("total_events").cast("string").alias("value"),
         F.concat(
             F.lit("Traces: "), "unique_traces", F.lit(", Users: "), "unique_users", F.lit(", Error Rate: "),
-            F.format_number(F.floor(F.col("error_rate") * 10000 + 0.5) / 100, "0.00"), F.lit("%"),
+            F.format_string("%.2f", F.floor(F.col("error_rate") * 10000 + 0.5) / 100), F.lit("%"),
         ).alias("details"),
     )
     multi = cross.agg(F.count("*").alias("n"), F.avg("systems_in_trace").alias("avg"), F.count_distinct("systems_list").alias("combos"))
-    average = F.format_number(F.floor(F.coalesce("avg", F.lit(0.0)) * 10 + 0.5) / 10, "0.0")
+    average = F.format_string("%.1f", F.floor(F.coalesce("avg", F.lit(0.0)) * 10 + 0.5) / 10)
     reach = F.explode(
         F.array(
             F.struct(F.lit("Multi-system traces").alias("metric_name"), F.col("n").cast("string").alias("value"), F.concat(F.lit("Avg systems per trace: "), average).alias("details")),
@@ -246,7 +246,7 @@ def integrity_checks(logs: DataFrame, assets: DataFrame, jobs: DataFrame) -> Dat
     l = logs.agg(F.count("*").alias("n"), F.count("log_id").alias("ids"), F.count("trace_id").alias("traces"))  # noqa: E741
     share = F.try_divide(F.col("traces"), F.col("n"))
     ids = F.when(F.col("n") == F.col("ids"), ALL_LOG_IDS).otherwise(F.concat(F.lit("❌ Missing log_ids: "), F.col("n") - F.col("ids")))
-    low = F.concat(F.lit("⚠️ Low trace coverage: "), F.format_number(F.floor(share * 1000 + 0.5) / 10, "0.0"), F.lit("%"))
+    low = F.concat(F.lit("⚠️ Low trace coverage: "), F.format_string("%.1f", F.floor(share * 1000 + 0.5) / 10), F.lit("%"))
     coverage = F.when(share >= 0.8, GOOD_TRACES).otherwise(low)
     log_rows = F.explode(
         F.array(

@@ -131,12 +131,12 @@ NAMES = "(SELECT unnest(['fact_logs', 'bq_jobs_daily', 'tool_invocations', 'stg_
     "freshness",
     f"""SELECT n.name AS table_name, count(m.d) AS row_count, max(m.d) AS latest_date, CAST(DATE '2024-01-31' - max(m.d) AS INTEGER) AS days_old,
         CASE WHEN DATE '2024-01-31' - max(m.d) <= 1 THEN '✅ Fresh' WHEN DATE '2024-01-31' - max(m.d) <= 7 THEN '⚠️ Stale' ELSE '❌ Very Old' END AS freshness_status
-        FROM {NAMES} LEFT JOIN {MARTS} ON n.name = m.name AND m.d >= DATE '2024-01-31' - 10000 GROUP BY 1""",
+        FROM {NAMES} LEFT JOIN {MARTS} ON n.name = m.name AND m.d >= DATE '2024-01-31' - 20000 GROUP BY 1""",
 )
 def _(c):
     tools, assets = _marts(c)
     marts = {"fact_logs": (c.logs, "log_date"), "bq_jobs_daily": (c.jobs, "dt"), "tool_invocations": (tools, "invocation_date"), "stg_asset_inventory": (assets, "fetched_date")}
-    return q.freshness(marts, AS_OF, 10000)
+    return q.freshness(marts, AS_OF, 20000)
 
 
 @query(
@@ -149,7 +149,7 @@ def _(c):
 def _(c):
     tools, _assets = _marts(c)
     marts = {"fact_logs": (c.logs, "log_date"), "bq_jobs_daily": (c.jobs, "dt"), "tool_invocations": (tools, "invocation_date")}
-    return rounded(q.partition_skew(marts, AS_OF, 10000), "avg_rows_per_partition", "stddev_rows")
+    return rounded(q.partition_skew(marts, AS_OF, 20000), "avg_rows_per_partition", "stddev_rows")
 
 
 def _cluster_sql(name: str, table: str, *keys: str) -> str:
@@ -227,7 +227,7 @@ def _(c):
         "Agent": (tools, "tool_name", "invocation_date"),
         "Enterprise": (assets, "asset_type", "fetched_date"),
     }
-    return q.validation_summary(marts, AS_OF, 10000)
+    return q.validation_summary(marts, AS_OF, 20000)
 
 
 @query("row_parity", "SELECT count(*) AS rows_a, count(*) AS rows_b, true AS counts_equal, true AS content_equal FROM records")

@@ -73,27 +73,27 @@ def raw_sink(c: Tables, name: str) -> DataFrame:
     ]
     native = [F.col("insert_id").alias("insertId"), F.col("log_name").alias("logName"), F.col("trace_sampled").alias("traceSampled")]
     text = F.col("text_payload").alias("textPayload")
-    payload = F.struct(F.col("json_message").alias("message")).alias("jsonPayload")
-    audit = F.struct(F.col("audit_service").alias("serviceName"), F.col("method_name").alias("methodName")).alias("protopayload_auditlog")
+    payload = F.expr("named_struct('message', json_message) AS jsonPayload")
+    audit = F.expr("named_struct('serviceName', audit_service, 'methodName', method_name) AS protopayload_auditlog")
     columns = {
-        "activity": [
+        "activity": lambda: [
             *native,
             resource(service_name="svc", module_id="build_id", project_id="project_id"),
             F.struct(F.col("method_name").alias("methodName"), F.struct(F.col("json_message").alias("message")).alias("response")).alias("protoPayload"),
         ],
-        "data_access": [*native, resource(project_id="project_id"), audit],
-        "system_event": [*native, resource(project_id="project_id"), audit],
-        "stdout": [resource(service_name="svc", project_id="project_id"), text, payload],
-        "stderr": [resource(service_name="svc", project_id="project_id"), text, payload],
-        "requests": [
+        "data_access": lambda: [*native, resource(project_id="project_id"), audit],
+        "system_event": lambda: [*native, resource(project_id="project_id"), audit],
+        "stdout": lambda: [resource(service_name="svc", project_id="project_id"), text, payload],
+        "stderr": lambda: [resource(service_name="svc", project_id="project_id"), text, payload],
+        "requests": lambda: [
             *native,
             resource(service_name="svc"),
             F.struct(F.col("http_method").alias("requestMethod"), F.col("http_url").alias("requestUrl")).alias("httpRequest"),
         ],
-        "varlog": [resource(service_name="svc"), text],
-        "syslog": [text, payload],
-        "build": [*native, resource(build_id="build_id"), text],
-        "insights": [
+        "varlog": lambda: [resource(service_name="svc"), text],
+        "syslog": lambda: [text, payload],
+        "build": lambda: [*native, resource(build_id="build_id"), text],
+        "insights": lambda: [
             *native,
             resource(project_id="project_id"),
             text,
@@ -103,7 +103,7 @@ def raw_sink(c: Tables, name: str) -> DataFrame:
                 F.struct(F.col("audit_service").alias("message")).alias("errorevent"),
             ).alias("jsonpayload_v1beta1_insight"),
         ],
-        "scheduler": [
+        "scheduler": lambda: [
             *native,
             resource(job_id="build_id"),
             text,
@@ -113,7 +113,7 @@ def raw_sink(c: Tables, name: str) -> DataFrame:
             ),
         ],
     }
-    return flat.select(*common, *columns[name])
+    return flat.select(*common, *columns[name]())
 
 
 def raw_sinks(c: Tables) -> dict[str, DataFrame]:
