@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import lumenlog.plans as plans
+from lumenlog.adapters import with_adapters
 from lumenlog.plans.registry import ORACLES, PLANS, runner
 
 for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
@@ -21,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: with_adapters(sql) for name, sql in ORACLES.items()}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

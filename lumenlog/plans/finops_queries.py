@@ -134,13 +134,13 @@ def _(c):
 
 def archive_sql(where: str) -> str:
     return f"""SELECT CAST(year(usage_date) AS INTEGER) AS archive_year, CAST(month(usage_date) AS INTEGER) AS archive_month, {', '.join(f.ARCHIVE_KEYS)}, {BUCKET} AS cost_bucket,
-        count(*) AS record_count, {r('sum(cost)')} AS total_cost, {r('avg(cost)')} AS avg_cost, max(cost) AS max_cost, sum(usage_amount) AS total_usage_amount,
+        count(*) AS record_count, {r('sum(cost)', 8)} AS total_cost, {r('avg(cost)', 6)} AS avg_cost, max(cost) AS max_cost, sum(usage_amount) AS total_usage_amount,
         min(usage_date) AS period_start, max(usage_date) AS period_end FROM billing WHERE {where} GROUP BY ALL"""
 
 
 @query("archive_rollup", archive_sql("true"))
 def _(c):
-    return rounded(f.archive_rollup(c.billing), "total_cost", "avg_cost")
+    return rounded(rounded(f.archive_rollup(c.billing), "total_cost", digits=8), "avg_cost", digits=6)
 
 
 @query(
@@ -149,7 +149,7 @@ def _(c):
 )
 def _(c):
     archive = f.archive_rollup(c.billing.filter(F.col("usage_date") < "1996-01-01"))
-    return rounded(f.archive_incremental(c.billing, archive, AS_OF), "total_cost", "avg_cost")
+    return rounded(rounded(f.archive_incremental(c.billing, archive, AS_OF), "total_cost", digits=8), "avg_cost", digits=6)
 
 
 @query(
@@ -198,18 +198,24 @@ FROM (SELECT usage_date, billing_account_id, service_name, project_id, sum(cost)
 LEFT JOIN (SELECT attribution_date, project_id, sum(total_attributed_cost) AS attributed, count(DISTINCT member_id) AS members FROM workforce GROUP BY ALL) AS w
 ON d.usage_date = w.attribution_date AND d.project_id = w.project_id
 """
-MONEY = ["how_much_cost", "how_much_attributed", "how_much_unattributed", "attribution_efficiency"]
-DASH = "SELECT * REPLACE (" + ", ".join(f"{r(m)} AS {m}" for m in MONEY) + ") FROM dashboard"
+MONEY = ["how_much_cost", "how_much_attributed", "how_much_unattributed"]
+EFFICIENCY = r("attribution_efficiency") + " AS attribution_efficiency"
+# eight digits: the sums are exact to seven, so no rounding tie can occur
+DASH = "SELECT * REPLACE (" + ", ".join(f"{r(m, 8)} AS {m}" for m in MONEY) + f", {EFFICIENCY}) FROM dashboard"
+
+
+def money(df):
+    return rounded(rounded(df, *MONEY, digits=8), "attribution_efficiency")
 
 
 @query("cost_dashboard", DASH)
 def _(c):
-    return rounded(f.cost_dashboard(c.billing, c.workforce, AS_OF, ALL), *MONEY)
+    return money(f.cost_dashboard(c.billing, c.workforce, AS_OF, ALL))
 
 
 @query("top_cost_dashboard", DASH + " WHERE when_date >= DATE '2001-11-05' - 30 ORDER BY how_much_cost DESC, when_date, what_service, where_project, where_billing_account LIMIT 20")
 def _(c):
-    return rounded(f.top_cost_dashboard(f.cost_dashboard(c.billing, c.workforce, AS_OF), AS_OF, days=30), *MONEY)
+    return money(f.top_cost_dashboard(f.cost_dashboard(c.billing, c.workforce, AS_OF), AS_OF, days=30))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.adapters import Tables, with_adapters
+from lumenlog.adapters import Tables
 
 Plan = Callable[[Tables], DataFrame]
 
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"query {name} is registered twice")
         PLANS[name] = plan
         if sql is not None:
-            ORACLES[name] = with_adapters(sql)
+            ORACLES[name] = sql
         return plan
 
     return register

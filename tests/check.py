@@ -68,8 +68,9 @@ def compare(spark, con, name, run, sql, sf_dir):
     bad = [f"{c}:{t}/{want[c]}" for c, t in df.dtypes if TYPES.get(t, t) != want[c]]
     if mine != theirs:
         cols = sorted(names)
-        only_a = [x for x in mine if x not in set(theirs)][:2]
-        only_b = [x for x in theirs if x not in set(mine)][:2]
+        in_a, in_b = set(mine), set(theirs)
+        only_a = [x for x in mine if x not in in_b][:2]
+        only_b = [x for x in theirs if x not in in_a][:2]
         return "DIFF", f"{len(mine)} vs {len(theirs)} rows\n   cols   {cols}\n   spark  {only_a}\n   oracle {only_b}\n   types {bad}", took
     if bad:
         return "TYPE", ", ".join(bad), took
@@ -93,6 +94,7 @@ def main():
     for name, run in entry.queries().items():
         if args.only and not any(o in name for o in args.only):
             continue
+        print(f"....   {name}", file=sys.stderr, flush=True)
         try:
             status, detail, took = compare(spark, con, name, run, oracles.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001
