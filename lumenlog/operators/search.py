@@ -96,8 +96,12 @@ def sparse_search(docs: DataFrame, id_column: str, text: str, words: list[str],
     Word counts per document are computed in place; the corpus statistics are one aggregate row per word.
     """
     tokens = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), lambda w: w != "")
+
+    def occurrences(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == F.lit(word)))
+
     counted = docs.select(F.col(id_column).cast("bigint").alias(ID), tokens.alias("t")).select(
-        ID, F.size("t").alias("len"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)]
+        ID, F.size("t").alias("len"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)]
     )
     hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(words))], F.lit(0)) > 0
     stats = counted.agg(
