@@ -85,7 +85,7 @@ def _(c):
 
     path = scratch_path(c.spark, "jobs")
     # months as partitions: thousands of single-day folders would be too small to read well
-    write_clustered(c.jobs.filter(F.col("dt").isNotNull()).withColumn("month", F.date_format("dt", "yyyy-MM")), path, "month", ["project_id", "statement_type", "cache_hit"], spread="job_id")
+    write_clustered(c.jobs.filter(F.col("dt").isNotNull()).withColumn("month", F.date_format("dt", "yyyy-MM")), path, "month", ["project_id", "statement_type", "cache_hit"])
     return c.spark.read.parquet(path).drop("month")
 
 

@@ -99,7 +99,7 @@ def _(c):
 @query("write_clustered")
 def _(c):
     path = scratch_path(c.spark, "clustered")
-    io.write_clustered(c.logs.filter(F.col("log_date").isNotNull()), path, "log_date", ["severity", "service_name", "resource_type"], spread="log_id")
+    io.write_clustered(c.logs.filter(F.col("log_date").isNotNull()), path, "log_date", ["severity", "service_name", "resource_type"])
     return c.spark.read.parquet(path)
 
 

@@ -36,7 +36,7 @@ def unified(c: Tables) -> DataFrame:
     key = (c.spark.sparkContext.applicationId, c.sf_dir)
     if key not in _STORED:
         path = scratch_path(c.spark, "unified")
-        write_clustered(enveloped(c), path, "log_date", ["severity", "service_name", "resource_type"], spread="log_id")
+        write_clustered(enveloped(c), path, "log_date", ["severity", "service_name", "resource_type"])
         _STORED[key] = path
     return c.spark.read.parquet(_STORED[key])
 

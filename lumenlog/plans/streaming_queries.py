@@ -141,13 +141,13 @@ def _(c):
 @query(
     "rolling_latency",
     f"""WITH w AS (SELECT event_id, event_type, avg(value) OVER x AS a, min(value) OVER x AS lo, max(value) OVER x AS hi, count(*) OVER x AS samples FROM events
-        WINDOW x AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT event_id, event_type, {r('a')} AS avg_ms, lo AS min_ms, hi AS max_ms, samples FROM w""",
+        WINDOW x AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT event_id, event_type, {r('a', 9)} AS avg_ms, lo AS min_ms, hi AS max_ms, samples FROM w""",
 )
 def _(c):
     placed = with_key_position(c.events.select("event_id", "ts", "event_type", "value"), ["event_type"], [F.col("ts"), F.col("event_id")])
     stats = {"avg_ms": F.avg("value"), "min_ms": F.min("value"), "max_ms": F.max("value"), "samples": F.count("*")}
     rows = rolling_rows(placed, ["event_type"], "position", 100, stats)
-    return rounded(rows.select("event_id", "event_type", *stats), "avg_ms")
+    return rounded(rows.select("event_id", "event_type", *stats), "avg_ms", digits=9)
 
 
 @query(

@@ -201,22 +201,14 @@ def loadable(df: DataFrame, batch_id: str, loaded_at: str, version: str = "1.0.0
     )
 
 
-def write_clustered(df: DataFrame, path: str, partition: str, cluster: list[str], spread: str, mode: str = "append") -> None:
+def write_clustered(df: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append") -> None:
     """Partition and cluster layout.
 
-    Ranges go over (partition, cluster keys, hash of ``spread``): the hash splits a day or cluster combination that holds
-    a large share of the rows over several tasks, and sorting inside the files gives row groups narrow min/max bounds.
+    Rows are rebalanced by partition value: adaptive execution cuts a day that holds a large share of the rows into files of
+    the advisory size and merges small days, with no sampling pass over the input. Sorting inside the files gives their row
+    groups narrow min/max bounds on the cluster keys.
     """
-    order = [partition, *cluster]
-    (
-        df.withColumn("_spread", F.xxhash64(spread))
-        .repartitionByRange(*order, "_spread")
-        .sortWithinPartitions(*order)
-        .drop("_spread")
-        .write.mode(mode)
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    df.hint("rebalance", partition).sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -237,12 +229,13 @@ def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str) -> None
     spark = df.sparkSession
     batch = loadable(df, batch_id, loaded_at).filter(F.col("log_date").isNotNull()).dropDuplicates(["log_id"])
     if _exists(spark, path):
-        days = batch.agg(F.min("log_date").alias("first"), F.max("log_date").alias("last")).first()
-        if days["first"] is None:
+        # reads the timestamp column only
+        span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
+        if span["first"] is None:
             return
-        stored = spark.read.parquet(path).filter(F.col("log_date").between(days["first"], days["last"])).select("log_id")
+        stored = spark.read.parquet(path).filter(F.col("log_date").between(span["first"], span["last"])).select("log_id")
         batch = batch.join(stored, "log_id", "left_anti")
-    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"], spread="log_id")
+    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"])
 
 
 def keyed_upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:

@@ -23,7 +23,9 @@ LOOKBACK = "2 hours"
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """A growing folder of Parquet files as a stream; a batch may be bounded by a number of files."""
+    """A growing folder of Parquet files (or one table path) as a stream; a batch may be bounded by a number of files."""
+    if path.endswith(".parquet"):
+        path = f"{path[:-1]}[{path[-1]}]"  # a pattern: the source takes a single file only that way
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -49,12 +51,12 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches of an append sink; empty when nothing has arrived yet."""
-    return spark.read.schema(schema.add("batch", "bigint") if "batch" not in schema.fieldNames() else schema).parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
 
 
 def latest_updates(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
     """Newest value per key of a sink that received updates."""
-    rows = read_batches(spark, path, T.StructType(list(schema.fields)))
+    rows = read_batches(spark, path, schema)
     rest = [c for c in schema.fieldNames() if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
     return newest.select(*keys, "_row.*")
