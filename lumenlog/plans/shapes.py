@@ -57,63 +57,53 @@ SINK_KINDS = {
 }
 
 
+_NATIVE = "insert_id AS insertId, log_name AS logName, trace_sampled AS traceSampled"
+_TEXT = "text_payload AS textPayload"
+_PAYLOAD = "named_struct('message', json_message) AS jsonPayload"
+_AUDIT = "named_struct('serviceName', audit_service, 'methodName', method_name) AS protopayload_auditlog"
+
+
+def _resource(labels: str) -> str:
+    return f"named_struct('type', resource_type, 'labels', named_struct({labels})) AS resource"
+
+
+# Columns a sink has besides the time, severity and trace fields all of them share.
+_SINK_COLUMNS = {
+    "activity": [
+        _NATIVE,
+        _resource("'service_name', svc, 'module_id', build_id, 'project_id', project_id"),
+        "named_struct('methodName', method_name, 'response', named_struct('message', json_message)) AS protoPayload",
+    ],
+    "data_access": [_NATIVE, _resource("'project_id', project_id"), _AUDIT],
+    "system_event": [_NATIVE, _resource("'project_id', project_id"), _AUDIT],
+    "stdout": [_resource("'service_name', svc, 'project_id', project_id"), _TEXT, _PAYLOAD],
+    "stderr": [_resource("'service_name', svc, 'project_id', project_id"), _TEXT, _PAYLOAD],
+    "requests": [_NATIVE, _resource("'service_name', svc"), "named_struct('requestMethod', http_method, 'requestUrl', http_url) AS httpRequest"],
+    "varlog": [_resource("'service_name', svc"), _TEXT],
+    "syslog": [_TEXT, _PAYLOAD],
+    "build": [_NATIVE, _resource("'build_id', build_id"), _TEXT],
+    "insights": [
+        _NATIVE,
+        _resource("'project_id', project_id"),
+        _TEXT,
+        "named_struct('message', json_message, 'exceptioninfo', named_struct('message', method_name), "
+        "'errorevent', named_struct('message', audit_service)) AS jsonpayload_v1beta1_insight",
+    ],
+    "scheduler": [
+        _NATIVE,
+        _resource("'job_id', build_id"),
+        _TEXT,
+        "CASE WHEN phase < 2 THEN named_struct('jobname', job_id) END AS jsonpayload_logging_attemptstarted",
+        "CASE WHEN phase IN (2, 3) THEN named_struct('jobname', job_id, 'status', project_id) END AS jsonpayload_logging_attemptfinished",
+    ],
+}
+
+
 def raw_sink(c: Tables, name: str) -> DataFrame:
     """A raw sink table with the nested columns it has in the field; sinks differ in their columns."""
-    flat = c.raw_flat.filter(F.col("sink_kind") == SINK_KINDS[name])
-
-    def resource(**labels: str):
-        return F.struct(F.col("resource_type").alias("type"), F.struct(*[F.col(v).alias(k) for k, v in labels.items()]).alias("labels")).alias("resource")
-
-    common = [
-        F.col("ts").alias("timestamp"),
-        "severity",
-        F.col("receive_ts").alias("receiveTimestamp"),
-        "trace",
-        F.col("span_id").alias("spanId"),
-    ]
-    native = [F.col("insert_id").alias("insertId"), F.col("log_name").alias("logName"), F.col("trace_sampled").alias("traceSampled")]
-    text = F.col("text_payload").alias("textPayload")
-    payload = F.expr("named_struct('message', json_message) AS jsonPayload")
-    audit = F.expr("named_struct('serviceName', audit_service, 'methodName', method_name) AS protopayload_auditlog")
-    columns = {
-        "activity": lambda: [
-            *native,
-            resource(service_name="svc", module_id="build_id", project_id="project_id"),
-            F.struct(F.col("method_name").alias("methodName"), F.struct(F.col("json_message").alias("message")).alias("response")).alias("protoPayload"),
-        ],
-        "data_access": lambda: [*native, resource(project_id="project_id"), audit],
-        "system_event": lambda: [*native, resource(project_id="project_id"), audit],
-        "stdout": lambda: [resource(service_name="svc", project_id="project_id"), text, payload],
-        "stderr": lambda: [resource(service_name="svc", project_id="project_id"), text, payload],
-        "requests": lambda: [
-            *native,
-            resource(service_name="svc"),
-            F.struct(F.col("http_method").alias("requestMethod"), F.col("http_url").alias("requestUrl")).alias("httpRequest"),
-        ],
-        "varlog": lambda: [resource(service_name="svc"), text],
-        "syslog": lambda: [text, payload],
-        "build": lambda: [*native, resource(build_id="build_id"), text],
-        "insights": lambda: [
-            *native,
-            resource(project_id="project_id"),
-            text,
-            F.struct(
-                F.col("json_message").alias("message"),
-                F.struct(F.col("method_name").alias("message")).alias("exceptioninfo"),
-                F.struct(F.col("audit_service").alias("message")).alias("errorevent"),
-            ).alias("jsonpayload_v1beta1_insight"),
-        ],
-        "scheduler": lambda: [
-            *native,
-            resource(job_id="build_id"),
-            text,
-            F.when(F.col("phase") < 2, F.struct(F.col("job_id").alias("jobname"))).alias("jsonpayload_logging_attemptstarted"),
-            F.when(F.col("phase").isin(2, 3), F.struct(F.col("job_id").alias("jobname"), F.col("project_id").alias("status"))).alias(
-                "jsonpayload_logging_attemptfinished"
-            ),
-        ],
-    }
-    return flat.select(*common, *columns[name]())
+    shared = "ts AS timestamp, severity, receive_ts AS receiveTimestamp, trace, span_id AS spanId"
+    columns = ", ".join([shared, *_SINK_COLUMNS[name]])
+    return c.sql(f"SELECT {columns} FROM raw_flat WHERE sink_kind = '{SINK_KINDS[name]}'")
 
 
 def raw_sinks(c: Tables) -> dict[str, DataFrame]:
