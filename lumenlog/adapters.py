@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlog.session import widen
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -358,6 +360,12 @@ class Tables:
             self._frames[table] = self.spark.read.parquet(self.path(table))
         return self._frames[table]
 
+    def spread(self, **keys: str) -> Tables:
+        """The same tables with some base tables widened by a key column, for work that is heavy per row."""
+        other = Tables(self.spark, self.sf_dir)
+        other._frames = {table: widen(self.base(table), key) for table, key in keys.items()}
+        return other
+
     def sql(self, text: str) -> DataFrame:
         """Run a portable text over the adapters and base tables it names."""
         used = sorted({name for name in _FROM.findall(with_adapters(text)) if name in BASE_TABLES})

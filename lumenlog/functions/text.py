@@ -23,8 +23,15 @@ from lumenlog.functions.columns import cap, col, extract
 
 
 def _any_of(patterns: list[str]) -> str:
-    """One case-insensitive alternation; word boundaries and classes follow Unicode."""
-    return "(?iU)(?:" + "|".join(patterns) + ")"
+    """One alternation; word boundaries and character classes follow Unicode."""
+    return "(?U)(?:" + "|".join(patterns) + ")"
+
+
+def _holds(text: Column, *literals: str) -> Column:
+    found = F.lit(False)
+    for literal in literals:
+        found = found | text.contains(literal)
+    return found
 
 
 def redact(text: str | Column) -> Column:
@@ -50,13 +57,19 @@ def redact_value(value: Column, data_type: T.DataType) -> Column:
 
 
 def pii_risk(text: Column) -> Column:
-    """Risk tier of a text: the first tier any of whose patterns matches."""
+    """Risk tier of a text: the first tier any of whose patterns matches, in any case.
+
+    A pattern is tried only on texts that hold the literal every match must contain; the literal search is far cheaper.
+    """
+    low = F.lower(text)
+    email, *numbers, ssn = PII_MODERATE
+    high = _holds(low, "password", "secret", "key", "token", "authorization") & low.rlike(_any_of(PII_HIGH))
+    moderate = (
+        (low.contains("@") & low.rlike(_any_of([email]))) | low.rlike(_any_of(numbers)) | (low.contains("ssn") & low.rlike(_any_of([ssn])))
+    )
+    identifiers = low.contains("id") & _holds(low, "user", "account", "customer") & low.rlike(_any_of(PII_LOW))
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", "none")
-        .when(text.rlike(_any_of(PII_HIGH)), "high")
-        .when(text.rlike(_any_of(PII_MODERATE)), "moderate")
-        .when(text.rlike(_any_of(PII_LOW)), "low")
-        .otherwise("none")
+        F.when(F.coalesce(text, F.lit("")) == "", "none").when(high, "high").when(moderate, "moderate").when(identifiers, "low").otherwise("none")
     )
 
 

@@ -336,7 +336,7 @@ def normalize_logs(records: DataFrame) -> DataFrame:
     df = error_columns(context_columns(payload_columns(df)))
     df = df.withColumn("severity_level", severity_level("severity"))
     df = df.withColumns({"message": message_column(df), **flags("source_table", F.col("severity_level"), "trace_id")})
-    text = F.lower(F.concat_ws(" ", F.nullif("message", F.lit("")), F.nullif("text_payload", F.lit("")), F.when(_filled("json_payload"), F.col("json_payload"))))
+    text = F.concat_ws(" ", F.nullif("message", F.lit("")), F.nullif("text_payload", F.lit("")), F.when(_filled("json_payload"), F.col("json_payload")))
     df = df.withColumns(
         {
             "schema_version": F.lit(SCHEMA_VERSION),

@@ -39,18 +39,21 @@ def chunks(text: str | Column, max_size: int = CHUNK_SIZE) -> Column:
         return F.when(F.length(s) + 1 > limit, by_word).otherwise(whole)
 
     def pack(state: Column, piece: Column) -> Column:
-        current, added = state["current"], F.concat(piece["text"], F.lit(" "))
-        fits = ~piece["fresh"] & (F.length(current) + F.length(piece["text"]) + 1 <= limit)
-        flushed = F.when(current == "", state["done"]).otherwise(F.concat(state["done"], F.array(_strip(current))))
+        size = F.length(piece["text"]) + 1
+        fits = ~piece["fresh"] & (state["size"] + size <= limit)
+        flushed = F.when(state["size"] == 0, state["done"]).otherwise(F.concat(state["done"], F.array(_strip(state["current"]))))
         return F.struct(
             F.when(fits, state["done"]).otherwise(flushed).alias("done"),
-            F.when(fits, F.concat(current, added)).otherwise(added).alias("current"),
+            F.when(fits, F.concat(state["current"], piece["text"], F.lit(" "))).otherwise(F.concat(piece["text"], F.lit(" "))).alias("current"),
+            F.when(fits, state["size"] + size).otherwise(size).alias("size"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"))
-    packed = F.aggregate(F.flatten(F.transform(sentences, pieces)), start, pack)
-    finished = F.when(packed["current"] == "", packed["done"]).otherwise(F.concat(packed["done"], F.array(_strip(packed["current"]))))
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(finished)
+    def finish(state: Column) -> Column:
+        return F.when(state["size"] == 0, state["done"]).otherwise(F.concat(state["done"], F.array(_strip(state["current"]))))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"), F.lit(0).alias("size"))
+    packed = F.aggregate(F.flatten(F.transform(sentences, pieces)), start, pack, finish)
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
 def chunk_rows(df: DataFrame, id_column: str, text: str | Column, max_size: int = CHUNK_SIZE) -> DataFrame:

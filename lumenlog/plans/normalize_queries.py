@@ -21,7 +21,7 @@ from lumenlog.plans.oracle_views import (
     present,
 )
 from lumenlog.plans.registry import query
-from lumenlog.plans.shapes import enveloped, normalized, unified
+from lumenlog.plans.shapes import documents, enveloped, normalized, unified
 
 MAP = "map<string,string>"
 
@@ -130,7 +130,7 @@ def _(c):
         CASE WHEN contains(text, 'Traceback') OR contains(text, 'at ') THEN substr(text, 1, 5000) END AS error_stack_trace FROM documents""",
 )
 def _(c):
-    return c.documents.select("doc_id", text.error_in_text("text").alias("error_message"), text.stack_trace("text").alias("error_stack_trace"))
+    return documents(c).select("doc_id", text.error_in_text("text").alias("error_message"), text.stack_trace("text").alias("error_stack_trace"))
 
 
 @query("build_message", "SELECT log_id, message FROM o_normal")
@@ -154,7 +154,7 @@ def _(c):
 
 @query("pii_risk", f"SELECT doc_id, {pii_sql('lower(text)')} AS pii_risk FROM documents")
 def _(c):
-    return c.documents.select("doc_id", text.pii_risk(F.lower("text")).alias("pii_risk"))
+    return documents(c).select("doc_id", text.pii_risk(F.col("text")).alias("pii_risk"))
 
 
 @query("correlation_ids", "SELECT log_id, correlation_request_id, correlation_session_id, correlation_conversation_id FROM o_full")
@@ -164,7 +164,7 @@ def _(c):
 
 @query("message_summary", "SELECT doc_id, CASE WHEN text <> '' THEN CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END END AS message_summary FROM documents")
 def _(c):
-    return c.documents.select("doc_id", text.summary("text").alias("message_summary"))
+    return documents(c).select("doc_id", text.summary("text").alias("message_summary"))
 
 
 @query(
@@ -274,7 +274,7 @@ def redact_sql(column: str) -> str:
 
 @query("redact_text", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")
 def _(c):
-    return c.documents.select("doc_id", text.redact("text").alias("text"))
+    return documents(c).select("doc_id", text.redact("text").alias("text"))
 
 
 @query("redact_nested", f"SELECT conv_id, turn, role, {redact_sql('text')} AS body, {redact_sql('text')} AS part FROM conversations")
@@ -368,7 +368,7 @@ def _(c):
         WHEN regexp_matches(text, '{PII_KEYWORDS_LOW}') THEN 'low' ELSE 'none' END AS pii_risk FROM documents""",
 )
 def _(c):
-    return c.documents.select("doc_id", text.pii_risk_keywords("text", F.lit(None).cast("string")).alias("pii_risk"))
+    return documents(c).select("doc_id", text.pii_risk_keywords("text", F.lit(None).cast("string")).alias("pii_risk"))
 
 
 @query(

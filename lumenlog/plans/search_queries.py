@@ -9,6 +9,7 @@ from lumenlog.functions.vectors import usable
 from lumenlog.operators import search as s
 from lumenlog.operators.textprep import embed
 from lumenlog.plans.registry import query, r, rounded
+from lumenlog.plans.shapes import documents
 
 COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 ORACLE_VIEWS["scores"] = f"""
@@ -90,13 +91,13 @@ def _(c):
 
 @query("hybrid_search")
 def _(c):
-    sparse = s.sparse_search(c.documents, "doc_id", "text", ["the", "of", "error"], 20)
+    sparse = s.sparse_search(documents(c), "doc_id", "text", ["the", "of", "error"], 20)
     return s.hybrid_search(c.vec, query_vectors(c)[0], sparse, 10)
 
 
 @query("sparse_search")
 def _(c):
-    return s.sparse_search(c.documents, "doc_id", "text", ["the", "with", "http"], 20)
+    return s.sparse_search(documents(c), "doc_id", "text", ["the", "with", "http"], 20)
 
 
 @query(
@@ -154,7 +155,7 @@ def _(c):
 
 
 def document_vectors(c):
-    rows = c.documents.select("doc_id", "text", "source", F.sha2("text", 256).alias("text_hash"))
+    rows = documents(c).select("doc_id", "text", "source", F.sha2("text", 256).alias("text_hash"))
     return embed(rows, "text", dim=64).withColumn("vec_id", F.col("doc_id"))
 
 

@@ -20,7 +20,12 @@ def typed_logs(c: Tables) -> DataFrame:
 
 def normalized(c: Tables) -> DataFrame:
     """Unified rows computed from the raw records."""
-    return normalize.normalize_logs(c.records)
+    return normalize.normalize_logs(c.spread(events="event_id").records)
+
+
+def documents(c: Tables) -> DataFrame:
+    """Whole texts, spread over the cores."""
+    return c.spread(documents="doc_id").documents
 
 
 def enveloped(c: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import normalize as n
 from lumenlog.plans.oracle_views import level_sql
 from lumenlog.plans.registry import query, r, rounded
-from lumenlog.plans.shapes import SINK_KINDS, raw_sinks
+from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
 from lumenlog.session import scratch_path
 from lumenlog.streaming import etl, jobs
 
@@ -214,8 +214,8 @@ def _(c):
 @query("embed_documents")
 def _(c):
     target = scratch_path(c.spark, "points")
-    etl.embed_documents(c.documents, target)
-    etl.embed_documents(c.documents, target)  # everything is stored already
+    etl.embed_documents(documents(c), target)
+    etl.embed_documents(documents(c), target)  # everything is stored already
     return c.spark.read.parquet(target).select("source", "text_hash", "chunk_id", "doc_id", "embedding")
 
 

@@ -8,12 +8,12 @@ from lumenlog.operators import normalize as n
 from lumenlog.operators import textprep as t
 from lumenlog.plans.oracle_views import js, level_sql, log_type_sql
 from lumenlog.plans.registry import query
-from lumenlog.plans.shapes import unified
+from lumenlog.plans.shapes import documents, unified
 
 
 @query("chunk_text")
 def _(c):
-    return t.chunk_rows(c.documents.select("doc_id", "text"), "doc_id", "text").select("doc_id", "chunk_id", "chunk_idx", "total_chunks", "chunk_text")
+    return t.chunk_rows(documents(c).select("doc_id", "text"), "doc_id", "text").select("doc_id", "chunk_id", "chunk_idx", "total_chunks", "chunk_text")
 
 
 @query(
@@ -21,13 +21,13 @@ def _(c):
     """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) <= 4000) SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(0 AS INTEGER) AS chunk_idx, CAST(1 AS INTEGER) AS total_chunks, text AS chunk_text FROM d""",
 )
 def _(c):
-    rows = t.chunk_rows(c.documents.select("doc_id", "text"), "doc_id", "text")
+    rows = t.chunk_rows(documents(c).select("doc_id", "text"), "doc_id", "text")
     return rows.filter("total_chunks = 1").select("chunk_id", "chunk_idx", "total_chunks", "chunk_text")
 
 
 @query("embedding_text", "SELECT doc_id, CASE WHEN text <> '' AND source <> '' THEN 'Message: ' || text || ' | Body: ' || source WHEN text <> '' THEN 'Message: ' || text WHEN source <> '' THEN 'Body: ' || source ELSE 'empty log' END AS embedding_text FROM documents")
 def _(c):
-    return c.documents.select("doc_id", t.embedding_text("text", "source").alias("embedding_text"))
+    return documents(c).select("doc_id", t.embedding_text("text", "source").alias("embedding_text"))
 
 
 def _cut(column: str, limit: int) -> str:
@@ -84,13 +84,13 @@ def _(c):
         CASE WHEN length(chunk) > 200 THEN substr(chunk, 1, 200) || '...' ELSE chunk END AS content_preview FROM u""",
 )
 def _(c):
-    files = c.documents.select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("file"), "text")
+    files = documents(c).select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("file"), "text")
     return t.paragraph_chunks(files, "file", "text")
 
 
 @query("embed")
 def _(c):
-    return t.embed(c.documents.select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
+    return t.embed(documents(c).select("doc_id", "text"), "text", dim=64).select("doc_id", "embedding")
 
 
 @query(
@@ -98,7 +98,7 @@ def _(c):
     """SELECT source, sha256(text) AS text_hash, min(doc_id) AS doc_id FROM documents GROUP BY ALL""",
 )
 def _(c):
-    return t.dedup_by_text(c.documents.select("source", "doc_id", "text"), "source", "text", "doc_id").select("source", "text_hash", "doc_id")
+    return t.dedup_by_text(documents(c).select("source", "doc_id", "text"), "source", "text", "doc_id").select("source", "text_hash", "doc_id")
 
 
 @query(
@@ -106,7 +106,7 @@ def _(c):
     """SELECT source, sha256(text) AS text_hash, min(doc_id) AS doc_id FROM documents WHERE (source, sha256(text)) NOT IN (SELECT (source, sha256(text)) FROM documents WHERE lang = 'en') GROUP BY ALL""",
 )
 def _(c):
-    docs = c.documents.select("source", "doc_id", "text", "lang")
+    docs = documents(c).select("source", "doc_id", "text", "lang")
     stored = docs.filter("lang = 'en'").select("source", t.text_hash("text").alias("text_hash"))
     return t.dedup_by_text(docs.drop("lang"), "source", "text", "doc_id", stored).select("source", "text_hash", "doc_id")
 

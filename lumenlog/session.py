@@ -54,3 +54,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame, key: str, most: int = 64) -> DataFrame:
+    """Spread an input that arrives in fewer pieces than there are cores, before work that is heavy per row.
+
+    A single small file would otherwise keep one core busy with all the parsing. An input with enough pieces is returned as
+    it is, so a large table is never shuffled for this.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
