@@ -1,19 +1,22 @@
 """Quantiles that hold at scale.
 
 ``quantile`` is the mergeable sketch: its buffer is bounded by ``ACCURACY`` however large or skewed a group is, tasks combine
-partial sketches, and groups below about ACCURACY/2 rows come out exact. ``exact_quantiles`` is for reports that promise the
+partial sketches, and groups below about ACCURACY/2 rows come out exact (the rank error of larger ones is 1/ACCURACY). ``exact_quantiles`` is for reports that promise the
 exact order statistic: the sketch brackets each quantile, one counting pass ranks the bracket, and only the few rows inside
 the bracket are ever sorted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.columns import col
 
-ACCURACY = 100_000
+ACCURACY = 10_000
+BRACKET = 100_000
 
 
 def quantile(value: str | Column, fraction: float) -> Column:
@@ -21,7 +24,7 @@ def quantile(value: str | Column, fraction: float) -> Column:
     return F.percentile_approx(col(value), fraction, ACCURACY)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slack: int = ACCURACY) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slack: int = BRACKET) -> DataFrame:
     """Interpolated quantiles per key, exact at any size (what PERCENTILE_CONT gives).
 
     One key may hold most of the rows: the first pass keeps a bounded sketch per key, the second counts the rows below each
@@ -39,20 +42,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
         bounds.append(F.coalesce(F.max(F.when(v < low, v)), F.min(low)).alias(f"_low{i}"))
         bounds.append(F.coalesce(F.min(F.when(v > high, v)), F.max(high)).alias(f"_high{i}"))
     counted = counted.drop("_edges").join(counted.groupBy(*keys).agg(*bounds), keys)
+    inside = [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(names))]
     below = counted.groupBy(*keys).agg(*[F.sum(F.when(v < F.col(f"_low{i}"), F.col("_c")).otherwise(0)).alias(f"_below{i}") for i in range(len(names))])
-    out = None
+    window = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    kept = counted.filter(reduce(Column.__or__, inside))
+    kept = kept.withColumns({f"_to{i}": F.sum(F.when(hit, F.col("_c")).otherwise(0)).over(window) for i, hit in enumerate(inside)})
+    ranked = kept.join(below, keys)
+    picks = []
     for i, name in enumerate(names):
-        inside = counted.filter(v.between(F.col(f"_low{i}"), F.col(f"_high{i}")))
-        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = inside.withColumn("_to", upto).join(below, keys)
         position = F.lit(fractions[name]) * (F.col("_n") - 1)
-        end = F.col(f"_below{i}") + F.col("_to")
+        end = F.col(f"_below{i}") + F.col(f"_to{i}")
         start = end - F.col("_c")
 
-        def at(rank: Column) -> Column:
-            return F.max(F.when((start <= rank) & (rank < end), v))
+        def at(rank: Column, start: Column = start, end: Column = end, hit: Column = inside[i]) -> Column:
+            return F.max(F.when(hit & (start <= rank) & (rank < end), v))
 
         a, b, w = at(F.floor(position)), at(F.ceil(position)), F.max(position - F.floor(position))
-        picked = ranked.groupBy(*keys).agg((a + (b - a) * w).alias(name))
-        out = picked if out is None else out.join(picked, keys)
-    return out
+        picks.append((a + (b - a) * w).alias(name))
+    return ranked.groupBy(*keys).agg(*picks)

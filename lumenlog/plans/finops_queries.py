@@ -134,13 +134,13 @@ def _(c):
 
 def archive_sql(where: str) -> str:
     return f"""SELECT CAST(year(usage_date) AS INTEGER) AS archive_year, CAST(month(usage_date) AS INTEGER) AS archive_month, {', '.join(f.ARCHIVE_KEYS)}, {BUCKET} AS cost_bucket,
-        count(*) AS record_count, {r('sum(cost)', 8)} AS total_cost, {r('avg(cost)', 6)} AS avg_cost, max(cost) AS max_cost, sum(usage_amount) AS total_usage_amount,
+        count(*) AS record_count, {r('sum(cost)', 8)} AS total_cost, {r('avg(cost)', 9)} AS avg_cost, max(cost) AS max_cost, sum(usage_amount) AS total_usage_amount,
         min(usage_date) AS period_start, max(usage_date) AS period_end FROM billing WHERE {where} GROUP BY ALL"""
 
 
 @query("archive_rollup", archive_sql("true"))
 def _(c):
-    return rounded(rounded(f.archive_rollup(c.billing), "total_cost", digits=8), "avg_cost", digits=6)
+    return rounded(rounded(f.archive_rollup(c.billing), "total_cost", digits=8), "avg_cost", digits=9)
 
 
 @query(
@@ -149,7 +149,7 @@ def _(c):
 )
 def _(c):
     archive = f.archive_rollup(c.billing.filter(F.col("usage_date") < "1996-01-01"))
-    return rounded(rounded(f.archive_incremental(c.billing, archive, AS_OF), "total_cost", digits=8), "avg_cost", digits=6)
+    return rounded(rounded(f.archive_incremental(c.billing, archive, AS_OF), "total_cost", digits=8), "avg_cost", digits=9)
 
 
 @query(
