@@ -242,6 +242,13 @@ def volume_rate(df: DataFrame, size: str = "60 seconds", seconds: int = 60) -> D
     )
 
 
+def server_error_rate(requests: DataFrame, size: str = "60 seconds", seconds: int = 60) -> DataFrame:
+    """Server errors per second and window of each service; windows without any are left out."""
+    window = F.window("event_timestamp", size)["start"].alias("window_start")
+    failed = requests.filter(F.col("event_timestamp").isNotNull() & (F.col("status") >= 500))
+    return failed.groupBy(window, "service_name").agg((F.count("*") / seconds).alias("errors_per_s"))
+
+
 def facets(df: DataFrame, start: str, end: str, top_services: int = 10) -> DataFrame:
     """Counts by severity, by service (top ones) and by source table out of one scan."""
     ts = F.col("event_timestamp")

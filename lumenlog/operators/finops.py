@@ -492,6 +492,24 @@ def export_stats(billing: DataFrame) -> DataFrame:
     )
 
 
+def pricing_stats(pricing: DataFrame) -> DataFrame:
+    return pricing.agg(
+        F.count("*").alias("pricing_records"),
+        F.count_distinct("service_id").alias("services_with_pricing"),
+        F.count_distinct("sku_id").alias("skus_with_pricing"),
+        F.max("export_time").alias("latest_pricing_update"),
+    )
+
+
+def cud_stats(cud: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    return cud.filter(days_back("usage_date", as_of, days)).agg(
+        F.count("*").alias("cud_records"),
+        F.count_distinct("commitment_id").alias("active_commitments"),
+        F.sum("discount_amount").alias("total_discounts"),
+        F.avg("commitment_utilization_percentage").alias("avg_utilization"),
+    )
+
+
 def recent_lines(billing: DataFrame, limit: int = 5) -> DataFrame:
     return billing.orderBy(F.desc("usage_start_time"), "l_orderkey", "l_linenumber").limit(limit)
 

@@ -233,6 +233,11 @@ def _(c):
     return rounded(a.volume_rate(c.logs), "entries_per_s", "bytes_per_s", "errors_per_s")
 
 
+@query("server_error_rate", f"SELECT date_trunc('minute', event_timestamp) AS window_start, service_name, {r('count(*) / 60.0')} AS errors_per_s FROM requests WHERE status >= 500 GROUP BY ALL")
+def _(c):
+    return rounded(a.server_error_rate(c.requests), "errors_per_s")
+
+
 @query(
     "facets",
     """WITH x AS (SELECT * FROM logs WHERE event_timestamp BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'),

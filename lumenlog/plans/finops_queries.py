@@ -364,6 +364,16 @@ def _(c):
     return rounded(f.export_stats(c.billing), "total_cost", digits=2)
 
 
+@query("pricing_stats", "SELECT count(*) AS pricing_records, count(DISTINCT service_id) AS services_with_pricing, count(DISTINCT sku_id) AS skus_with_pricing, max(export_time) AS latest_pricing_update FROM pricing")
+def _(c):
+    return f.pricing_stats(c.pricing)
+
+
+@query("cud_stats", f"SELECT count(*) AS cud_records, count(DISTINCT commitment_id) AS active_commitments, {r('sum(discount_amount)', 2)} AS total_discounts, {r('avg(commitment_utilization_percentage)')} AS avg_utilization FROM cud")
+def _(c):
+    return rounded(rounded(f.cud_stats(c.cud, AS_OF, ALL), "total_discounts", digits=2), "avg_utilization")
+
+
 @query("recent_lines", "SELECT * FROM billing ORDER BY usage_start_time DESC, l_orderkey, l_linenumber LIMIT 5")
 def _(c):
     return f.recent_lines(c.billing)

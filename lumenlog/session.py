@@ -30,11 +30,13 @@ def build_session(app_name: str = "lumenlog", master: str | None = None, shuffle
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made and remembered in the session.
+    Only a local session without the setting (tests, a laptop) gets a temporary folder, remembered in the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenlog.scratch.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="lumenlog-")
     spark.conf.set("lumenlog.scratch.dir", made)
     return made

@@ -2,6 +2,7 @@
 
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +10,24 @@ from pyspark.sql import functions as F
 from lumenlog.operators import aggregates, benchmarks, chat, finops, listing, mappings
 from lumenlog.operators import dimensions as d
 from lumenlog.operators import tracing as t
+from lumenlog.session import shared_dir
 from lumenlog.sources import io
 from lumenlog.streaming import jobs
 
 
+def test_shared_folder_comes_from_the_session():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    cluster = SimpleNamespace(conf=Conf({"spark.checkpoint.dir": "hdfs://shared/ck/"}), sparkContext=SimpleNamespace(master="yarn"))
+    assert shared_dir(cluster) == "hdfs://shared/ck"
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="yarn")))
+    laptop = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="local[2]"))
+    assert shared_dir(laptop) == shared_dir(laptop)
+
+
 def test_list_params():
     assert listing.ListParams().problems() == []
     bad = listing.ListParams(limit=0, hours=999, severity="LOUD")
