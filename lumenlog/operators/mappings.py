@@ -331,8 +331,8 @@ def catalog_upsert(target: DataFrame, source: DataFrame, keys: tuple[str, ...] =
     return kept.unionByName(source)
 
 
-def schema_inventory(tables: dict[str, DataFrame], partition_by: str | None = None, cluster_by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (table, column): type, nullability and layout role. Reads metadata only."""
+def schema_inventory(tables: dict[str, DataFrame], partition_by: str | None = None, cluster_by: tuple[str, ...] = (), counts: bool = False) -> DataFrame:
+    """One row per (table, column): type, nullability and layout role, from metadata; ``counts`` adds the rows of each table."""
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (name, f.name, f.dataType.simpleString(), "NULLABLE" if f.nullable else "REQUIRED", f.name == partition_by, f.name in cluster_by)
@@ -340,7 +340,11 @@ def schema_inventory(tables: dict[str, DataFrame], partition_by: str | None = No
         for f in df.schema.fields
     ]
     fields = "table_name string, column_name string, data_type string, mode string, is_partition boolean, is_cluster boolean"
-    return spark.createDataFrame(rows, fields)
+    inventory = spark.createDataFrame(rows, fields)
+    if not counts:
+        return inventory
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in sorted(tables.items())]
+    return inventory.join(reduce(DataFrame.unionByName, parts), "table_name")
 
 
 def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:

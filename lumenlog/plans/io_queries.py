@@ -43,10 +43,15 @@ def _(c):
     )
 
 
-@query("discover_streams")
+@query(
+    "discover_streams",
+    """SELECT 'logs_v1.' || sink AS stream_id, sink AS source_table, CASE WHEN sink = 'requests' THEN 'INBOUND' ELSE 'INTERNAL' END AS stream_direction,
+       CASE WHEN sink IN ('stdout', 'stderr') THEN 'REALTIME' ELSE 'BATCH' END AS stream_flow, count(*) AS row_count
+       FROM raw_flat JOIN (VALUES ('requests', 'click'), ('stdout', 'view'), ('stderr', 'error'), ('activity', 'purchase'), ('build', 'signup')) AS k(sink, kind) ON sink_kind = kind GROUP BY ALL""",
+)
 def _(c):
     tables = {name: raw_sink(c, name) for name in ("requests", "stdout", "stderr", "activity", "build")}
-    return io.discover_streams(tables | {"documents": c.documents}, "logs_v1")
+    return io.discover_streams(tables | {"documents": c.documents}, "logs_v1").drop("schema_fields")
 
 
 @query(
@@ -75,7 +80,7 @@ def _(c):
     return rows.select("fetched_at", "asset_type", F.get_json_object("payload", "$.name").alias("name"), F.get_json_object("payload", "$.project").alias("project"))
 
 
-@query("latest_export")
+@query("latest_export", "SELECT * FROM supplier")
 def _(c):
     path = scratch_path(c.spark, "exports")
     c.supplier.select("s_suppkey").write.mode("append").parquet(path)
@@ -96,7 +101,7 @@ def _(c):
     return c.spark.read.parquet(path).select("log_id", "event_timestamp", "severity", "service_name", "message", "log_date", "cluster_key", "etl_batch_id")
 
 
-@query("write_clustered")
+@query("write_clustered", "SELECT * FROM logs")
 def _(c):
     path = scratch_path(c.spark, "clustered")
     io.write_clustered(c.logs.filter(F.col("log_date").isNotNull()), path, "log_date", ["severity", "service_name", "resource_type"])

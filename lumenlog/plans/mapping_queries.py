@@ -214,7 +214,7 @@ def _(c):
 
 @query("schema_inventory")
 def _(c):
-    return m.schema_inventory({"logs": c.logs, "billing": c.billing, "records": c.records}, partition_by="log_date", cluster_by=("severity", "service_name"))
+    return m.schema_inventory({"logs": c.logs, "billing": c.billing, "records": c.records}, partition_by="log_date", cluster_by=("severity", "service_name"), counts=True)
 
 
 @query("schema_changelog")

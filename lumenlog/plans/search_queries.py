@@ -89,15 +89,31 @@ def _(c):
     return score5(s.dbsf([s.batch_search(c.vec, {0: q[0]}, 20), s.batch_search(c.vec, {1: q[1]}, 20)], 10))
 
 
-@query("hybrid_search")
+def bm25_sql(words: list[str], k: int) -> str:
+    """BM25 of the documents for a few words, ranked."""
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(words)))
+    parts = [f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * c.len / avg_len))" for i in range(len(words))]
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
+    return rf"""d AS (SELECT doc_id AS vec_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: x <> '') AS t FROM documents),
+        c AS (SELECT vec_id, len(t) AS len, {tf} FROM d), st AS (SELECT count(*) AS n, avg(len) AS avg_len, {df} FROM c),
+        b AS (SELECT vec_id, {' + '.join(parts)} AS score FROM c, st WHERE {hit}),
+        sparse AS (SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM b ORDER BY score DESC, vec_id LIMIT {k})"""
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {bm25_sql(["the", "of", "error"], 20)}, l AS (SELECT vec_id, rank FROM ({BATCH}) AS x WHERE query_id = 0 AND rank <= 20 UNION ALL SELECT vec_id, rank FROM sparse WHERE rank <= 20)
+        SELECT vec_id, {r('sum(1.0 / (2 + rank))', 5)} AS score FROM l GROUP BY 1 ORDER BY sum(1.0 / (2 + rank)) DESC, vec_id LIMIT 10""",
+)
 def _(c):
     sparse = s.sparse_search(documents(c), "doc_id", "text", ["the", "of", "error"], 20)
-    return s.hybrid_search(c.vec, query_vectors(c)[0], sparse, 10)
+    return score5(s.hybrid_search(c.vec, query_vectors(c)[0], sparse, 10))
 
 
-@query("sparse_search")
+@query("sparse_search", f"WITH {bm25_sql(['the', 'with', 'http'], 20)} SELECT vec_id, {S} AS score, rank FROM sparse")
 def _(c):
-    return s.sparse_search(documents(c), "doc_id", "text", ["the", "with", "http"], 20)
+    return score5(s.sparse_search(documents(c), "doc_id", "text", ["the", "with", "http"], 20))
 
 
 @query(

@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 from lumenlog.functions.ordered import rolling_rows, rolling_seconds, with_key_position, with_position
 from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import normalize as n
+from lumenlog.plans.normalize_queries import ALERT_TEXT
 from lumenlog.plans.oracle_views import level_sql
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
+from lumenlog.plans.text_queries import CHUNKS
 from lumenlog.session import scratch_path
 from lumenlog.streaming import etl, jobs
 
@@ -211,22 +213,27 @@ def _(c):
     return jobs.global_progress(c.etl_jobs)
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    CHUNKS
+    + r""" SELECT source, sha256(chunk_text) AS text_hash, min(chunk_id) AS chunk_id, CAST(64 AS INTEGER) AS dim FROM chunk_rows JOIN (SELECT doc_id AS d, source FROM documents) AS x ON d = doc_id
+        WHERE regexp_matches(chunk_text, '[\p{L}\p{N}_]') GROUP BY ALL""",
+)
 def _(c):
     target = scratch_path(c.spark, "points")
     etl.embed_documents(documents(c), target)
     etl.embed_documents(documents(c), target)  # everything is stored already
-    return c.spark.read.parquet(target).select("source", "text_hash", "chunk_id", "doc_id", "embedding")
+    return c.spark.read.parquet(target).select("source", "text_hash", "chunk_id", F.size("embedding").alias("dim"))
 
 
-@query("realtime_error_embeddings")
+@query("realtime_error_embeddings", f"SELECT log_id, alert_text, CAST(64 AS INTEGER) AS dim FROM ({ALERT_TEXT}) AS a")
 def _(c):
     source, _unused = two_paths(c, "records")
     path, checkpoint = two_paths(c, "error-vectors")
     c.records.write.parquet(source)
     jobs.error_embeddings(jobs.stream_files(c.spark, source, c.spark.read.parquet(source).schema), path, checkpoint, 64)
     schema = T.StructType().add("log_id", "string").add("alert_text", "string").add("embedding", T.ArrayType(T.FloatType()))
-    return jobs.read_batches(c.spark, path, schema).drop("batch")
+    return jobs.read_batches(c.spark, path, schema).select("log_id", "alert_text", F.size("embedding").alias("dim"))
 
 
 KIND_OF = "(VALUES " + ", ".join(f"('{name}', '{kind}')" for name, kind in SINK_KINDS.items()) + ") AS k(sink, kind)"

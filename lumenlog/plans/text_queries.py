@@ -11,18 +11,30 @@ from lumenlog.plans.registry import query
 from lumenlog.plans.shapes import documents, unified
 
 
-@query("chunk_text")
+# The packing rules as a recursion over the pieces of each text.
+CHUNKS = r"""WITH RECURSIVE s AS (SELECT doc_id, source, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+        lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents WHERE length(text) > 4000),
+    u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS si FROM s),
+    w AS (SELECT doc_id, si, length(part) + 1 > 4000 AS long, CASE WHEN length(part) + 1 > 4000 THEN string_split_regex(part, '\s+') ELSE [part] END AS pieces FROM u),
+    v AS (SELECT doc_id, si, long, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS wi FROM w),
+    p AS (SELECT doc_id, piece, long AND wi = 1 AS fresh, length(piece) + 1 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY si, wi) AS i FROM v),
+    r AS (SELECT doc_id, i, piece, n AS size, 0 AS chunk FROM p WHERE i = 1
+          UNION ALL SELECT p.doc_id, p.i, p.piece, CASE WHEN NOT p.fresh AND r.size + p.n <= 4000 THEN r.size + p.n ELSE p.n END, CASE WHEN NOT p.fresh AND r.size + p.n <= 4000 THEN r.chunk ELSE r.chunk + 1 END
+          FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+    g AS (SELECT doc_id, chunk, string_agg(piece, ' ' ORDER BY i) AS chunk_text FROM r GROUP BY ALL),
+    c AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_idx, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk_text FROM g
+          UNION ALL SELECT doc_id, 0, 1, text FROM documents WHERE length(text) <= 4000),
+    chunk_rows AS (SELECT doc_id, CASE WHEN total_chunks > 1 THEN doc_id || '_chunk_' || chunk_idx ELSE CAST(doc_id AS VARCHAR) END AS chunk_id, chunk_idx, total_chunks, chunk_text FROM c)"""
+
+
+@query("chunk_text", CHUNKS + " SELECT * FROM chunk_rows")
 def _(c):
     return t.chunk_rows(documents(c).select("doc_id", "text"), "doc_id", "text").select("doc_id", "chunk_id", "chunk_idx", "total_chunks", "chunk_text")
 
 
-@query(
-    "chunk_ids",
-    """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) <= 4000) SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(0 AS INTEGER) AS chunk_idx, CAST(1 AS INTEGER) AS total_chunks, text AS chunk_text FROM d""",
-)
+@query("chunk_ids", CHUNKS + " SELECT chunk_id, chunk_idx, total_chunks FROM chunk_rows")
 def _(c):
-    rows = t.chunk_rows(documents(c).select("doc_id", "text"), "doc_id", "text")
-    return rows.filter("total_chunks = 1").select("chunk_id", "chunk_idx", "total_chunks", "chunk_text")
+    return t.chunk_rows(documents(c).select("doc_id", "text"), "doc_id", "text").select("chunk_id", "chunk_idx", "total_chunks")
 
 
 @query("embedding_text", "SELECT doc_id, CASE WHEN text <> '' AND source <> '' THEN 'Message: ' || text || ' | Body: ' || source WHEN text <> '' THEN 'Message: ' || text WHEN source <> '' THEN 'Body: ' || source ELSE 'empty log' END AS embedding_text FROM documents")
