@@ -217,11 +217,17 @@ def _(c):
     return m.schema_inventory({"logs": c.logs, "billing": c.billing, "records": c.records}, partition_by="log_date", cluster_by=("severity", "service_name"), counts=True)
 
 
-@query("schema_changelog")
+@query(
+    "schema_changelog",
+    """SELECT 'v2' AS change_version, change_type, 'table' AS object_type, 'logs.' || col AS object_name, TIMESTAMP '2024-01-31 00:00:00' AS applied_at, 'build' AS applied_by, description, row_count
+       FROM (VALUES ('add', 'span_id', 'string'), ('alter', 'severity', 'string -> int')) AS v(change_type, col, description), (SELECT count(*) AS row_count FROM logs)""",
+)
 def _(c):
     before = m.schema_inventory({"logs": c.logs.drop("span_id")})
-    after = m.schema_inventory({"logs": c.logs.withColumn("severity", n_level())})
-    return m.schema_changelog(m.schema_diff(before, after), "v2", AS_OF, "build")
+    after = m.schema_inventory({"logs": c.logs.withColumn("severity", n_level())}, counts=True)
+    changes = m.schema_changelog(m.schema_diff(before, after), "v2", AS_OF, "build")
+    rows = after.select(F.concat_ws(".", "table_name", "column_name").alias("object_name"), "row_count")
+    return changes.join(rows, "object_name", "left")
 
 
 def n_level():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,13 +212,14 @@ def write_clustered(df: DataFrame, path: str, partition: str, cluster: list[str]
     df.hint("rebalance", partition).sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; any other trouble with reading it is raised, not taken for absence."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 
@@ -228,7 +230,7 @@ def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str) -> None
     """
     spark = df.sparkSession
     batch = loadable(df, batch_id, loaded_at).filter(F.col("log_date").isNotNull()).dropDuplicates(["log_id"])
-    if _exists(spark, path):
+    if table_exists(spark, path):
         # reads the timestamp column only
         span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
         if span["first"] is None:

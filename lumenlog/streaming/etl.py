@@ -42,7 +42,7 @@ def embed_documents(docs: DataFrame, target: str, tenant: str = "source", dim: i
     """Chunk, drop texts stored already, embed and upsert by chunk id; running it again changes nothing."""
     spark: SparkSession = docs.sparkSession
     rows = textprep.chunk_rows(docs.select("doc_id", tenant, "text"), "doc_id", "text", max_size).drop("text")
-    stored = spark.read.parquet(target) if io._exists(spark, target) else None
+    stored = spark.read.parquet(target) if io.table_exists(spark, target) else None
     fresh = textprep.dedup_by_text(rows, tenant, "chunk_text", "chunk_id", stored)
     points = textprep.embed(fresh, "chunk_text", dim).filter(F.col("embedding").isNotNull())
     points.write.mode("append").parquet(target)

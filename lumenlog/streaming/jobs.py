@@ -17,7 +17,7 @@ from lumenlog.contracts import ERROR_SEVERITIES
 from lumenlog.functions.columns import count_if
 from lumenlog.operators import chat, normalize
 from lumenlog.session import materialize
-from lumenlog.sources.io import keyed_upsert, overwrite_partitions
+from lumenlog.sources.io import keyed_upsert, overwrite_partitions, routes, table_exists
 
 LOOKBACK = "2 hours"
 
@@ -51,7 +51,8 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches of an append sink; empty when nothing has arrived yet."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], full)
 
 
 def latest_updates(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
@@ -108,8 +109,6 @@ def critical_alerts(rows: DataFrame) -> DataFrame:
 
 def route_by_severity(stream: DataFrame, paths: dict[str, str], checkpoint: str, level: Column) -> None:
     """One query feeds the analytics, archive and alert tables."""
-    from lumenlog.sources.io import routes
-
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("severity_level", level).persist()
         for name, rows in routes(batch).items():
@@ -162,11 +161,9 @@ def dual_write(stream: DataFrame, state_path: str, log_path: str, checkpoint: st
         _write_batch(batch, log_path, batch_id)
         changes = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = spark.createDataFrame([], changes.schema)
-        try:
+        if table_exists(spark, state_path):
             old = spark.read.schema(changes.schema).parquet(state_path).filter(F.col("bucket").isin(touched))
-            old.limit(1).collect()
-        except Exception:  # noqa: BLE001 - the state does not exist before the first batch
+        else:
             old = spark.createDataFrame([], changes.schema)
         merged = materialize(keyed_upsert(old.select(changes.columns), changes, key, order), "state")
         overwrite_partitions(merged, state_path, "bucket")

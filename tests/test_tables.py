@@ -267,6 +267,11 @@ def test_dual_write_keeps_latest_state(spark, folder):
     assert state == {"u0": 27, "u1": 28, "u2": 29} and spark.read.parquet(f"{folder}/log").count() == 30
 
 
+def test_nothing_has_arrived_yet(spark, folder):
+    assert not io.table_exists(spark, f"{folder}/none")
+    assert jobs.read_batches(spark, f"{folder}/none", spark.createDataFrame([], "x int").schema).count() == 0
+
+
 def test_retries(spark):
     df = spark.createDataFrame([(1, "FAILED", 0, False), (2, "FAILED", 2, False), (3, "COMPLETED", 0, True)], "job_id int, status string, retry_count int, priority boolean")
     again, dead = jobs.split_retries(df)
