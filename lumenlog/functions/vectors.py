@@ -41,11 +41,6 @@ def usable(vector: str | Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, dim)
-
-
 def cosine_with(vector: str | Column, query: list[float]) -> Column:
     """Cosine of every row with one query vector, computed per Arrow batch; the row keeps its other columns."""
     q = np.asarray(query, dtype=np.float64)
@@ -66,7 +61,8 @@ def top_matches(df: DataFrame, id_column: str, vector: str, queries: dict[int, l
 
     One matrix product per Arrow batch. With ``k``, a batch hands on only its best k rows per query (ties by id), which is
     exact for a later overall top-k and keeps the output small however large the corpus is. The query set is a parameter of
-    the call, so it is small by construction.
+    the call, so it is small by construction. The scoring function refers to nothing of this package, so executors need only
+    numpy and Arrow.
     """
     query_ids = list(queries)
     dim = len(next(iter(queries.values())))
@@ -79,7 +75,7 @@ def top_matches(df: DataFrame, id_column: str, vector: str, queries: dict[int, l
             if batch.num_rows == 0:
                 continue
             ids = np.asarray(batch.column(0), dtype=np.int64)
-            rows = _matrix(batch.column(1), dim)
+            rows = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
             scores = (rows @ q.T) / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
             for j, query_id in enumerate(query_ids):
                 s = scores[:, j]

@@ -155,27 +155,34 @@ def hyperplanes(dim: int, tables: int, bits: int, seed: int = 7) -> list[list[li
     return [[[rng.gauss(0.0, 1.0) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
 
 
-def _signatures(vectors, planes: list[list[list[float]]]):
-    import numpy as np
+def _signer(planes: list[list[list[float]]]):
+    """Function from a matrix of vectors to their bucket per table; self-contained, as it also runs on executors."""
+
+    def sign(vectors):
+        import numpy as np
+
+        p = np.asarray(planes, dtype=np.float64)
+        tables, bits, dim = p.shape
+        signs = (vectors @ p.reshape(-1, dim).T > 0).reshape(len(vectors), tables, bits)
+        return signs @ (1 << np.arange(bits))
 
-    p = np.asarray(planes, dtype=np.float64)
-    tables, bits, dim = p.shape
-    signs = (vectors @ p.reshape(-1, dim).T > 0).reshape(len(vectors), tables, bits)
-    return signs @ (1 << np.arange(bits))
+    return sign
 
 
 def with_signatures(df: DataFrame, planes: list[list[list[float]]]) -> DataFrame:
     """Sign-hash bucket of every vector in every table, as an array of numbers; store it with the vectors."""
-    dim = len(planes[0][0])
+    sign = _signer(planes)
 
     @F.pandas_udf("array<int>")
     def signatures(vectors):
         import numpy as np
         import pandas as pd
 
-        return pd.Series(list(_signatures(np.stack(vectors.to_numpy()).astype("float64"), planes).astype("int32")))
+        if len(vectors) == 0:
+            return pd.Series([], dtype=object)
+        return pd.Series(list(sign(np.stack(vectors.to_numpy()).astype("float64")).astype("int32")))
 
-    return df.filter(usable(VECTOR, dim)).withColumn("buckets", signatures(VECTOR))
+    return df.filter(usable(VECTOR, len(planes[0][0]))).withColumn("buckets", signatures(VECTOR))
 
 
 def ann_search(indexed: DataFrame, planes: list[list[list[float]]], queries: dict[int, list[float]], k: int) -> DataFrame:
@@ -186,9 +193,10 @@ def ann_search(indexed: DataFrame, planes: list[list[list[float]]], queries: dic
     """
     import numpy as np
 
+    sign = _signer(planes)
     parts = None
     for query_id, vector in queries.items():
-        own = _signatures(np.asarray([vector], dtype=np.float64), planes)[0]
+        own = sign(np.asarray([vector], dtype=np.float64))[0]
         bits = len(planes[0])
         near: Column = F.lit(False)
         for table, signature in enumerate(own):
