@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lumenlog.llm import exact_dedup, ngram_join, sharding
+from lumenlog.llm import exact_dedup, mixing, ngram_join, packing, sharding
+from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name``, with its SQL where SQL can say it."""
 
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return run
@@ -79,3 +83,13 @@ FROM h JOIN s USING (doc_id), crc
 )
 def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_in_shards(_table(spark, sf_dir, "documents"), 16)
+
+
+@query("op1_low_discrepancy")
+def op1_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_best_fit")
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
