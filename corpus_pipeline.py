@@ -10,12 +10,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm import exact_dedup, ngram_join
+from lumenlog.llm import exact_dedup, langid, mixing, ngram_join, packing
+from lumenlog.llm.shipping import ship_code
 from lumenlog.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents get the language their text is in; texts without a letter go."""
+    ship_code(spark)
+    return langid.keep_identified(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
     return exact_dedup.drop_exact_copies(docs)
@@ -23,10 +30,29 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document with the smallest id stays."""
+    ship_code(spark)
     return ngram_join.drop_similar(docs, n=5, percent=80)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_copies), ("ngram_join", similar_texts)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights; a document that is taken several times has as many rows."""
+    ship_code(spark)
+    return mixing.mixed_documents(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of all documents."""
+    ship_code(spark)
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", languages),
+    ("exact_dedup", exact_copies),
+    ("ngram_join", similar_texts),
+    ("mixing", source_mix),
+    ("best_fit_packing", sequences),
+]
 
 #: Languages come from a trained model, so SQL cannot give these rows; the tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None

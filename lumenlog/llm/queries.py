@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlog.llm import exact_dedup, mixing, ngram_join, packing, sharding
+from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, sharding
 from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,16 @@ def op1_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_best_fit")
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_naive_bayes")
+def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.remainder("doc_id", 5) == 0
+    found = langid.detect(docs, langid.train(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_tree_scoring")
+def op5_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
