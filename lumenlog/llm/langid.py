@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,15 +159,29 @@ def remainder(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def _keep(shared, text: int, lang: int):
+    score = _score(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nothing = pa.nulls(batch.num_rows)
+            pair = pa.RecordBatch.from_arrays([nothing, batch.column(text)], names=["id", "t"])
+            found = next(score(iter([pair]))).column(1)
+            columns = [found.cast(c.type) if i == lang else c for i, c in enumerate(batch.columns)]
+            whole = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield whole.filter(pc.not_equal(found, UNKNOWN))
+
+    return run
+
+
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told, with it in place of the given one; texts without a letter go.
+    """The documents whose language can be told, with it in place of the given one; texts that are null or without a letter go.
 
-    The model learns from the labelled rows that ``remainder`` modulo 5 does not hold out. Ids must be unique; rows with a null id
-    go, as do rows whose text is null.
+    The model learns from the labelled rows that ``remainder`` modulo 5 does not hold out; where there are none, languages stay as
+    they are. Rows are judged where they lie, so nothing is shuffled and ids need not be unique.
     """
     model = train(df.filter(remainder(id_col, 5) != 0), id_col, text_col, lang_col)
     if not model.languages:
         return df.filter(F.col(text_col).rlike(r"\p{L}"))
-    found = detect(df, model, id_col, text_col).filter(F.col("lang_pred") != UNKNOWN).select(F.col(id_col).alias("_found_id"), "lang_pred")
-    joined = df.join(found, df[id_col].cast("bigint") == found["_found_id"])
-    return joined.select(*[found["lang_pred"].alias(c) if c == lang_col else df[c] for c in df.columns])
+    shared = df.sparkSession.sparkContext.broadcast(Model(model.languages, np.asfortranarray(model.weights)))
+    return df.mapInArrow(_keep(shared, df.columns.index(text_col), df.columns.index(lang_col)), df.schema)

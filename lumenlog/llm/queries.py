@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, sharding
+from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, sharding, topk
 from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +107,18 @@ def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_tree_scoring")
 def op5_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op6_max_score",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
+)
+def op6_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.max_score(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
