@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, sharding, topk
+from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, pii, sharding, topk
 from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The registered query must agree with itself between runs; a deployment passes a secret of its own.
+PSEUDONYM_KEY = "registered-query"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -122,3 +125,8 @@ SELECT * FROM r WHERE rank <= 5
 )
 def op6_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.max_score(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_feistel_pseudonyms")
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
