@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import exact_dedup, html_extract, langid, mixing, ngram_join, packing, pii, sharding, topk
+from lumenlog.llm import exact_dedup, html_extract, langid, lm_scoring, mixing, ngram_join, packing, pii, sharding, topk
 from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,10 @@ def op6_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_feistel_pseudonyms")
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
+@query("op3_context_mixing")
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.remainder("doc_id", 7) == 2
+    scored = lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
