@@ -43,7 +43,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         head, tail = F.substring("rest", 1, step), F.expr(f"substring(rest, {step + 1})")
         nodes = rows.groupBy("parent", head.alias("head")).agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
         nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), f"radix-nodes-{level}")
-        split = rows.select("id", "sha", "parent", head.alias("head"), tail.alias("rest")).join(nodes, ["parent", "head"], "left")
+        split = rows.select("id", "sha", "parent", head.alias("head"), tail.alias("rest")).join(nodes.hint("merge"), ["parent", "head"], "left")
         open_text = F.col("node").isNotNull() & (F.octet_length("rest") > 0)
         split = split.select("id", "sha", "node", "n", "rep", F.when(open_text, F.col("rest")).alias("rest"))
         stored = materialize(split, f"radix-{level}")
