@@ -69,4 +69,4 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Ids must be unique; a null id stays only if no other null id shares its group."""
     kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -165,5 +165,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mix = Mix(df, id_col, text_col, source_col)
     passes = mix.pieces.groupBy("uid", "epoch").agg(F.sum("length").alias("words")).join(mix.rows.select("uid", "id", "size"), "uid")
     times = passes.filter("2 * words >= size").groupBy("id").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("id", "_id")
-    copies = F.explode(F.sequence(F.lit(1), "_times")).alias("_copy")
-    return df.join(times, df[id_col].cast("bigint").eqNullSafe(times["_id"])).select(*[df[c] for c in df.columns], copies).drop("_copy")
+    copy = "_copy"
+    while copy in df.columns:
+        copy += "_"
+    copies = F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)
+    return df.join(times, df[id_col].cast("bigint").eqNullSafe(times["_id"])).select(*[df[c] for c in df.columns], copies).drop(copy)

@@ -300,7 +300,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocked = inside.join(weight, "root").select("name", "root", "blocks", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"))
 
     wanted = inside.select(F.col("id").alias("wanted")).distinct()
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("t")
+    texts = docs.join(wanted.hint("merge"), docs["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("t")
     grams = texts.mapInArrow(_grams(n), "name binary, grams array<bigint>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meetings = grams.join(blocked, "name").select("name", "grams", "root", "block", other)
@@ -327,4 +327,4 @@ def _key(name: str):
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """The rows whose id names their component, with all columns: one document of each group of similar ones. Ids must be unique."""
     kept = jaccard_components(df, id_col, text_col, n, percent).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"))
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
