@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlog.llm.marks import marked, marks, unmarked, without_ids
 from lumenlog.session import materialize
 
 FIRST_BYTES = 64
@@ -43,10 +44,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         head, tail = F.substring("rest", 1, step), F.expr(f"substring(rest, {step + 1})")
         nodes = rows.groupBy("parent", head.alias("head")).agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter("n > 1")
         nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), f"radix-nodes-{level}")
-        split = rows.select("id", "sha", "parent", head.alias("head"), tail.alias("rest")).join(nodes.hint("merge"), ["parent", "head"], "left")
+        # Rows whose length and first bytes no other text has leave here without being moved.
+        found = marks(nodes, "parent", "head")
+        near = marked(rows, found, F.col("parent"), head).select("id", "sha", "parent", head.alias("head"), tail.alias("rest"))
+        split = near.join(nodes.hint("merge"), ["parent", "head"], "left")
         open_text = F.col("node").isNotNull() & (F.octet_length("rest") > 0)
         split = split.select("id", "sha", "node", "n", "rep", F.when(open_text, F.col("rest")).alias("rest"))
         stored = materialize(split, f"radix-{level}")
+        alone = unmarked(rows, found, F.col("parent"), head).select("id", "sha")
+        done.append(alone.select("id", "sha", F.lit(level).alias("level"), *[F.lit(None).cast("bigint").alias(c) for c in ("node", "n")], F.col("id").alias("rep")))
         done.append(stored.filter("rest IS NULL").select("id", "sha", F.lit(level).alias("level"), "node", "n", "rep"))
         rows = stored.filter("rest IS NOT NULL").select("id", "sha", F.col("node").alias("parent"), "rest")
         if rows.isEmpty():
@@ -67,6 +73,6 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Ids must be unique; a null id stays only if no other null id shares its group."""
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows that stay, with all their columns. Ids must be unique."""
+    found = exact_groups(df, id_col, text_col)
+    return without_ids(df, id_col, found.filter("NOT kept").select(id_col))
