@@ -32,9 +32,11 @@ def contains_any(text: str | Column, words: Iterable[str]) -> Column:
     return F.coalesce(col(text).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
-def cap(text: str | Column, limit: int, tail: str = "...") -> Column:
-    """The text, cut at ``limit`` characters with ``tail`` appended when something was cut."""
+def cap(text: str | Column, limit: int | None, tail: str = "...") -> Column:
+    """The text, cut at ``limit`` characters with ``tail`` appended when something was cut; whole without a limit."""
     text = col(text)
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(tail))).otherwise(text)
 
 

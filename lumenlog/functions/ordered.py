@@ -74,6 +74,17 @@ def rolling_rows(df: DataFrame, keys: list[str], position: str, rows: int, aggre
     return done.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
+def rolling_counts(df: DataFrame, keys: list[str], ts: str, seconds: int, out: str) -> DataFrame:
+    """Rows of the trailing ``seconds`` (both ends included) of each key, on every row.
+
+    Rows are first counted per second, map-side, so a burst is one number per second; the window runs over those.
+    """
+    at = df.withColumn("_second", F.unix_seconds(F.col(ts).cast("timestamp")))
+    counts = at.groupBy(*keys, "_second").agg(F.count("*").alias("_n")).withColumn("_moment", F.timestamp_seconds("_second"))
+    rolled = rolling_seconds(counts, keys, "_moment", seconds, {out: F.sum("_n")}).select(*keys, "_second", out)
+    return at.join(rolled, [*keys, "_second"]).drop("_second")
+
+
 def rolling_seconds(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates: dict[str, Column], block: int | None = None) -> DataFrame:
     """Aggregates over the trailing ``seconds`` (both ends included) of each key, cut into time blocks in the same way."""
     width = block or max(12 * seconds, 3600)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlog.contracts import (
-    ERROR_CAP,
     ERROR_TEXT_PATTERNS,
     PII_HIGH,
     PII_KEYWORDS_HIGH,
@@ -16,7 +15,6 @@ from lumenlog.contracts import (
     PII_LOW,
     PII_MODERATE,
     REDACTIONS,
-    STACK_CAP,
     SUMMARY_CAP,
 )
 from lumenlog.functions.columns import cap, col, extract
@@ -84,14 +82,14 @@ def pii_risk_keywords(message: str | Column, json_payload: str | Column) -> Colu
     )
 
 
-def error_in_text(text: str | Column) -> Column:
-    """What follows the first error word of a text, patterns tried in order."""
-    return F.substring(F.coalesce(*[extract(text, p) for p in ERROR_TEXT_PATTERNS]), 1, ERROR_CAP)
+def error_in_text(text: str | Column, limit: int | None = None) -> Column:
+    """What follows the first error word of a text, patterns tried in order; whole unless a limit is given."""
+    return cap(F.coalesce(*[extract(text, p) for p in ERROR_TEXT_PATTERNS]), limit, "")
 
 
-def stack_trace(text: str | Column) -> Column:
+def stack_trace(text: str | Column, limit: int | None = None) -> Column:
     text = col(text)
-    return F.when(text.contains("Traceback") | text.contains("at "), F.substring(text, 1, STACK_CAP))
+    return F.when(text.contains("Traceback") | text.contains("at "), cap(text, limit, ""))
 
 
 def summary(text: str | Column) -> Column:

@@ -187,11 +187,10 @@ def service_errors_on(df: DataFrame, day: str) -> DataFrame:
     return df.filter((F.col("log_date") == F.to_date(F.lit(day))) & _error()).groupBy("service_name").agg(F.count("*").alias("error_count"))
 
 
-def error_insights(df: DataFrame, since_ts: str, newest: int = 1000) -> DataFrame:
-    """Services that show up often among the newest errors of the day."""
+def error_insights(df: DataFrame, since_ts: str) -> DataFrame:
+    """Services that show up often among all errors of the day."""
     rows = df.filter(F.col("severity").isin(ERROR_SEVERITIES) & (F.col("event_timestamp") >= literal_like(df, "event_timestamp", since_ts)))
-    recent = rows.orderBy(F.desc("event_timestamp"), "log_id").limit(newest)
-    counts = recent.groupBy(F.coalesce("service_name", F.lit("unknown")).alias("service")).agg(F.count("*").alias("error_count"))
+    counts = rows.groupBy(F.coalesce("service_name", F.lit("unknown")).alias("service")).agg(F.count("*").alias("error_count"))
     return counts.filter(F.col("error_count") >= 10).select(
         F.lit("high_error_rate").alias("type"), F.when(F.col("error_count") < 50, "warning").otherwise("critical").alias("severity"), "service", "error_count"
     )

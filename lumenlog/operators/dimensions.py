@@ -84,19 +84,19 @@ def resolve_at(facts: DataFrame, links: DataFrame, key: str, date: str) -> DataF
 
 
 def fact_policy(assets: DataFrame) -> DataFrame:
-    """One row per binding of each asset's access policy: first member, role and condition."""
+    """One row per member of every binding of each asset's access policy, with role and condition."""
     bindings = F.from_json(F.get_json_object("payload", "$.iamPolicy.bindings"), "array<struct<role:string,members:array<string>,condition:string>>")
     rows = assets.select(
         F.to_date("fetched_at").alias("policy_snapshot_date"),
         F.get_json_object("payload", "$.project").alias("project_id"),
         F.get_json_object("payload", "$.name").alias("resource"),
         F.explode(bindings).alias("b"),
-    )
+    ).withColumn("member", F.explode("b.members"))
     return rows.select(
         "policy_snapshot_date",
         "project_id",
         "resource",
-        F.get("b.members", 0).alias("member"),
+        "member",
         F.col("b.role").alias("role"),
         F.col("b.condition").alias("condition"),
         F.lit("asset_inventory").alias("origin"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumenlog.contracts import BILLED_JOB_TYPES, SERVICE_NAMES, USD_PER_TIB
 from lumenlog.functions.columns import count_if, extract
 from lumenlog.functions.timewin import day, days_back, month_start, week_start
+from lumenlog.session import materialize
 
 TIB = float(1024**4)
 
@@ -168,10 +169,20 @@ def archive_rollup(billing: DataFrame) -> DataFrame:
 
 
 def archive_incremental(billing: DataFrame, archive: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """Roll up what has grown older than ``days`` and whose date does not start a stored period yet."""
+    """Roll up what has grown older than ``days`` and lies outside the days already archived; a second run adds nothing.
+
+    What is archived is, for each month, the days from the first period's start to the last one's end.
+    """
     old = billing.filter(F.col("usage_date") < F.date_sub(day(as_of), days))
-    stored = archive.select(F.col("period_start").alias("usage_date")).distinct()
-    return archive_rollup(old.join(stored, "usage_date", "left_anti"))
+    done = archive.groupBy("archive_year", "archive_month").agg(F.min("period_start").alias("_from"), F.max("period_end").alias("_to"))
+    same_month = (F.year(old["usage_date"]) == done["archive_year"]) & (F.month(old["usage_date"]) == done["archive_month"])
+    return archive_rollup(old.join(done, same_month & old["usage_date"].between(done["_from"], done["_to"]), "left_anti"))
+
+
+def archive_workforce(attribution: DataFrame, archive: DataFrame, as_of: str, days: int = 180) -> DataFrame:
+    """Attribution lines older than ``days`` of days that the archive does not hold yet; a second run adds nothing."""
+    old = attribution.filter(F.col("attribution_date") < F.date_sub(day(as_of), days))
+    return old.join(archive.select("attribution_date").distinct(), "attribution_date", "left_anti").select(*attribution.columns)
 
 
 def _per_tib(cost: Column, bytes_billed: Column) -> Column:
@@ -336,14 +347,27 @@ def workforce_attribution(direct: DataFrame, billing: DataFrame) -> DataFrame:
     )
 
 
+def _above(orgs: DataFrame) -> DataFrame:
+    """(org_id, ancestor): every unit with all units above it, one level more each round."""
+    links = orgs.filter(F.col("parent_org_id").isNotNull()).select(F.col("org_id").alias("unit"), F.col("parent_org_id").alias("above")).distinct()
+    step = found = materialize(links.select(F.col("unit").alias("org_id"), F.col("above").alias("ancestor")), "ancestors")
+    while not step.isEmpty():
+        higher = step.join(links, F.col("ancestor") == F.col("unit")).select("org_id", F.col("above").alias("ancestor")).distinct()
+        step = materialize(higher.join(found, ["org_id", "ancestor"], "left_anti"), "ancestors")
+        found = found.unionByName(step)
+    return found.filter(F.col("org_id") != F.col("ancestor"))
+
+
 def org_hierarchy_costs(leaf_costs: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Cost per organisation unit including its children: each cost counts for its unit and for the unit's parent."""
+    """Cost per organisation unit including everything below it, however deep: each cost counts for its unit and all above.
+
+    ``child_count`` is the number of direct children. A unit that is its own ancestor adds to the units of its circle once.
+    """
     costs = leaf_costs.groupBy("org_id").agg(F.sum("cost").alias("own_cost"), F.count("*").alias("own_lines"))
     tree = orgs.join(costs, "org_id", "left").select("org_id", "org_name", "parent_org_id", F.coalesce("own_cost", F.lit(0.0)).alias("own_cost"))
-    children = tree.filter(F.col("parent_org_id").isNotNull()).groupBy(F.col("parent_org_id").alias("org_id")).agg(
-        F.sum("own_cost").alias("children_cost"), F.count("*").alias("child_count")
-    )
-    return tree.join(children, "org_id", "left").select(
+    below = _above(orgs).join(costs, "org_id", "left").groupBy(F.col("ancestor").alias("org_id")).agg(F.sum(F.coalesce("own_cost", F.lit(0.0))).alias("children_cost"))
+    children = orgs.filter(F.col("parent_org_id").isNotNull()).groupBy(F.col("parent_org_id").alias("org_id")).agg(F.count("*").alias("child_count"))
+    return tree.join(children, "org_id", "left").join(below, "org_id", "left").select(
         "org_id",
         "org_name",
         "parent_org_id",

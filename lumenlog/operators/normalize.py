@@ -292,11 +292,11 @@ def error_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def message_column(df: DataFrame) -> Column:
-    """One readable line: content, request, error; capped."""
+def message_column(df: DataFrame, limit: int | None = None) -> Column:
+    """One readable line: content, request, error; whole unless a limit is given."""
     content = (
         F.when(F.coalesce("text_payload", F.lit("")) != "", F.col("text_payload"))
-        .when(_filled("json_payload"), F.substring("json_payload", 1, 1000))
+        .when(_filled("json_payload"), F.col("json_payload"))
         .when(
             _filled("audit_payload"),
             F.concat(F.lit("Audit: "), F.coalesce("service_name", F.lit("")), F.lit(" "), F.coalesce("service_method", F.lit(""))),
@@ -309,7 +309,7 @@ def message_column(df: DataFrame) -> Column:
     error = F.when(is_new, F.concat(F.lit("Error: "), F.col("error_message")))
     line = F.nullif(F.concat_ws(BAR, content, request, error), F.lit(""))
     fallback = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("log_type"))
-    return cap(F.coalesce(line, fallback), MESSAGE_CAP)
+    return cap(F.coalesce(line, fallback), limit)
 
 
 def correlation_columns() -> dict[str, Column]:
@@ -420,13 +420,13 @@ def error_fingerprint(service: str, method: str, url: str, status: str, message:
     )
 
 
-def alert_messages(df: DataFrame) -> DataFrame:
-    """Alert text of rows of ERROR and above: severity, service and the first message any payload gives."""
+def alert_messages(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alert text of rows of ERROR and above: severity, service and the first message any payload gives, whole unless limited."""
     picked = F.coalesce(
         F.col("text_payload"), json_field("json_payload", "message"), json_field("json_payload", "msg"), F.col("json_payload"),
-        json_field("proto_payload", "status.message"), F.substring("proto_payload", 1, 500), F.lit(""),
+        json_field("proto_payload", "status.message"), F.col("proto_payload"), F.lit(""),
     )
-    text = F.concat_ws(BAR, "severity", F.coalesce("service_name", F.lit("unknown")), cap(picked, 1000))
+    text = F.concat_ws(BAR, "severity", F.coalesce("service_name", F.lit("unknown")), cap(picked, limit))
     return df.filter(F.col("severity").isin(ERROR_SEVERITIES)).withColumn("alert_text", text)
 
 

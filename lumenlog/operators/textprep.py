@@ -82,16 +82,16 @@ def _present(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
 
 
-def _pairs(json: str, limit: int) -> Column:
-    entries = F.slice(F.map_entries(F.from_json(json, "map<string,string>")), 1, limit)
+def _pairs(json: str) -> Column:
+    entries = F.map_entries(F.from_json(json, "map<string,string>"))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
 
 
 def trace_text(df: DataFrame) -> Column:
-    """The labelled one-line layout of a unified row, capped."""
+    """The labelled one-line layout of a unified row, with whole payloads and all labels; long texts are left to chunking."""
 
-    def labelled(label: str, c: str, limit: int) -> Column:
-        return F.when(_present(c), F.concat(F.lit(f"{label}: "), cap(c, limit, TRUNCATED)))
+    def labelled(label: str, c: str) -> Column:
+        return F.when(_present(c), F.concat(F.lit(f"{label}: "), c))
 
     head = F.concat(F.lit("["), F.coalesce(_iso("event_timestamp"), F.lit("unknown_time")), F.lit("] ["), "severity", F.lit("] ["), "service_name", F.lit("]"))
     http = F.concat(F.lit("HTTP: "), "http_method", F.lit(" "), "http_url", F.lit(" "), F.coalesce(F.col("http_status").cast("string"), F.lit("")))
@@ -99,25 +99,25 @@ def trace_text(df: DataFrame) -> Column:
     parts = F.concat_ws(
         BAR,
         head,
-        labelled("Message", "text_payload", 4000),
-        labelled("JSON", "json_payload", 2000),
-        labelled("Proto", "proto_payload", 1000),
+        labelled("Message", "text_payload"),
+        labelled("JSON", "json_payload"),
+        labelled("Proto", "proto_payload"),
         F.when(_present("trace_id"), F.concat(F.lit("Trace: "), "trace_id")),
         F.when(_present("trace_id") & _present("span_id"), F.concat(F.lit("Span: "), "span_id")),
         F.when(_present("http_method") & _present("http_url"), http),
         F.when(_present("source_file"), source),
-        F.when(_present("labels") & F.from_json("labels", "map<string,string>").isNotNull(), F.concat(F.lit("Labels: "), _pairs("labels", 5))),
+        F.when(_present("labels") & F.from_json("labels", "map<string,string>").isNotNull(), F.concat(F.lit("Labels: "), _pairs("labels"))),
         F.concat(F.lit("Resource: "), F.coalesce("resource_type", F.lit(""))),
-        F.when(_present("resource_labels"), F.concat(F.lit("ResourceLabels: "), _pairs("resource_labels", 3))),
+        F.when(_present("resource_labels"), F.concat(F.lit("ResourceLabels: "), _pairs("resource_labels"))),
     )
-    return cap(parts, 8000, TRUNCATED)
+    return parts
 
 
 def master_log_text() -> Column:
     """The second layout, space joined."""
     extra = _present("text_payload") & ~F.col("text_payload").eqNullSafe(F.col("message"))
     http = F.concat_ws(
-        " ", F.lit("HTTP:"), F.when(_present("http_method"), F.col("http_method")), F.substring(F.when(_present("http_url"), F.col("http_url")), 1, 200),
+        " ", F.lit("HTTP:"), F.when(_present("http_method"), F.col("http_method")), F.when(_present("http_url"), F.col("http_url")),
         F.when(F.coalesce("http_status", F.lit(0)) != 0, F.concat(F.lit("status="), F.col("http_status").cast("string"))),
     )
     return F.concat_ws(
@@ -125,9 +125,9 @@ def master_log_text() -> Column:
         F.concat(F.lit("["), F.coalesce(_iso("event_timestamp"), F.lit("unknown")), F.lit("] ["), "severity", F.lit("]")),
         F.when(_present("service_name"), F.concat(F.lit("["), "service_name", F.lit("]"))),
         F.when(_present("resource_type"), F.concat(F.lit("["), "resource_type", F.lit("]"))),
-        F.when(_present("message"), F.concat(F.lit("Message: "), F.substring("message", 1, 4000))),
-        F.when(extra, F.concat(F.lit("Text: "), F.substring("text_payload", 1, 2000))),
-        F.when(_present("json_payload"), F.concat(F.lit("JSON: "), F.substring("json_payload", 1, 1500))),
+        F.when(_present("message"), F.concat(F.lit("Message: "), "message")),
+        F.when(extra, F.concat(F.lit("Text: "), "text_payload")),
+        F.when(_present("json_payload"), F.concat(F.lit("JSON: "), "json_payload")),
         F.when(_present("http_method") | _present("http_url"), http),
         F.when(_present("trace_id"), F.concat(F.lit("Trace: "), "trace_id")),
     )

@@ -123,8 +123,10 @@ def related_logs(anchors: DataFrame, logs: DataFrame, minutes: int = 30, limit:
 def trace_context(anchors: DataFrame, logs: DataFrame, limit: int = 30) -> DataFrame:
     """All rows of the anchor's trace, the first ``limit`` per anchor."""
     a = anchors.filter(F.col("trace_id").isNotNull()).select(F.col("log_id").alias("anchor_id"), "trace_id")
-    ranked = logs.join(a, "trace_id").withColumn("rn", F.row_number().over(Window.partitionBy("anchor_id").orderBy("event_timestamp", "log_id")))
-    return ranked.filter(F.col("rn") <= limit).select(
+    # The first rows of a trace are the same for all its anchors, so they are picked before the join, however long the trace is.
+    wanted = logs.join(a.select("trace_id").distinct(), "trace_id", "left_semi")
+    first = wanted.withColumn("rn", F.row_number().over(Window.partitionBy("trace_id").orderBy("event_timestamp", "log_id"))).filter(F.col("rn") <= limit)
+    return first.join(a, "trace_id").select(
         "anchor_id", "log_id", "event_timestamp", "severity", "service_name", "span_id", F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("message"), "rn"
     )
 

@@ -182,7 +182,7 @@ def _(c):
 
 @query(
     "error_insights",
-    f"""WITH t AS (SELECT * FROM logs WHERE {ERR4} AND event_timestamp >= TIMESTAMP '2024-01-01 00:00:00' ORDER BY event_timestamp DESC, log_id LIMIT 1000),
+    f"""WITH t AS (SELECT * FROM logs WHERE {ERR4} AND event_timestamp >= TIMESTAMP '2024-01-01 00:00:00'),
         g AS (SELECT coalesce(service_name, 'unknown') AS service, count(*) AS error_count FROM t GROUP BY 1)
         SELECT 'high_error_rate' AS type, CASE WHEN error_count < 50 THEN 'warning' ELSE 'critical' END AS severity, service, error_count FROM g WHERE error_count >= 10""",
 )

@@ -84,14 +84,14 @@ def _(c):
 def _(c):
     path = scratch_path(c.spark, "exports")
     c.supplier.select("s_suppkey").write.mode("append").parquet(path)
-    c.supplier.write.mode("append").parquet(path)
-    return c.spark.read.parquet(io.latest_export(c.spark, path, "part-"))
+    c.supplier.repartition(4, "s_suppkey").write.mode("append").parquet(path)
+    return c.spark.read.parquet(*io.latest_export(c.spark, path, "part-"))
 
 
 @query(
     "append_logs",
-    """SELECT log_id, event_timestamp, severity, service_name, substr(message, 1, 10000) AS message, CAST(event_timestamp AS DATE) AS log_date,
-       severity || ':' || coalesce(service_name, 'unknown') AS cluster_key, 'batch-1' AS etl_batch_id FROM logs WHERE event_timestamp IS NOT NULL""",
+    """SELECT log_id, event_timestamp, severity, service_name, message, CAST(event_timestamp AS DATE) AS log_date,
+       severity || ':' || coalesce(service_name, 'unknown') AS cluster_key, 'batch-1' AS etl_batch_id FROM logs""",
 )
 def _(c):
     path = scratch_path(c.spark, "unified-append")
@@ -118,14 +118,19 @@ def _(c):
     base = c.vec.select("vec_id", "project_id", "severity", F.lit(1).alias("seq"))
     changed = c.vec.filter("severity = 'ERROR'").select("vec_id", "project_id", F.lit("INFO").alias("severity"), F.lit(2).alias("seq"))
     fresh = c.vec.filter("severity = 'WARNING'").select((F.col("vec_id") + 1000000).alias("vec_id"), "project_id", "severity", F.lit(2).alias("seq"))
-    return io.keyed_upsert(base, changed.unionByName(fresh), "vec_id", "seq")
+    path = scratch_path(c.spark, "points")
+    io.upsert_table(c.spark, path, base, "vec_id", "seq", buckets=4)
+    for _again in range(2):  # the second time nothing may change
+        io.upsert_table(c.spark, path, changed.unionByName(fresh), "vec_id", "seq")
+    return c.spark.read.parquet(path).drop("buckets", "bucket")
 
 
 @query("delete_by_tenant", "SELECT vec_id, project_id FROM vec WHERE project_id <> 'tenant-1'")
 def _(c):
     path = scratch_path(c.spark, "points")
     c.vec.select("vec_id", "project_id").write.partitionBy("project_id").parquet(path)
-    return io.without_tenant(c.spark.read.parquet(path), "tenant-1").select("vec_id", "project_id")
+    io.delete_tenant(c.spark, path, "tenant-1")
+    return c.spark.read.parquet(path).select("vec_id", "project_id")
 
 
 @query(
@@ -135,22 +140,26 @@ def _(c):
        UNION ALL SELECT 'cud_export', count(*) FROM cud WHERE usage_date >= DATE '2001-11-05' - 1095""",
 )
 def _(c):
-    kept = [
-        io.unexpired(df, table, "usage_date", "2001-11-05").agg(F.lit(table).alias("table_name"), F.count("*").alias("kept"))
-        for table, df in (("billing_detailed_current", c.billing), ("service_costs_detailed", c.billing), ("cud_export", c.cud))
-    ]
+    kept = []
+    for table, df in (("billing_detailed_current", c.billing), ("service_costs_detailed", c.billing), ("cud_export", c.cud)):
+        path = scratch_path(c.spark, "expiring")
+        df.select("usage_date", F.date_format("usage_date", "yyyy-MM").alias("usage_month")).write.partitionBy("usage_month").parquet(path)
+        io.expire(c.spark, path, table, "usage_date", "usage_month", "2001-11-05")
+        kept.append(c.spark.read.parquet(path).agg(F.lit(table).alias("table_name"), F.count("*").alias("kept")))
     return reduce(DataFrame.unionByName, kept).select("table_name", "kept")
 
 
 @query(
     "cleanup_source",
-    """SELECT count(*) FILTER (WHERE event_timestamp < TIMESTAMP '2024-01-15 00:00:00') AS would_delete,
-       count(*) FILTER (WHERE event_timestamp IS NULL OR event_timestamp >= TIMESTAMP '2024-01-15 00:00:00') AS kept FROM logs""",
+    """SELECT count(*) FILTER (WHERE event_timestamp < TIMESTAMP '2024-01-15 12:00:00') AS would_delete,
+       count(*) FILTER (WHERE event_timestamp IS NULL OR event_timestamp >= TIMESTAMP '2024-01-15 12:00:00') AS kept FROM logs""",
 )
 def _(c):
-    gone = io.older_than(c.logs, "2024-01-15 00:00:00").select(F.lit(1).alias("gone"), F.lit(0).alias("kept"))
-    kept = io.survivors(c.logs, "2024-01-15 00:00:00").select(F.lit(0).alias("gone"), F.lit(1).alias("kept"))
-    return gone.unionByName(kept).agg(F.sum("gone").alias("would_delete"), F.sum("kept").alias("kept"))
+    path = scratch_path(c.spark, "cleaned")
+    c.logs.select("log_id", "event_timestamp", F.date_trunc("week", "event_timestamp").cast("date").alias("log_week")).write.partitionBy("log_week").parquet(path)
+    planned = io.cleanup(c.spark, path, "2024-01-15 12:00:00", "log_week", dry_run=True).agg(F.sum("deleted").alias("would_delete"))
+    io.cleanup(c.spark, path, "2024-01-15 12:00:00", "log_week")
+    return c.spark.read.parquet(path).agg(F.count("*").alias("kept")).join(F.broadcast(planned))
 
 
 @query(

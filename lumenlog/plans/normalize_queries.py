@@ -127,7 +127,7 @@ def _(c):
 @query(
     "detect_error",
     f"""SELECT doc_id, {error_sql('text')} AS error_message,
-        CASE WHEN contains(text, 'Traceback') OR contains(text, 'at ') THEN substr(text, 1, 5000) END AS error_stack_trace FROM documents""",
+        CASE WHEN contains(text, 'Traceback') OR contains(text, 'at ') THEN text END AS error_stack_trace FROM documents""",
 )
 def _(c):
     return documents(c).select("doc_id", text.error_in_text("text").alias("error_message"), text.stack_trace("text").alias("error_stack_trace"))
@@ -383,9 +383,9 @@ def _(c):
 
 
 ALERT_TEXT = f"""SELECT log_id, severity || ' | ' || coalesce(service_name, 'unknown') || ' | ' ||
-        CASE WHEN length(m) > 1000 THEN substr(m, 1, 1000) || '...' ELSE m END AS alert_text
+        m AS alert_text
         FROM (SELECT *, coalesce(text_payload, {js('json_payload', 'message')}, {js('json_payload', 'msg')}, json_payload, {js('proto_payload', 'status.message')},
-              substr(proto_payload, 1, 500), '') AS m FROM o_payload) AS q WHERE severity IN ('ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY')"""
+              proto_payload, '') AS m FROM o_payload) AS q WHERE severity IN ('ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY')"""
 
 
 @query("alert_messages", ALERT_TEXT)

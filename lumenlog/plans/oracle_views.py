@@ -47,7 +47,7 @@ def pii_sql(text: str) -> str:
 
 def error_sql(text: str) -> str:
     parts = [f"nullif(regexp_extract({text}, '(?i){w}[:\\s]+([^\\n]+)', 1), '')" for w in ("error", "exception", "failed")]
-    return f"substr(coalesce({', '.join(parts)}), 1, 500)"
+    return f"coalesce({', '.join(parts)})"
 
 
 def any_word(text: str, *words: str) -> str:
@@ -118,9 +118,9 @@ FROM o_parsed p
 
 ORACLE_VIEWS["o_error"] = f"""
 SELECT *, {present('payload_error', error_sql('text_payload'))} AS error_message,
-       CASE WHEN contains(text_payload, 'Traceback') OR contains(text_payload, 'at ') THEN substr(text_payload, 1, 5000) END AS error_stack_trace,
+       CASE WHEN contains(text_payload, 'Traceback') OR contains(text_payload, 'at ') THEN text_payload END AS error_stack_trace,
        {level_sql('severity')} AS severity_level,
-       CASE WHEN coalesce(text_payload, '') <> '' THEN text_payload WHEN hj THEN substr(json_payload, 1, 1000)
+       CASE WHEN coalesce(text_payload, '') <> '' THEN text_payload WHEN hj THEN json_payload
             WHEN ha THEN 'Audit: ' || coalesce(service_name, '') || ' ' || coalesce(service_method, '') END AS part1,
        CASE WHEN http_method <> '' AND http_url <> '' THEN '[HTTP ' || http_method || ' ' || http_url || ']' END AS part2
 FROM o_payload
@@ -135,7 +135,7 @@ FROM o_error
 """
 
 ORACLE_VIEWS["o_full"] = f"""
-SELECT m.*, CASE WHEN length(raw_message) > 10000 THEN substr(raw_message, 1, 10000) || '...' ELSE raw_message END AS message,
+SELECT m.*, raw_message AS message,
        '1.0.0' AS schema_version,
        {environment_sql('service_name', js('labels', 'env'), js('labels', 'environment'), js('resource_labels', 'env'), js('resource_labels', 'environment'))} AS environment,
        {present(js('labels', 'request_id'), js('labels', 'requestId'), js('labels', '"x-request-id"'), js('json_payload', 'request_id'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlog.functions.ordered import rolling_rows, rolling_seconds, with_key_position, with_position
+from lumenlog.functions.ordered import rolling_counts, rolling_rows, with_key_position, with_position
 from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import normalize as n
 from lumenlog.plans.normalize_queries import ALERT_TEXT
@@ -14,6 +14,7 @@ from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
 from lumenlog.plans.text_queries import CHUNKS
 from lumenlog.session import scratch_path
+from lumenlog.sources import io
 from lumenlog.streaming import etl, jobs
 
 
@@ -134,10 +135,10 @@ def _(c):
 def _(c):
     state, checkpoint = two_paths(c, "state")
     log = scratch_path(c.spark, "event-log")
-    stream = jobs.stream_files(c.spark, c.path("conversations"), c.conversations.schema)
-    jobs.dual_write(stream, state, log, checkpoint, "conv_id", "turn")
+    streams = [jobs.stream_files(c.spark, c.path("conversations"), c.conversations.schema) for _ in range(2)]
+    jobs.dual_write(*streams, state, log, checkpoint, "conv_id", "turn")
     logged = c.spark.read.parquet(log).groupBy("conv_id").agg(F.count("*").alias("logged"))
-    return c.spark.read.parquet(state).drop("bucket").join(logged, "conv_id")
+    return c.spark.read.parquet(state).drop("buckets", "bucket").join(logged, "conv_id")
 
 
 @query(
@@ -158,7 +159,7 @@ def _(c):
 )
 def _(c):
     rows = c.events.filter("event_type = 'error'").select("event_id", "user_id", "ts", F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("service"))
-    return rolling_seconds(rows, ["service"], "ts", 300, {"errors": F.count("*")}).select("event_id", "user_id", "errors")
+    return rolling_counts(rows, ["service"], "ts", 300, "errors").select("event_id", "user_id", "errors")
 
 
 @query(
@@ -216,8 +217,8 @@ def _(c):
 @query(
     "embed_documents",
     CHUNKS
-    + r""" SELECT source, sha256(chunk_text) AS text_hash, min(chunk_id) AS chunk_id, CAST(64 AS INTEGER) AS dim FROM chunk_rows JOIN (SELECT doc_id AS d, source FROM documents) AS x ON d = doc_id
-        WHERE regexp_matches(chunk_text, '[\p{L}\p{N}_]') GROUP BY ALL""",
+    + r""" SELECT source, sha256(chunk_text) AS text_hash, chunk_id, CAST(64 AS INTEGER) AS dim FROM chunk_rows JOIN (SELECT doc_id AS d, source FROM documents) AS x ON d = doc_id
+        WHERE regexp_matches(chunk_text, '[\p{L}\p{N}_]')""",
 )
 def _(c):
     target = scratch_path(c.spark, "points")
@@ -241,7 +242,7 @@ KIND_OF = "(VALUES " + ", ".join(f"('{name}', '{kind}')" for name, kind in SINK_
 
 @query(
     "full_and_incremental_load",
-    f"""SELECT 'logs_v1.' || sink AS stream_id, count(*) AS extracted, count(ts) AS loaded, CASE WHEN count(ts) < count(*) THEN 'PARTIAL' ELSE 'COMPLETED' END AS status
+    f"""SELECT 'logs_v1.' || sink AS stream_id, count(*) AS extracted, count(*) AS loaded, 'COMPLETED' AS status
         FROM raw_flat JOIN {KIND_OF} ON sink_kind = kind GROUP BY 1""",
 )
 def _(c):
@@ -254,6 +255,7 @@ def _(c):
 
 @query("cleanup_after_load", "SELECT stream_id, count(*) AS kept FROM logs WHERE event_timestamp IS NULL OR event_timestamp >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1")
 def _(c):
-    from lumenlog.sources.io import survivors
-
-    return survivors(c.logs, "2024-01-10 00:00:00").groupBy("stream_id").agg(F.count("*").alias("kept"))
+    path = scratch_path(c.spark, "loaded")
+    c.logs.select("log_id", "event_timestamp", "stream_id", "log_date").write.partitionBy("log_date").parquet(path)
+    io.cleanup(c.spark, path, "2024-01-10 00:00:00", "log_date")
+    return c.spark.read.parquet(path).groupBy("stream_id").agg(F.count("*").alias("kept"))

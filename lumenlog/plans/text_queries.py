@@ -42,19 +42,15 @@ def _(c):
     return documents(c).select("doc_id", t.embedding_text("text", "source").alias("embedding_text"))
 
 
-def _cut(column: str, limit: int) -> str:
-    return f"CASE WHEN length({column}) > {limit} THEN substr({column}, 1, {limit}) || '... [truncated]' ELSE {column} END"
-
-
 ISO = "CASE WHEN epoch_us(event_timestamp) % 1000000 = 0 THEN strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END"
 LABELS = f"CASE WHEN json_valid(labels) THEN 'Labels: env=' || {js('labels', 'env')} || ' tenant_id=' || {js('labels', 'tenant_id')} || ' request_id=' || {js('labels', 'request_id')} END"
-RESOURCE = f"'ResourceLabels: project_id=' || {js('resource_labels', 'project_id')} || ' region=' || {js('resource_labels', 'region')} || ' zone=' || {js('resource_labels', 'zone')}"
+RESOURCE = f"'ResourceLabels: project_id=' || {js('resource_labels', 'project_id')} || ' region=' || {js('resource_labels', 'region')} || ' zone=' || {js('resource_labels', 'zone')} || ' service_name=' || {js('resource_labels', 'service_name')} || ' job_name=' || {js('resource_labels', 'job_name')} || ' revision_name=' || {js('resource_labels', 'revision_name')}"
 
 
 @query(
     "trace_text",
-    f"""SELECT log_id, concat_ws(' | ', '[' || {ISO} || '] [' || severity || '] [' || service_name || ']', CASE WHEN text_payload <> '' THEN 'Message: ' || {_cut('text_payload', 4000)} END,
-        CASE WHEN json_payload <> '' THEN 'JSON: ' || {_cut('json_payload', 2000)} END, CASE WHEN proto_payload <> '' THEN 'Proto: ' || {_cut('proto_payload', 1000)} END,
+    f"""SELECT log_id, concat_ws(' | ', '[' || {ISO} || '] [' || severity || '] [' || service_name || ']', CASE WHEN text_payload <> '' THEN 'Message: ' || text_payload END,
+        CASE WHEN json_payload <> '' THEN 'JSON: ' || json_payload END, CASE WHEN proto_payload <> '' THEN 'Proto: ' || proto_payload END,
         CASE WHEN trace_id <> '' THEN 'Trace: ' || trace_id END, CASE WHEN trace_id <> '' AND span_id <> '' THEN 'Span: ' || span_id END,
         CASE WHEN http_method <> '' AND http_url <> '' THEN 'HTTP: ' || http_method || ' ' || http_url || ' ' || coalesce(CAST(http_status AS VARCHAR), '') END,
         CASE WHEN source_file <> '' THEN 'Source: ' || source_file || ':' || coalesce(CAST(source_line AS VARCHAR), '') END, {LABELS},
@@ -68,9 +64,9 @@ def _(c):
 @query(
     "master_log_text",
     f"""SELECT log_id, concat_ws(' ', '[' || {ISO} || '] [' || severity || ']', CASE WHEN service_name <> '' THEN '[' || service_name || ']' END, CASE WHEN resource_type <> '' THEN '[' || resource_type || ']' END,
-        CASE WHEN message <> '' THEN 'Message: ' || substr(message, 1, 4000) END, CASE WHEN text_payload <> '' AND text_payload IS DISTINCT FROM message THEN 'Text: ' || substr(text_payload, 1, 2000) END,
-        CASE WHEN json_payload <> '' THEN 'JSON: ' || substr(json_payload, 1, 1500) END,
-        CASE WHEN http_method <> '' OR http_url <> '' THEN concat_ws(' ', 'HTTP:', nullif(http_method, ''), substr(nullif(http_url, ''), 1, 200), CASE WHEN http_status <> 0 THEN 'status=' || http_status END) END,
+        CASE WHEN message <> '' THEN 'Message: ' || message END, CASE WHEN text_payload <> '' AND text_payload IS DISTINCT FROM message THEN 'Text: ' || text_payload END,
+        CASE WHEN json_payload <> '' THEN 'JSON: ' || json_payload END,
+        CASE WHEN http_method <> '' OR http_url <> '' THEN concat_ws(' ', 'HTTP:', nullif(http_method, ''), nullif(http_url, ''), CASE WHEN http_status <> 0 THEN 'status=' || http_status END) END,
         CASE WHEN trace_id <> '' THEN 'Trace: ' || trace_id END) AS text FROM o_normal""",
 )
 def _(c):

@@ -14,7 +14,7 @@ from lumenlog.plans.registry import query, r, rounded
 NULL = "CAST(NULL AS VARCHAR)"
 ORACLE_VIEWS["policies"] = """
 SELECT CAST(fetched_at AS DATE) AS policy_snapshot_date, json_extract_string(payload, '$.project') AS project_id, json_extract_string(payload, '$.name') AS resource,
-       json_extract_string(b, '$.members[0]') AS member, json_extract_string(b, '$.role') AS role, json_extract_string(b, '$.condition') AS condition
+       json_extract_string(unnest(json_extract(b, '$.members[*]')), '$') AS member, json_extract_string(b, '$.role') AS role, json_extract_string(b, '$.condition') AS condition
 FROM (SELECT fetched_at, payload, unnest(json_extract(payload, '$.iamPolicy.bindings[*]')) AS b FROM assets) AS x
 """
 ORACLE_VIEWS["traces"] = f"""

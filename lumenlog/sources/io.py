@@ -12,16 +12,15 @@ from pyspark.sql import types as T
 from lumenlog.contracts import (
     ERROR_LEVEL,
     LOG_MARKER_FIELDS,
-    MESSAGE_CAP,
     RAW_CONTEXT_FIELDS,
     RAW_CORE_FIELDS,
     RAW_PAYLOAD_FIELDS,
     RETENTION_DAYS,
-    STACK_CAP,
 )
 from lumenlog.functions.columns import col, contains_any, first_present, literal_like
 from lumenlog.functions.ids import natural_key
 from lumenlog.functions.timewin import since
+from lumenlog.session import materialize
 
 # --- raw sinks --------------------------------------------------------------------------------------------------------
 
@@ -173,24 +172,26 @@ def append_staging(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def latest_export(spark: SparkSession, folder: str, prefix: str = "") -> str | None:
-    """Path of the newest file. Lists the folder only; file contents are not read."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
+def latest_export(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """Paths of all files of the newest export. Lists the folder only; file contents are not read.
+
+    Files belong to one export when their paths differ only in the number of the part.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
     if prefix:
         files = files.filter(F.element_at(F.split("path", "/"), -1).startswith(prefix))
-    return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
+    files = files.withColumn("export", F.regexp_replace("path", r"part-\d+|\d+-of-\d+|\d{12}(?=\.[^/]*$)", "*"))
+    newest = files.groupBy("export").agg(F.max("modificationTime").alias("at")).orderBy(F.desc("at"), F.desc("export")).limit(1)
+    return sorted(r["path"] for r in files.join(F.broadcast(newest), "export").select("path").collect())
 
 
 # --- the unified table ------------------------------------------------------------------------------------------------
 
 
 def loadable(df: DataFrame, batch_id: str, loaded_at: str, version: str = "1.0.0") -> DataFrame:
-    """Unified rows as they are stored: caps on long texts, load metadata, partition date and cluster key."""
-    caps = {"message": MESSAGE_CAP, "text_payload": MESSAGE_CAP, "error_stack_trace": STACK_CAP}
-    cut = {c: F.substring(c, 1, n) for c, n in caps.items() if c in df.columns}
+    """Unified rows as they are stored: whole texts, load metadata, partition date and cluster key."""
     return df.withColumns(
         {
-            **cut,
             "etl_timestamp": F.lit(loaded_at).cast("timestamp"),
             "etl_version": F.lit(version),
             "etl_batch_id": F.lit(batch_id),
@@ -226,29 +227,101 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str) -> None:
     """Append rows whose id is not stored yet; running it twice changes nothing.
 
-    Only the partitions between the first and last day of the batch are read for the check.
+    Only the partitions between the first and last day of the batch are read for the check, and the partition without a date,
+    which holds the rows that have no timestamp.
     """
     spark = df.sparkSession
-    batch = loadable(df, batch_id, loaded_at).filter(F.col("log_date").isNotNull()).dropDuplicates(["log_id"])
+    batch = loadable(df, batch_id, loaded_at)
     if table_exists(spark, path):
         # reads the timestamp column only
         span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
-        if span["first"] is None:
-            return
-        stored = spark.read.parquet(path).filter(F.col("log_date").between(span["first"], span["last"])).select("log_id")
-        batch = batch.join(stored, "log_id", "left_anti")
-    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"])
+        held = F.col("log_date").isNull() if span["first"] is None else F.col("log_date").between(span["first"], span["last"]) | F.col("log_date").isNull()
+        batch = batch.join(spark.read.parquet(path).filter(held).select("log_id"), "log_id", "left_anti")
+    write_clustered(batch.dropDuplicates(["log_id"]), path, "log_date", ["severity", "service_name", "resource_type"])
 
 
 def keyed_upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write wins per key.
+    """Last write wins per key: the highest order, then a change before what is stored, then the row's hash.
 
     An aggregate rather than a window: tasks keep one row per key before the shuffle, so many copies of one key stay cheap.
     """
-    both = target.unionByName(changes)
-    rest = [c for c in both.columns if c != key]
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return latest.select(key, "_row.*").select(*both.columns)
+    both = target.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    rest = [c for c in target.columns if c != key]
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, "_new", F.xxhash64(*rest))).alias("_row"))
+    return latest.select(key, "_row.*").select(*target.columns)
+
+
+def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: str, order: str, buckets: int = 64) -> None:
+    """Write ``changes`` into the keyed table at ``path``; only the buckets they fall into are rewritten.
+
+    The number of buckets is part of the table's layout: it is chosen when the table is made, from then on the stored number
+    counts, and ``rebucket`` changes it. Buckets are rewritten from a stored copy, so a failure half-way leaves an old bucket or a
+    new one, and the same changes again change nothing.
+    """
+    stored = spark.read.parquet(path) if table_exists(spark, path) else None
+    if stored is not None:
+        buckets = stored.agg(F.max("buckets")).first()[0]
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    rows = changes.withColumns({"buckets": F.lit(buckets), "bucket": bucket})
+    if stored is not None:
+        touched = rows.select("bucket").distinct()
+        old = stored.join(F.broadcast(touched), "bucket", "left_semi").select(*rows.columns)  # at most one row per bucket
+    else:
+        old = rows.limit(0)
+    merged = materialize(keyed_upsert(old, rows, key, order), "upsert")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
+
+
+def rebucket(spark: SparkSession, path: str, target: str, key: str, buckets: int) -> None:
+    """A copy of a keyed table with another number of buckets, for one that has outgrown them."""
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    rows = spark.read.parquet(path).withColumns({"buckets": F.lit(buckets), "bucket": bucket})
+    rows.hint("rebalance", "bucket").write.partitionBy("buckets", "bucket").parquet(target)
+
+
+def drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
+    """Remove whole partitions of a table from its store."""
+    jvm = spark._jvm
+    for value in values:
+        name = "__HIVE_DEFAULT_PARTITION__" if value is None else jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete_where(spark: SparkSession, path: str, partition: str, condition: Column, dry_run: bool = False) -> DataFrame:
+    """Delete the rows of a partitioned table that meet ``condition``: partitions without survivors go, mixed ones are rewritten.
+
+    Returns rows and deleted rows of each partition that is touched (with ``dry_run``, that would be). A condition that is null
+    keeps the row. Only the columns of the condition are read to find the partitions, and only mixed partitions are rewritten,
+    from a stored copy.
+    """
+    table = spark.read.parquet(path)
+    gone = F.coalesce(condition, F.lit(False))
+    counts = table.groupBy(partition).agg(F.count("*").alias("rows"), F.sum(gone.cast("bigint")).alias("deleted")).filter("deleted > 0")
+    counts = materialize(counts, "deleted")
+    if dry_run:
+        return counts
+    mixed = counts.filter("deleted < rows").select(F.col(partition).alias("_mixed"))  # one row per partition
+    kept = table.filter(~gone).join(F.broadcast(mixed), F.col(partition).eqNullSafe(F.col("_mixed")), "left_semi")
+    overwrite_partitions(materialize(kept, "kept"), path, partition)
+    drop_partitions(spark, path, partition, [r[0] for r in counts.filter("deleted = rows").select(partition).collect()])
+    spark.catalog.refreshByPath(path)
+    return counts
+
+
+def delete_tenant(spark: SparkSession, path: str, tenant: str, column: str = "project_id") -> DataFrame:
+    """Delete one tenant from a table partitioned by tenant."""
+    return delete_where(spark, path, column, F.col(column) == tenant)
+
+
+def expire(spark: SparkSession, path: str, table: str, date: str, partition: str, as_of: str) -> DataFrame:
+    """Delete what has outlived the table's retention."""
+    return delete_where(spark, path, partition, F.col(date) < F.date_sub(F.to_date(F.lit(as_of[:10])), RETENTION_DAYS[table]))
+
+
+def cleanup(spark: SparkSession, path: str, before: str, partition: str, ts: str = "event_timestamp", dry_run: bool = False) -> DataFrame:
+    """Delete rows older than a moment; rows without a timestamp stay."""
+    return delete_where(spark, path, partition, F.col(ts) < F.lit(before).cast("timestamp"), dry_run)
 
 
 def without_tenant(df: DataFrame, tenant: str, column: str = "project_id") -> DataFrame:

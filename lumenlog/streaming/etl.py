@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.operators import normalize, textprep
+from lumenlog.session import materialize
 from lumenlog.sources import io
 
 
@@ -39,10 +40,19 @@ def load_report(sinks: dict[str, DataFrame], dataset: str, target: DataFrame) ->
 
 
 def embed_documents(docs: DataFrame, target: str, tenant: str = "source", dim: int = 64, max_size: int = textprep.CHUNK_SIZE) -> None:
-    """Chunk, drop texts stored already, embed and upsert by chunk id; running it again changes nothing."""
+    """Chunk, embed and upsert every chunk by its id; running it again changes nothing.
+
+    A changed text replaces the point of its chunk; documents with equal texts keep a point each. Chunks whose stored text is the
+    same are left alone, and a text that several chunks share is embedded once.
+    """
     spark: SparkSession = docs.sparkSession
     rows = textprep.chunk_rows(docs.select("doc_id", tenant, "text"), "doc_id", "text", max_size).drop("text")
-    stored = spark.read.parquet(target) if io.table_exists(spark, target) else None
-    fresh = textprep.dedup_by_text(rows, tenant, "chunk_text", "chunk_id", stored)
-    points = textprep.embed(fresh, "chunk_text", dim).filter(F.col("embedding").isNotNull())
-    points.write.mode("append").parquet(target)
+    rows = rows.withColumns({"text_hash": F.sha2("chunk_text", 256), "written": F.current_timestamp()})
+    if io.table_exists(spark, target):
+        stored = spark.read.parquet(target).select("chunk_id", "text_hash")
+        rows = rows.join(stored, ["chunk_id", "text_hash"], "left_anti")
+    rows = materialize(rows, "chunks")
+    texts = rows.groupBy("text_hash").agg(F.min("chunk_id").alias("chunk_id"))
+    once = textprep.embed(rows.join(texts, ["text_hash", "chunk_id"], "left_semi").select("text_hash", "chunk_text"), "chunk_text", dim)
+    points = rows.join(once.select("text_hash", "embedding").filter(F.col("embedding").isNotNull()), "text_hash")
+    io.upsert_table(spark, target, points, "chunk_id", "written")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,7 @@ from pyspark.sql import types as T
 from lumenlog.contracts import ERROR_SEVERITIES
 from lumenlog.functions.columns import count_if
 from lumenlog.operators import chat, normalize
-from lumenlog.session import materialize
-from lumenlog.sources.io import keyed_upsert, overwrite_partitions, routes, table_exists
+from lumenlog.sources.io import routes, table_exists, upsert_table
 
 LOOKBACK = "2 hours"
 
@@ -90,14 +90,12 @@ def decode_messages(stream: DataFrame, data: str = "data") -> DataFrame:
 
 
 def consume_messages(stream: DataFrame, chat_path: str, tool_path: str, checkpoint: str, attribute: str = "attribute_event_type") -> None:
-    """Route decoded messages to the chat or tool table; one pass over the batch per sink, from a persisted batch."""
+    """Route decoded messages to the chat or tool table. Each sink reads the batch from the source; nothing is cached."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
         tools, chats = chat.route_events(batch, attribute, "payload")
         _write_batch(chat.chat_event_rows(chats), chat_path, batch_id)
         _write_batch(tools.select("event_id", "payload"), tool_path, batch_id)
-        batch.unpersist()
 
     run_to_completion(decode_messages(stream), each, checkpoint)
 
@@ -110,10 +108,8 @@ def critical_alerts(rows: DataFrame) -> DataFrame:
 def route_by_severity(stream: DataFrame, paths: dict[str, str], checkpoint: str, level: Column) -> None:
     """One query feeds the analytics, archive and alert tables."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("severity_level", level).persist()
-        for name, rows in routes(batch).items():
+        for name, rows in routes(batch.withColumn("severity_level", level)).items():
             _write_batch(rows, paths[name], batch_id)
-        batch.unpersist()
 
     run_to_completion(stream, each, checkpoint)
 
@@ -148,28 +144,22 @@ def run_windowed(stream: DataFrame, path: str, checkpoint: str) -> None:
 # --- dual writes and dead letters -------------------------------------------------------------------------------------
 
 
-def dual_write(stream: DataFrame, state_path: str, log_path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> None:
-    """Append every event to the log and keep the latest event per key.
+def dual_write(log_stream: DataFrame, state_stream: DataFrame, state_path: str, log_path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> Exception | None:
+    """Append every event to the log and keep the latest event per key, as two queries over the same source.
 
-    The log is written first and never depends on the state. The state is partitioned by a hash of the key; a batch rewrites
-    only the buckets it touches, from a stored copy, so a failure half-way leaves the old bucket or the new one.
+    Each query has its own checkpoint, so neither waits for the other: if the state cannot be written, the log still receives
+    this and all later batches, and the state catches up from its own checkpoint once it can. Returns what stopped the state.
     """
+    append_stream(log_stream, log_path, f"{checkpoint}/log")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        _write_batch(batch, log_path, batch_id)
-        changes = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if table_exists(spark, state_path):
-            old = spark.read.schema(changes.schema).parquet(state_path).filter(F.col("bucket").isin(touched))
-        else:
-            old = spark.createDataFrame([], changes.schema)
-        merged = materialize(keyed_upsert(old.select(changes.columns), changes, key, order), "state")
-        overwrite_partitions(merged, state_path, "bucket")
-        batch.unpersist()
+        upsert_table(batch.sparkSession, state_path, batch, key, order, buckets)
 
-    run_to_completion(stream, each, checkpoint)
+    try:
+        run_to_completion(state_stream, each, f"{checkpoint}/state")
+    except StreamingQueryException as e:
+        return e
+    return None
 
 
 def split_retries(jobs: DataFrame, max_retries: int = 3) -> tuple[DataFrame, DataFrame]:

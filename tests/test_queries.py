@@ -17,7 +17,8 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     status, detail, _ = check.compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
-    assert status in ("OK", "ROWS", "EMPTY"), detail
+    # A query without a twin is tested elsewhere; here it must at least return rows.
+    assert status == "OK" or status == "ROWS" and detail != "0 rows", detail
 
 
 def test_twins_belong_to_queries():

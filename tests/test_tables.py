@@ -59,8 +59,8 @@ def test_append_logs_twice(spark, folder):
     io.append_logs(log_frame(spark, rows), path, "b1", "2024-02-01 00:00:00")
     io.append_logs(log_frame(spark, rows + [("4", "2024-01-01 02:00:00", "INFO", "b", "new")]), path, "b2", "2024-02-01 00:00:00")
     got = {r["log_id"]: r for r in spark.read.parquet(path).collect()}
-    assert sorted(got) == ["1", "2", "4"] and spark.read.parquet(path).count() == 3
-    assert len(got["1"]["message"]) == 10000 and got["4"]["etl_batch_id"] == "b2" and got["2"]["cluster_key"] == "ERROR:unknown"
+    assert sorted(got) == ["1", "2", "3", "4"] and spark.read.parquet(path).count() == 4
+    assert len(got["1"]["message"]) == 12000 and got["3"]["log_date"] is None and got["4"]["etl_batch_id"] == "b2" and got["2"]["cluster_key"] == "ERROR:unknown"
     assert os.path.isdir(f"{path}/log_date=2024-01-02")
 
 
@@ -95,7 +95,10 @@ def test_staging_and_exports(spark, folder):
     with open(f"{lines}/b.json", "w") as f:
         f.write("{}")
     os.utime(f"{lines}/a.json", (1, 1))
-    assert io.latest_export(spark, lines).endswith("b.json") and io.latest_export(spark, lines, "a").endswith("a.json")
+    assert [os.path.basename(p) for p in io.latest_export(spark, lines)] == ["b.json"]
+    assert [os.path.basename(p) for p in io.latest_export(spark, lines, "a")] == ["a.json"]
+    spark.range(10).repartition(4).write.parquet(f"{folder}/export")
+    assert len(io.latest_export(spark, f"{folder}/export", "part-")) == 4
 
 
 def test_sharded_union(spark):
@@ -260,13 +263,109 @@ def test_dual_write_keeps_latest_state(spark, folder):
     write_part(spark, source, 0, 10)
     schema = spark.read.parquet(source).schema
     for first in (10, 20, None):
-        jobs.dual_write(jobs.stream_files(spark, source, schema), f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4)
+        streams = [jobs.stream_files(spark, source, schema) for _ in range(2)]
+        assert jobs.dual_write(*streams, f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4) is None
         if first:
             write_part(spark, source, first, 10)
     state = {r["who"]: r["id"] for r in spark.read.parquet(f"{folder}/state").collect()}
     assert state == {"u0": 27, "u1": 28, "u2": 29} and spark.read.parquet(f"{folder}/log").count() == 30
 
 
+def test_log_goes_on_when_the_state_fails(spark, folder):
+    source = f"{folder}/in"
+    write_part(spark, source, 0, 10)
+    schema = spark.read.parquet(source).schema
+    with open(f"{folder}/state", "w") as f:
+        f.write("a file where the table should be")
+    for n in (10, 20):
+        streams = [jobs.stream_files(spark, source, schema) for _ in range(2)]
+        assert jobs.dual_write(*streams, f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4) is not None
+        assert spark.read.parquet(f"{folder}/log").count() == n
+        write_part(spark, source, n, 10)
+    os.remove(f"{folder}/state")
+    streams = [jobs.stream_files(spark, source, schema) for _ in range(2)]
+    assert jobs.dual_write(*streams, f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4) is None
+    assert {r["who"]: r["id"] for r in spark.read.parquet(f"{folder}/state").collect()} == {"u0": 27, "u1": 28, "u2": 29}
+
+
+def test_stored_upsert(spark, folder):
+    path = f"{folder}/points"
+    df = spark.createDataFrame([(i, f"v{i}", 1) for i in range(50)], "id int, v string, seq int")
+    io.upsert_table(spark, path, df, "id", "seq", buckets=4)
+    new = spark.createDataFrame([(3, "new", 2), (3, "older", 1), (60, "b", 2), (60, "a", 2)], "id int, v string, seq int")
+    for _ in range(2):
+        io.upsert_table(spark, path, new, "id", "seq", buckets=99)
+    got = spark.read.parquet(path).collect()
+    assert len(got) == 51 and {r["buckets"] for r in got} == {4}
+    by = {r["id"]: r["v"] for r in got}
+    assert by[3] == "new" and by[60] in "ab" and by[4] == "v4"
+    io.rebucket(spark, path, f"{folder}/wider", "id", 8)
+    assert spark.read.parquet(f"{folder}/wider").count() == 51
+
+
+def test_equal_order_has_one_winner(spark):
+    old = spark.createDataFrame([(1, "stored", 5)], "id int, v string, seq int")
+    for rows in ([(1, "x", 5), (1, "y", 5)], [(1, "y", 5), (1, "x", 5)]):
+        new = spark.createDataFrame(rows, "id int, v string, seq int").coalesce(1)
+        got = {io.keyed_upsert(old, new, "id", "seq").first()["v"]}
+        assert got == {io.keyed_upsert(old, new.repartition(2, "v"), "id", "seq").first()["v"]} and "stored" not in got
+
+
+def test_delete_where(spark, folder):
+    path = f"{folder}/t"
+    rows = [(1, "a", "2024-01-01"), (2, "a", "2024-01-05"), (3, "b", "2024-01-01"), (4, None, "2024-01-09"), (5, "c", None)]
+    df = spark.createDataFrame(rows, "id int, p string, d string").withColumn("event_timestamp", F.to_timestamp("d"))
+    df.write.partitionBy("p").parquet(path)
+    plan = io.cleanup(spark, path, "2024-01-03", "p", dry_run=True)
+    assert sorted((r["p"], r["rows"], r["deleted"]) for r in plan.collect()) == [("a", 2, 1), ("b", 1, 1)]
+    assert spark.read.parquet(path).count() == 5
+    io.cleanup(spark, path, "2024-01-03", "p")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 4, 5] and not os.path.exists(f"{path}/p=b")
+    io.delete_where(spark, path, "p", F.col("event_timestamp") > "2024-01-08")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 5]
+
+
+def test_embed_documents_is_an_upsert(spark, folder):
+    from lumenlog.streaming import etl
+
+    path, kinds = f"{folder}/vectors", "doc_id long, source string, text string"
+    etl.embed_documents(spark.createDataFrame([(1, "s", "same words"), (2, "s", "same words"), (3, "s", "other words")], kinds), path)
+    first = {int(r["doc_id"]): r for r in spark.read.parquet(path).collect()}
+    assert sorted(first) == [1, 2, 3] and first[1]["embedding"] == first[2]["embedding"]
+    for _ in range(2):
+        etl.embed_documents(spark.createDataFrame([(1, "s", "changed words"), (2, "s", "same words")], kinds), path)
+    second = {int(r["doc_id"]): r for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == 3 and second[1]["chunk_text"] == "changed words"
+    assert {k: v for k, v in second[2].asDict().items() if second[2][k] != first[2][k]} == {}
+
+
+def test_hierarchy_adds_up_to_the_top(spark):
+    from lumenlog.operators import finops
+
+    orgs = spark.createDataFrame([("a", "A", None), ("b", "B", "a"), ("c", "C", "b"), ("x", "X", "y"), ("y", "Y", "x")], "org_id string, org_name string, parent_org_id string")
+    costs = spark.createDataFrame([("c", 10.0), ("b", 1.0), ("x", 2.0)], "org_id string, cost double")
+    got = {r["org_id"]: r["total_cost"] for r in finops.org_hierarchy_costs(costs, orgs).collect()}
+    assert got == {"a": 11.0, "b": 11.0, "c": 10.0, "x": 2.0, "y": 2.0}
+
+
+def test_all_members_and_all_errors(spark):
+    payload = json.dumps({"project": "p", "name": "n", "iamPolicy": {"bindings": [{"role": "r", "members": ["u1", "u2"]}, {"role": "s", "members": ["u3"]}]}})
+    assets = spark.createDataFrame([("2024-01-01", payload)], "fetched_at string, payload string")
+    assert sorted((r["role"], r["member"]) for r in d.fact_policy(assets).collect()) == [("r", "u1"), ("r", "u2"), ("s", "u3")]
+    logs = spark.range(5000).select(F.col("id").cast("string").alias("log_id"), F.lit("ERROR").alias("severity"), F.lit("2024-01-02").cast("timestamp").alias("event_timestamp"), F.when(F.col("id") < 40, "rare").otherwise("busy").alias("service_name"))
+    from lumenlog.operators import aggregates
+
+    assert {r["service"]: r["error_count"] for r in aggregates.error_insights(logs, "2024-01-01 00:00:00").collect()} == {"rare": 40, "busy": 4960}
+
+
+def test_rolling_counts_on_a_hot_second(spark):
+    from lumenlog.functions.ordered import rolling_counts
+
+    df = spark.range(3000).select("id", F.lit("k").alias("key"), F.timestamp_seconds(F.when(F.col("id") < 2000, 100).otherwise(F.col("id"))).alias("ts"))
+    got = {r["id"]: r["n"] for r in rolling_counts(df, ["key"], "ts", 9, "n").collect()}
+    assert got[0] == 2000 and got[2000] == 1 and got[2500] == 10
+
+
 def test_nothing_has_arrived_yet(spark, folder):
     assert not io.table_exists(spark, f"{folder}/none")
     assert jobs.read_batches(spark, f"{folder}/none", spark.createDataFrame([], "x int").schema).count() == 0

@@ -48,7 +48,7 @@ def test_pii_risk(spark, given, tier):
 
 @pytest.mark.parametrize(
     ("given", "expected"),
-    [("Error: disk full\nmore", "disk full"), ("an exception: boom", "boom"), ("it FAILED hard", "hard"), ("fine", None), ("error:\n\n", None), ("x" * 9 + " error " + "y" * 600, "y" * 500)],
+    [("Error: disk full\nmore", "disk full"), ("an exception: boom", "boom"), ("it FAILED hard", "hard"), ("fine", None), ("error:\n\n", None), ("x" * 9 + " error " + "y" * 600, "y" * 600)],
 )
 def test_error_in_text(spark, given, expected):
     assert one(spark, tx.error_in_text("x"), given) == expected
@@ -105,9 +105,9 @@ def test_normalize_http_and_audit(spark):
     assert row["message"] == "Audit: store del | [HTTP GET /a] | Error: DENIED" and row["privacy_retention_class"] == "audit"
 
 
-def test_normalize_caps_message(spark):
+def test_normalize_keeps_long_messages(spark):
     row = normalized(spark, text_payload="z" * 12000)
-    assert len(row["message"]) == 10003 and row["message"].endswith("...") and row["message_summary"] == "z" * 200 + "..."
+    assert row["message"] == "z" * 12000 and row["message_summary"] == "z" * 200 + "..."
 
 
 def test_validate_payload(spark):
