@@ -145,9 +145,10 @@ ALL_LOG_IDS, GOOD_TRACES = "✅ All log_ids present", "✅ Good trace coverage"
 DIVERSE_ASSETS, LIMITED_ASSETS = "✅ Diverse asset types", "⚠️ Limited asset types"
 MULTI_PROJECT, SINGLE_PROJECT = "✅ Multi-project data", "⚠️ Single project only"
 
-# Where rows of the logging sinks come from.
-SOURCE_DATASET = "central_logging_v1"
+# Name given to the data set of the logging sinks where a caller names none.
+SOURCE_DATASET = "logs"
 
+# Columns of the canonical contract.
 CANONICAL_SCHEMA = T.StructType(
     [
         T.StructField("insert_id", T.StringType()),

@@ -65,8 +65,10 @@ def search_groups(df: DataFrame, query: list[float], group_by: str, group_size:
     scored = with_score(df.filter(F.col(group_by).isNotNull()), query).select(ID, group_by, "score")
     inside = Window.partitionBy(group_by).orderBy(F.desc("score"), ID)
     hits = scored.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= group_size)
-    best = hits.filter(F.col("rank") == 1).orderBy(F.desc("score"), ID).limit(limit).select(group_by, F.col("score").alias("group_score"))
-    return hits.join(F.broadcast(best), group_by)  # at most ``limit`` groups
+    # A group's hits, at most ``group_size``, travel as one row, so the corpus is scored once.
+    groups = hits.groupBy(group_by).agg(F.sort_array(F.collect_list(F.struct("rank", ID, "score"))).alias("hits"), F.max("score").alias("group_score"))
+    best = groups.orderBy(F.desc("group_score"), F.col("hits")[0][ID]).limit(limit)
+    return best.select(group_by, "group_score", F.inline("hits"))
 
 
 def rrf(legs: list[DataFrame], limit: int, k: int = 2) -> DataFrame:
@@ -82,9 +84,10 @@ def dbsf(legs: list[DataFrame], limit: int) -> DataFrame:
     """Distribution-based fusion: each leg's scores scaled by its mean ± three deviations, then added."""
     out = None
     for leg in legs:
-        stats = leg.agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s")).first()  # one row
-        low, width = (stats["m"] or 0.0) - 3 * (stats["s"] or 0.0), 6 * (stats["s"] or 0.0)
-        share = (F.col("score") - F.lit(low)) / F.lit(width) if width else F.lit(0.5)
+        stats = leg.agg(F.lit(1).alias("_one"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("_mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("_dev"))
+        leg = leg.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")  # one row
+        low, width = F.col("_mean") - 3 * F.col("_dev"), 6 * F.col("_dev")
+        share = F.when(width > 0, (F.col("score") - low) / width).otherwise(0.5)
         scaled = leg.select(ID, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)).alias("part"))
         out = scaled if out is None else out.unionByName(scaled)
     return out.groupBy(ID).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), ID).limit(limit)

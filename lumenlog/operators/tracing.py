@@ -43,29 +43,29 @@ def log_traces(facts: DataFrame) -> DataFrame:
     )
 
 
-def job_traces(jobs: DataFrame) -> DataFrame:
+def job_traces(jobs: DataFrame, dataset: str = "finops", table: str = "jobs_daily") -> DataFrame:
     key = F.sha2(F.concat("project_id", F.lit("-"), F.col("dt").cast("string"), F.lit("-"), "job_id"), 256)
     return _trace_rows(
         jobs, trace_id=key, correlation_id="job_id", event_ts="dt", severity=F.lit("INFO"), service_name=F.lit("bigquery"), project_id="project_id",
         resource_type=F.lit("bigquery_job"), user_id="user_name", cost_usd=F.col("total_bytes_processed") * F.lit(1e-9), is_error=F.lit(False),
-        source_system=F.lit("finops"), source_dataset=F.lit("org_finops"), source_table=F.lit("bq_jobs_daily_v2"), etl_job_id="job_id", etl_version=F.lit("v2"),
+        source_system=F.lit("finops"), source_dataset=F.lit(dataset), source_table=F.lit(table), etl_job_id="job_id", etl_version=F.lit("v2"),
     )
 
 
-def tool_traces(tools: DataFrame) -> DataFrame:
+def tool_traces(tools: DataFrame, dataset: str = "agent") -> DataFrame:
     return _trace_rows(
         tools, trace_id=F.coalesce("trace_id", "invocation_id"), correlation_id="session_id", event_ts="started_at", severity=F.lit("INFO"),
         service_name="tool_name", resource_type=F.lit("agent_tool"), user_id="user_id", is_error=F.col("status").isin("error", "failure"),
-        source_system=F.lit("agent"), source_dataset=F.lit("org_agent"), source_table=F.lit("tool_invocations"), etl_job_id="invocation_id",
+        source_system=F.lit("agent"), source_dataset=F.lit(dataset), source_table=F.lit("tool_invocations"), etl_job_id="invocation_id",
         etl_version=F.lit("1.0.0"),
     )
 
 
-def policy_traces(policies: DataFrame) -> DataFrame:
+def policy_traces(policies: DataFrame, dataset: str = "enterprise") -> DataFrame:
     return _trace_rows(
         policies, correlation_id=F.concat("project_id", F.lit(":"), "resource"), event_ts="policy_snapshot_date", severity=F.lit("INFO"),
         service_name=F.lit("policy"), project_id="project_id", resource_type=F.lit("policy_binding"), user_id="member", is_error=F.lit(False),
-        source_system=F.lit("org_model"), source_dataset=F.lit("org_enterprise"), source_table=F.lit("fact_policy"), etl_version=F.lit("v1"),
+        source_system=F.lit("org_model"), source_dataset=F.lit(dataset), source_table=F.lit("fact_policy"), etl_version=F.lit("v1"),
     )
 
 

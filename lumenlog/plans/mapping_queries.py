@@ -117,7 +117,7 @@ def mapped_sql(name: str, null_safe: bool = False) -> str:
     }[name]
     shared = {
         "severity": "coalesce(severity, 'INFO')", "event_timestamp": "ts", "receive_timestamp": "CAST(NULL AS TIMESTAMP)", "trace_sampled": "CAST(NULL AS BOOLEAN)",
-        "source_dataset": "'central_logging_v1'", "source_table": f"'{SINK_TABLES[name]}'", "ingestion_method": "'sink'",
+        "source_dataset": "'logs'", "source_table": f"'{SINK_TABLES[name]}'", "ingestion_method": "'sink'",
     }
     values = shared | fields
     columns = m.REDUCED_COLUMNS if null_safe else CANONICAL_COLUMNS

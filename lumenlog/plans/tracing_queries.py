@@ -22,11 +22,11 @@ SELECT trace_id, span_id, coalesce(json_extract_string(labels, '$.request_id'),
        {NULL} AS resource_type, 'u-' || user_id AS user_id, CAST(NULL AS DOUBLE) AS cost_usd, is_error, 'logs' AS source_system, {NULL} AS source_dataset, {NULL} AS source_table,
        {NULL} AS etl_job_id, {NULL} AS etl_version FROM logs_rich
 UNION ALL SELECT sha256(project_id || '-' || CAST(dt AS VARCHAR) || '-' || job_id), NULL, job_id, CAST(dt AS TIMESTAMP), 'INFO', 'bigquery', project_id, 'bigquery_job', user_name,
-       total_bytes_processed * 1e-9, false, 'finops', 'org_finops', 'bq_jobs_daily_v2', job_id, 'v2' FROM jobs
-UNION ALL SELECT coalesce(trace_id, invocation_id), NULL, session_id, started_at, 'INFO', tool_name, NULL, 'agent_tool', user_id, NULL, status IN ('error', 'failure'), 'agent', 'org_agent',
+       total_bytes_processed * 1e-9, false, 'finops', 'finops', 'jobs_daily', job_id, 'v2' FROM jobs
+UNION ALL SELECT coalesce(trace_id, invocation_id), NULL, session_id, started_at, 'INFO', tool_name, NULL, 'agent_tool', user_id, NULL, status IN ('error', 'failure'), 'agent', 'agent',
        'tool_invocations', invocation_id, '1.0.0' FROM tool_inv
 UNION ALL SELECT NULL, NULL, project_id || ':' || resource, CAST(policy_snapshot_date AS TIMESTAMP), 'INFO', 'policy', project_id, 'policy_binding', member, NULL, false, 'org_model',
-       'org_enterprise', 'fact_policy', NULL, 'v1' FROM policies WHERE member IS NOT NULL AND project_id IS NOT NULL
+       'enterprise', 'fact_policy', NULL, 'v1' FROM policies WHERE member IS NOT NULL AND project_id IS NOT NULL
 """
 
 
