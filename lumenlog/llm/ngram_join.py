@@ -1,10 +1,11 @@
 """Jaccard join on word n-grams by vertical partitioning.
 
 The 64-bit hashes of a document's n-grams, in their global order, are cut into fragments. Two sets of similar size that are similar
-enough differ in fewer n-grams than there are fragments, so at least one fragment is the same in both: documents that share a
-whole fragment are candidates, and no similar pair is missed. Passages that many documents share do not make candidates, because a
-fragment also holds n-grams from elsewhere. Candidates are then compared exactly, fragment after fragment: the partial overlaps of
-all pairs in a block are counted for each fragment by itself and summed per pair.
+enough differ in fewer n-grams than there are fragments, so a known number of fragments must be the same in both, and at least one.
+Sets that share a whole fragment are brought together; those that share enough of all fragments, as far as 16 bits of each tell, are
+candidates. No similar pair is missed, and a passage that many documents share makes few candidates. Candidates are then compared
+exactly, fragment after fragment: the partial overlaps of all pairs in a block are counted for each fragment by itself and summed
+per pair.
 
 Documents with the same set count as one. No table of pairs is made: inside a cluster of candidates, blocks of bounded size meet
 each other, and a task gives back only the links that connect its documents (a forest).
@@ -13,6 +14,7 @@ each other, and a task gives back only the links that connect its documents (a f
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 
 from lumenlog.llm import words as W
 from lumenlog.llm.graph import components
+from lumenlog.llm.marks import marked, marks, without_ids
 from lumenlog.session import materialize
 
 SLICE_BYTES = 4 << 20
-TASK_FRAGMENTS = 4_000_000
+#: Sets a task remembers to send each once; forgetting some only sends them again.
+REMEMBERED_SETS = 1_000_000
+#: Sets that share a fragment and are compared in one go.
+GROUP_SETS = 256
 BLOCK_NGRAMS = 200_000
 BLOCK_SETS = 512
 OVERLAP_WIDTH = 2048
@@ -43,6 +49,7 @@ class Fragments:
             raise ValueError("percent must be in 1..100")
         self.percent = percent
         self.low = [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _reach(self, cls: int) -> None:
         while len(self.low) <= cls + 2:
@@ -56,30 +63,53 @@ class Fragments:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
     def spare(self, cls: int) -> int:
-        """Fragments beyond those that differences can touch; sets with more empty fragments also show the empty ones."""
-        return 1 + self._differences(cls) // 200
+        """Fragments beyond those that differences can touch: as many as a set of the class may leave empty by chance.
+
+        A set with more empty fragments than that also shows the empty ones, so that even such sets cannot miss each other.
+        """
+        differences = self._differences(cls)
+        for spare in range(1, differences + 2):
+            n = differences + 1 + spare
+            empty = n * math.exp(-self.low[cls] / n)
+            if spare >= empty + 3 * math.sqrt(empty):
+                break
+        return spare
 
     def _differences(self, cls: int) -> int:
         self._reach(cls)
         most = (self.low[cls + 1] - 1) + (self.low[cls + 2] - 1)
         return most * (100 - self.percent) // (100 + self.percent)
 
-    def count(self, cls: int) -> int:
-        return self._differences(cls) + 1 + self.spare(cls)
+    def count(self, cls: int) -> tuple[int, int]:
+        """Fragments of a class, and how many of them are spare."""
+        if cls not in self.known:
+            spare = self.spare(cls)
+            self.known[cls] = self._differences(cls) + 1 + spare, spare
+        return self.known[cls]
 
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        """One hash for each fragment of a sorted set, as int64, for each class it has to meet others in."""
-        own, out = self.of_size(len(grams)), []
+    def cut(self, grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(class, hash of every fragment, which of them are shown, how many a similar set must share of those shown)."""
+        own = self.of_size(len(grams))
         for cls in range(max(0, own - 1), own + 1):
-            n = self.count(cls)
-            fragment = ((grams >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            n, spare = self.count(cls)
+            fragment = (((grams >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
-            content, place = np.add.reduceat(W.mix(grams), first), fragment[first]
-            if n - len(place) > self.spare(cls):
-                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), place)
-                content, place = np.concatenate([content, np.zeros(len(empty), np.uint64)]), np.concatenate([place, empty])
-            out.append(W.mix(content + W.mix(place * np.uint64(1 << 20) + np.uint64(cls + 1))))
-        return np.concatenate(out).view(np.int64)
+            content, shown = np.zeros(n, np.uint64), np.zeros(n, bool)
+            content[fragment[first]], shown[fragment[first]] = np.add.reduceat(W.mix(grams), first), True
+            empty = n - len(first)
+            if empty > spare:
+                shown[:], empty = True, 0
+            place = np.arange(n, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(cls + 1)
+            yield cls, W.mix(content + W.mix(place)), shown, 1 + spare - empty
+
+    def agree(self, cls: int, sizes: np.ndarray) -> np.ndarray:
+        """Fragments of the class that two sets of these sizes must share to be similar, for all pairs."""
+        n, _ = self.count(cls)
+        return n - (sizes[:, None] + sizes[None, :]) * (100 - self.percent) // (100 + self.percent)
+
+    def signatures(self, grams: np.ndarray) -> np.ndarray:
+        """The hashes of all fragments that are shown."""
+        return np.concatenate([hashes[shown] for _, hashes, shown, _ in self.cut(grams)]).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, column: str, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,93 +139,163 @@ def _signature(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _lists(values: list[np.ndarray], n: int, rows: list[int]) -> pa.Array:
-    """A list column of ``n`` rows with ``values`` at ``rows`` and nulls elsewhere."""
-    sizes = np.zeros(n, np.int64)
-    empty = np.ones(n, bool)
-    for r, v in zip(rows, values):
-        sizes[r], empty[r] = len(v), False
-    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()), mask=pa.array(empty))
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    """A list column of the arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
 
-def _describe(percent: int, n: int):
-    """Per document its set's size and 128-bit name; per set that is new to the task its fragments, and ties found in the task.
+def _short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
 
-    A fragment that several sets of one task share is sent on by the first of them only; the others are tied to that one. A
-    fragment that very many documents share thus leaves every task once.
-    """
+
+def _describe(n: int):
+    """Per document its set's size and 128-bit name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            for row, grams in _sets(batch, "t", n):
+                sizes[row], names[row] = len(grams), _signature(grams)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(names, pa.binary())], names=["id", "n", "name"])
+
+    return run
+
+
+def _send(percent: int, n: int):
+    """(fragment, set, class, need) of every set that is new to the task, sets by the first 64 bits of their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Fragments(percent)
-        ids, sizes, names, rows, held, found, seen = [], [], [], [], [], 0, set()
+        frags = Fragments(percent)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        seen, size = set(), 0
 
         def flush() -> pa.RecordBatch:
-            total = len(names)
-            frag = np.concatenate(held) if held else np.zeros(0, np.int64)
-            owner = np.repeat(np.asarray(rows, np.int64), [len(x) for x in held]) if held else np.zeros(0, np.int64)
-            order = np.lexsort((owner, frag))
-            frag, owner = frag[order], owner[order]
-            head = np.concatenate([[True], frag[1:] != frag[:-1]]) if len(frag) else np.zeros(0, bool)
-            lead = owner[np.flatnonzero(head)][np.cumsum(head) - 1] if len(frag) else owner
-            ties = np.unique(np.stack([owner[~head], lead[~head]], 1), axis=0) if (~head).any() else np.zeros((0, 2), np.int64)
-            ties = ties[ties[:, 0] != ties[:, 1]]
-            keys = np.asarray([int.from_bytes(x[:8], "little", signed=True) if x else 0 for x in names], np.int64)
-            frag, owner = frag[head], owner[head]
-            order = np.argsort(owner, kind="stable")
-            frag, owner = frag[order], owner[order]
-            at, first = np.unique(owner, return_index=True)
-            tied, from_ = np.unique(ties[:, 0], return_index=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays(ids),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(names, pa.binary()),
-                    _lists(np.split(frag, first[1:]) if len(at) else [], total, at.tolist()),
-                    _lists(np.split(keys[ties[:, 1]], from_[1:]) if len(tied) else [], total, tied.tolist()),
-                ],
-                names=["id", "n", "name", "fragments", "ties"],
-            )
+            columns = [pa.array(np.concatenate(c), k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            for c in out:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["fragment", "key", "cls", "need"])
 
         for batch in batches:
-            base = len(names)
-            ids.append(batch.column(0).cast(pa.int64()))
-            sizes.extend([0] * batch.num_rows)
-            names.extend([None] * batch.num_rows)
-            for row, grams in _sets(batch, "t", n):
-                name = _signature(grams)
-                sizes[base + row], names[base + row] = len(grams), name
-                if name not in seen:
-                    seen.add(name)
-                    held.append(cut.signatures(grams))
-                    rows.append(base + row)
-                    found += len(held[-1])
-            if found > TASK_FRAGMENTS:
-                yield flush()
-                ids, sizes, names, rows, held, found, seen = [], [], [], [], [], 0, set()
-        if ids:
+            for _, grams in _sets(batch, "t", n):
+                key = _short(_signature(grams))
+                if key in seen:
+                    continue
+                seen.add(key)
+                for cls, hashes, shown, need in frags.cut(grams):
+                    hashes = hashes[shown].view(np.int64)
+                    for column, value in zip(out, (hashes, key, cls, need)):
+                        column.append(value if value is hashes else np.full(len(hashes), value, np.int64))
+                    size += len(hashes)
+                if size > 100_000:
+                    yield flush()
+                    size = 0
+            if len(seen) > REMEMBERED_SETS:
+                seen.clear()
+        if size:
             yield flush()
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties between sets that sent the same fragment; all rows of a fragment are in one partition."""
-    frag, key = [], []
-    for b in batches:
-        frag.append(b.column(0).to_numpy(zero_copy_only=False))
-        key.append(b.column(1).to_numpy(zero_copy_only=False))
-    if not frag:
-        return
-    frag, key = np.concatenate(frag), np.concatenate(key)
-    order = np.lexsort((key, frag))
-    frag, key = frag[order], key[order]
-    head = np.concatenate([[True], frag[1:] != frag[:-1]])
-    lead = key[np.flatnonzero(head)][np.cumsum(head) - 1]
-    pairs = np.unique(np.stack([key[~head], lead[~head]], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _sketches(percent: int, n: int):
+    """(set, class, size, sketch): 16 bits of each fragment's hash, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frags = Fragments(percent)
+        for batch in batches:
+            rows = []
+            for _, grams in _sets(batch, "t", n):
+                key = _short(_signature(grams))
+                rows += [(key, cls, len(grams), (hashes >> np.uint64(48)).astype(np.uint16).tobytes()) for cls, hashes, _, _ in frags.cut(grams)]
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "size", "sketch"])
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose fragment another set of the partition has too. Rows come sorted by fragment and set; one row is held back."""
+    held, before = None, False
+    names = ["fragment", "key", "cls", "need"]
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        frag, key = columns[0], columns[1]
+        keep = np.concatenate([[True], (frag[1:] != frag[:-1]) | (key[1:] != key[:-1])])
+        columns = [c[keep] for c in columns]
+        frag = columns[0]
+        same = frag[1:] == frag[:-1]
+        shared = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        held, before = [c[-1:] for c in columns], bool(shared[-1])
+        rows = [c[:-1][shared[:-1]] for c in columns]
+        if len(rows[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=names)
+    if held is not None and before:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a matrix of links that connect what all of them connect."""
+    parent = list(range(linked.shape[1]))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(linked))):
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+    return out
+
+
+def _agree(percent: int):
+    """Candidates among the sets that share a fragment: those that share enough fragments, as far as sketches tell.
+
+    Rows come sorted by group; a group is bounded. Only pairs that connect the group's candidates are given back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frags = Fragments(percent)
+        group, rows, found = None, [], []
+
+        def compare() -> None:
+            sets = {key: (size, sketch) for key, size, sketch in rows}
+            if len(sets) < 2:
+                return
+            keys = list(sets)
+            sizes = np.asarray([sets[k][0] for k in keys])
+            marks = np.stack([np.frombuffer(sets[k][1], np.uint16) for k in keys])
+            common = np.stack([np.count_nonzero(marks == m, axis=1) for m in marks])
+            near = np.triu(common >= frags.agree(group[3], sizes), 1)
+            found.extend((keys[a], keys[b]) for a, b in _forest(near))
+
+        def flush() -> pa.RecordBatch:
+            pairs = sorted(set(found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            heads = zip(*(batch.column(c).to_pylist() for c in ("fragment", "lo", "hi", "cls")))
+            for head, row in zip(heads, zip(*(batch.column(c).to_pylist() for c in ("key", "size", "sketch")))):
+                if head != group:
+                    compare()
+                    group, rows = head, []
+                rows.append(row)
+            if len(found) > 50_000:
+                yield flush()
+        compare()
+        if found:
+            yield flush()
+
+    return run
 
 
 def _grams(n: int):
@@ -207,10 +307,10 @@ def _grams(n: int):
                 sets.append(grams.view(np.int64))
                 size += len(grams)
                 if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sets, len(sets), list(range(len(sets))))], names=["name", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sets)], names=["name", "grams"])
                     names, sets, size = [], [], 0
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sets, len(sets), list(range(len(sets))))], names=["name", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sets)], names=["name", "grams"])
 
     return run
 
@@ -252,27 +352,47 @@ def _link(percent: int):
             size = np.asarray([len(sets[x][1]) for x in names])
             both = overlaps([sets[x][1] for x in names], left)
             linked = 100 * both >= percent * (size[:left, None] + size[None, :] - both)
-            rows, cols = np.nonzero(linked)
-            keep = (cols > rows) & ((cols >= left) | (lo == hi))
-            parent = list(range(len(names)))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for a, b in zip(rows[keep].tolist(), cols[keep].tolist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    a_out.append(names[a])
-                    b_out.append(names[b])
+            cols, rows = np.arange(len(names))[None, :], np.arange(left)[:, None]
+            for a, b in _forest(linked & (cols > rows) & ((cols >= left) | (lo == hi))):
+                a_out.append(names[a])
+                b_out.append(names[b])
         return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
     return run
 
 
+def _candidates(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs (a, b) of sets that connect all that may be similar, over columns id and t.
+
+    Similar sets share at least ``need`` of the fragments they show. A fragment that more than ``GROUP_SETS`` sets share, a common
+    passage say, is passed over for a set with fewer than ``need`` such fragments: the set meets whom it may be similar to in
+    another one. What remains of such a fragment is compared in blocks.
+    """
+    sent = docs.select("t").mapInArrow(_send(percent, n), "fragment bigint, key bigint, cls int, need int")
+    rows = sent.repartition("fragment").sortWithinPartitions("fragment", "key").mapInArrow(_repeated, sent.schema)
+    rows = materialize(rows, "ngram-fragments")
+    crowded = rows.groupBy("fragment").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > GROUP_SETS)
+    rows = rows.join(crowded, "fragment", "left")
+    often = rows.filter("crowd IS NOT NULL").groupBy("key", "cls").agg(F.count("*").alias("often"))
+    rows = rows.join(often, ["key", "cls"], "left").filter("crowd IS NULL OR often >= need").select("fragment", "key", "cls", "crowd")
+    rows = materialize(rows, "ngram-groups")
+    # Fragments that the same sets share say the same; one of them is compared, however many near copies of long texts share.
+    same = [F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64("key", F.lit(1)))]
+    groups = rows.groupBy("fragment", "cls").agg(F.count("*").alias("n"), same[0].alias("x"), same[1].alias("y")).filter("n > 1")
+    rows = rows.join(groups.groupBy("cls", "n", "x", "y").agg(F.min("fragment").alias("fragment")).select("fragment"), "fragment", "left_semi")
+    left = rows.filter("crowd IS NOT NULL").groupBy("fragment").agg(F.ceil(F.count("*") / GROUP_SETS).cast("int").alias("blocks"))
+    rows = rows.join(left, "fragment", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("fragment", "key", "cls", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    sketches = docs.select("t").mapInArrow(_sketches(percent, n), "key bigint, cls int, size bigint, sketch binary")
+    wanted = rows.select("key").distinct()
+    sketches = marked(sketches, marks(wanted, "key"), F.col("key")).dropDuplicates(["key", "cls"])
+    met = rows.join(sketches, ["key", "cls"]).repartition("fragment", "lo", "hi").sortWithinPartitions("fragment", "lo", "hi", "key")
+    return met.select("fragment", "lo", "hi", "cls", "key", "size", "sketch").mapInArrow(_agree(percent), "a bigint, b bigint")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: id, ``n_shingles`` (size of its set of word n-grams) and ``component_id``.
 
@@ -285,14 +405,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     N-grams and fragments are compared by 64-bit hashes, sets by 128-bit ones.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    described = docs.mapInArrow(_describe(percent, n), "id bigint, n bigint, name binary, fragments array<bigint>, ties array<bigint>")
-    described = materialize(described, "ngram-sets")
+    described = materialize(docs.mapInArrow(_describe(n), "id bigint, n bigint, name binary"), "ngram-sets")
 
-    # Candidates: sets tied by a common fragment, as clusters.
-    sent = described.filter("fragments IS NOT NULL").select(F.explode("fragments").alias("fragment"), _key("name").alias("key"))
-    met = sent.repartition("fragment").mapInArrow(_meet, "a bigint, b bigint")
-    tied = described.filter("ties IS NOT NULL").select(_key("name").alias("a"), F.explode("ties").alias("b"))
-    clusters = components(met.unionByName(tied))
+    clusters = components(_candidates(docs, percent, n))
 
     sets = described.filter("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     inside = materialize(sets.withColumn("key", _key("name")).join(clusters.withColumnRenamed("node", "key"), "key").select("name", "id", "n", "root"), "ngram-clusters")
@@ -300,7 +415,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocked = inside.join(weight, "root").select("name", "root", "blocks", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"))
 
     wanted = inside.select(F.col("id").alias("wanted")).distinct()
-    texts = docs.join(wanted.hint("merge"), docs["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("t")
+    near = marked(docs, marks(wanted, "wanted"), docs["id"])
+    texts = near.join(wanted.hint("merge"), near["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("t")
     grams = texts.mapInArrow(_grams(n), "name binary, grams array<bigint>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meetings = grams.join(blocked, "name").select("name", "grams", "root", "block", other)
@@ -326,5 +442,5 @@ def _key(name: str):
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """The rows whose id names their component, with all columns: one document of each group of similar ones. Ids must be unique."""
-    kept = jaccard_components(df, id_col, text_col, n, percent).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id"))
-    return df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = jaccard_components(df, id_col, text_col, n, percent)
+    return without_ids(df, id_col, found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col))
