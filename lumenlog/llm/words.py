@@ -18,6 +18,9 @@ _WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes hashed at a time; keeps the 64-bit values of a step small.
+HASH_BYTES = 1 << 18
+
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -94,8 +97,13 @@ def words(data: np.ndarray, starts: np.ndarray) -> Words:
     after[starts[1:][starts[1:] > 0] - 1] = False
     first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(starts, first, "right") - 1
-    length = last - first
-    at = np.concatenate([[0], np.cumsum(length)[:-1]])
-    place = np.arange(int(length.sum())) - np.repeat(at, length)
-    codes = _BYTE_CODE[data[inside]] * powers(int(length.max()))[place]
-    return Words(data, first, last, row, mix(np.add.reduceat(codes, at)))
+    hashes = np.empty(len(first), np.uint64)
+    size = np.concatenate([[0], np.cumsum(last - first)])
+    for lo, hi in slices(size, HASH_BYTES):
+        at = size[lo:hi] - size[lo]
+        where = slice(first[lo], last[hi - 1])
+        place = np.arange(int(size[hi] - size[lo])) - np.repeat(at, last[lo:hi] - first[lo:hi])
+        codes = _BYTE_CODE[data[where][inside[where]]]
+        codes *= powers(int(place.max()) + 1)[place]
+        hashes[lo:hi] = np.add.reduceat(codes, at)
+    return Words(data, first, last, row, mix(hashes))
