@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.marks import marked, marks, unmarked, without_ids
+from lumenlog.llm.marks import marked, marks, numbered, unmarked, without_ids
 from lumenlog.session import materialize
 
 FIRST_BYTES = 64
@@ -23,21 +23,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``keep_id`` (smallest id of its group), ``group_size``, ``kept``, ``text_sha256``.
-
-    Only the two named columns are read, so other columns may have any name. A null text equals an empty one. Null ids are passed
-    over when the smallest id is sought; a group of null ids alone has a null ``keep_id``. Of rows that repeat the kept id exactly
-    one has ``kept``. An empty table gives an empty result.
-
-    Counts of (group, bytes) are combined before the shuffle, and rows meet them in a plain join that Spark may split, so a group
-    of copies of any size spreads over tasks. Every level is written to the shared folder; a level holds only texts that still
-    share all bytes seen so far with another one.
-    """
-    spark = df.sparkSession
+def _members(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Every row with its group (level and node, no node if it is alone), the group's size and smallest id; ``row`` if it is named."""
     text = normalised(F.col(text_col))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("t"))
-    rows = rows.select("id", F.unhex(F.sha2("t", 256)).alias("sha"), F.octet_length("t").cast("long").alias("parent"), F.col("t").cast("binary").alias("rest"))
+    own = ["id"] if row_col is None else ["id", "row"]
+    named = [F.col(c).alias(name) for c, name in zip((id_col, row_col), own)]
+    rows = df.select(*named, text.alias("t"))
+    rows = rows.select(*own, F.unhex(F.sha2("t", 256)).alias("sha"), F.octet_length("t").cast("long").alias("parent"), F.col("t").cast("binary").alias("rest"))
     done, seen, step, level = [], 0, FIRST_BYTES, 0
     while True:
         seen += step
@@ -46,22 +38,37 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), f"radix-nodes-{level}")
         # Rows whose length and first bytes no other text has leave here without being moved.
         found = marks(nodes, "parent", "head")
-        near = marked(rows, found, F.col("parent"), head).select("id", "sha", "parent", head.alias("head"), tail.alias("rest"))
+        near = marked(rows, found, F.col("parent"), head).select(*own, "sha", "parent", head.alias("head"), tail.alias("rest"))
         split = near.join(nodes.hint("merge"), ["parent", "head"], "left")
         open_text = F.col("node").isNotNull() & (F.octet_length("rest") > 0)
-        split = split.select("id", "sha", "node", "n", "rep", F.when(open_text, F.col("rest")).alias("rest"))
+        split = split.select(*own, "sha", "node", "n", "rep", F.when(open_text, F.col("rest")).alias("rest"))
         stored = materialize(split, f"radix-{level}")
-        alone = unmarked(rows, found, F.col("parent"), head).select("id", "sha")
-        done.append(alone.select("id", "sha", F.lit(level).alias("level"), *[F.lit(None).cast("bigint").alias(c) for c in ("node", "n")], F.col("id").alias("rep")))
-        done.append(stored.filter("rest IS NULL").select("id", "sha", F.lit(level).alias("level"), "node", "n", "rep"))
-        rows = stored.filter("rest IS NOT NULL").select("id", "sha", F.col("node").alias("parent"), "rest")
+        alone = unmarked(rows, found, F.col("parent"), head).select(*own, "sha")
+        done.append(alone.select(*own, "sha", F.lit(level).alias("level"), *[F.lit(None).cast("bigint").alias(c) for c in ("node", "n")], F.col("id").alias("rep")))
+        done.append(stored.filter("rest IS NULL").select(*own, "sha", F.lit(level).alias("level"), "node", "n", "rep"))
+        rows = stored.filter("rest IS NOT NULL").select(*own, "sha", F.col("node").alias("parent"), "rest")
         if rows.isEmpty():
             break
         step, level = step * GROWTH, level + 1
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
+    return found
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ``keep_id`` (smallest id of its group), ``group_size``, ``kept``, ``text_sha256``.
+
+    Only the two named columns are read, so other columns may have any name. A null text equals an empty one. Null ids are passed
+    over when the smallest id is sought; a group of null ids alone has a null ``keep_id``. Of rows that repeat the kept id exactly
+    one has ``kept``. An empty table gives an empty result.
+
+    Counts of (group, bytes) are combined before the shuffle, and rows meet them in a plain join that Spark may split, so a group
+    of copies of any size spreads over tasks. Every level is written to the shared folder; a level holds only texts that still
+    share all bytes seen so far with another one.
+    """
     alone = F.col("node").isNull()
+    found = _members(df, id_col, text_col)
     found = found.select("id", "sha", "level", "node", F.coalesce("n", F.lit(1)).alias("n"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"))
     first = F.row_number().over(Window.partitionBy("level", "node", "id").orderBy("sha")) == 1
     may_stay = ~alone & F.col("id").eqNullSafe(F.col("rep"))
@@ -73,6 +80,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Ids must be unique."""
-    found = exact_groups(df, id_col, text_col)
-    return without_ids(df, id_col, found.filter("NOT kept").select(id_col))
+    """The rows that stay, with all their columns: of equal texts one row with the smallest id, null ids last."""
+    rows, row = numbered(df, "exact-rows")
+    shared = _members(rows, id_col, text_col, row).filter("node IS NOT NULL")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"]
+    stays = shared.groupBy("level", "node").agg(first.alias("row"))
+    gone = shared.select("row").join(stays, "row", "left_anti")
+    return without_ids(rows, row, gone).drop(row)

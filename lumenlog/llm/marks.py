@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.session import materialize
+
 MARKS = 1 << 18
 
 
@@ -32,6 +34,14 @@ def unmarked(df: DataFrame, found: DataFrame, *key: Column) -> DataFrame:
     return df.join(F.broadcast(found), _mark(*key) == found["_mark"], "left_anti")
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number of its own for every row, and the name of that column; ids may repeat or be null."""
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
 def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """Rows of ``df`` whose id is not the first column of ``gone``; a null id is gone if a null is there."""
     gone = gone.select(gone[gone.columns[0]].alias("_gone_id")).distinct()

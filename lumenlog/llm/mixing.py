@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.ordered import running_sum
 from lumenlog.llm import words as W
+from lumenlog.llm.marks import numbered
 from lumenlog.session import materialize
 
 BLOCK_WORDS = 1024
@@ -36,7 +37,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.zeros(batch.num_rows, np.int64)
         for lo, hi in W.slices(starts, _SLICE_BYTES):
             size[lo:hi] = np.bincount(W.words(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]).row, minlength=hi - lo)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(size)], names=["id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(size), batch.column(3)], names=["id", "source", "size", "uid"])
 
 
 def targets(sizes: list[int], weights: list[int], total: int | None = None, most: int = MOST_REPEATS) -> list[Fraction]:
@@ -108,13 +109,15 @@ class Mix:
     ``pieces`` has slot, sid, epoch, uid, start, length: slot by slot, the words [start, start + length) of a document. Sources
     are taken in code point order, null last, and weigh 1, 2, 3, repeating, unless ``weights`` (source to weight) is given; they
     share the words of all documents. A null text has no words and is never taken; a null source is a source like others; rows
-    that repeat an id are taken each for itself. Only the three named columns are read. An empty table makes an empty mix.
+    that repeat an id are taken each for itself. Only the named columns are read; ``row_col``, a number of its own for every row, is
+    the uid if it is given. An empty table makes an empty mix.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, block_words: int = BLOCK_WORDS):
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, block_words: int = BLOCK_WORDS, row_col: str | None = None):
         spark = df.sparkSession
-        plain = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"))
-        sized = materialize(plain.mapInArrow(_count, "id bigint, source string, size bigint").withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+        uid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+        plain = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"), uid.alias("uid"))
+        sized = materialize(plain.mapInArrow(_count, "id bigint, source string, size bigint, uid bigint"), "mix-sizes")
         totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
         if len(totals) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -158,15 +161,16 @@ def mixed_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents: a row for every time a document is taken, with all its columns. Ids must be unique.
+    """The mix as documents: a row for every time a document is taken, with all its columns. Rows that repeat an id count apart.
 
     A document of which a last pass takes only a part is taken whole if that is half of its words or more, and not at all if less.
     """
-    mix = Mix(df, id_col, text_col, source_col)
-    passes = mix.pieces.groupBy("uid", "epoch").agg(F.sum("length").alias("words")).join(mix.rows.select("uid", "id", "size"), "uid")
-    times = passes.filter("2 * words >= size").groupBy("id").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("id", "_id")
+    rows, row = numbered(df, "mix-rows")
+    mix = Mix(rows, id_col, text_col, source_col, row_col=row)
+    passes = mix.pieces.groupBy("uid", "epoch").agg(F.sum("length").alias("words")).join(mix.rows.select("uid", "size"), "uid")
+    times = passes.filter("2 * words >= size").groupBy("uid").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("uid", "_uid")
     copy = "_copy"
     while copy in df.columns:
         copy += "_"
     copies = F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)
-    return df.join(times, df[id_col].cast("bigint").eqNullSafe(times["_id"])).select(*[df[c] for c in df.columns], copies).drop(copy)
+    return rows.join(times, rows[row] == times["_uid"]).select(*[rows[c] for c in df.columns], copies).drop(copy)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.llm import words as W
 from lumenlog.llm.graph import components
-from lumenlog.llm.marks import marked, marks, without_ids
+from lumenlog.llm.marks import marked, marks, numbered, without_ids
 from lumenlog.session import materialize
 
 SLICE_BYTES = 4 << 20
@@ -441,6 +441,11 @@ def _key(name: str):
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows whose id names their component, with all columns: one document of each group of similar ones. Ids must be unique."""
-    found = jaccard_components(df, id_col, text_col, n, percent)
-    return without_ids(df, id_col, found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col))
+    """One row of each group of similar texts, with all columns: one with the smallest id, null ids last."""
+    rows, row = numbered(df, "similar-rows")
+    found = jaccard_components(rows, row, text_col, n, percent).select(F.col(row).alias("row"), "component_id")
+    named = found.join(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")), "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"]
+    stays = named.groupBy("component_id").agg(first.alias("row"))
+    gone = found.select("row").join(stays, "row", "left_anti")
+    return without_ids(rows, row, gone).drop(row)

@@ -147,3 +147,25 @@ def test_rows_that_stay_keep_their_columns(spark):
     docs = cases.table(spark, rows)
     for kept in (exact_dedup.drop_exact_copies(docs), ngram_join.drop_similar(docs)):
         assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+
+
+def test_rows_whose_ids_repeat_or_are_null(spark):
+    """A row that goes takes no other row of its id along, and of rows that say the same one stays."""
+    rng = random.Random(4)
+    clean = [cases.sentence(rng, 60) for _ in range(4)]
+    near = clean[0].rsplit(" ", 1)[0]
+    rows = [(1, clean[0]), (1, clean[0]), (2, clean[1]), (2, clean[0]), (None, clean[1]), (None, clean[2]), (None, clean[3]), (None, clean[3]), (3, near), (None, near)]
+    docs = cases.table(spark, [(i, x, None, None) for i, x in rows])
+    exact = sorted(((r.doc_id or 0, r.text) for r in exact_dedup.drop_exact_copies(docs).collect()))
+    assert exact == sorted([(1, clean[0]), (2, clean[1]), (0, clean[2]), (0, clean[3]), (3, near)])
+    similar = ngram_join.drop_similar(docs)
+    assert similar.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in similar.collect())) == sorted([(1, clean[0]), (2, clean[1]), (0, clean[2]), (0, clean[3])])
+
+
+def test_stages_keep_every_text(spark):
+    """On rows with repeated and null ids, each normalised text stays once."""
+    docs = cases.table(spark, ROWS)
+    plain = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x or "")
+    got = exact_dedup.drop_exact_copies(docs).collect()
+    assert sorted(plain(r.text) for r in got) == sorted({plain(x) for _, x, _, _ in ROWS})

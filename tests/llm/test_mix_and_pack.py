@@ -139,3 +139,12 @@ def test_search_empties_a_bin():
 def test_cuts(n):
     parts = packing.cuts(n, 1024)
     assert sum(length for _, length in parts) == n and all(length == 1024 for _, length in parts[1:])
+
+
+def test_mixed_rows_that_repeat_an_id(spark):
+    """A row's times are its own: no row is taken more than three times, also where ids repeat or are null."""
+    rows = [(1, f"one {'a ' * 40}", None, "rare"), (1, f"two {'b ' * 40}", None, "rare"), (None, f"three {'c ' * 40}", None, "rare"), (None, f"four {'d ' * 40}", None, "rare")]
+    rows += [(10 + i, f"{i} {'e ' * 40}", None, "z") for i in range(40)]
+    docs = cases.table(spark, rows)
+    got = collections.Counter(r.text for r in mixing.mixed_documents(docs, source_col="source").collect())
+    assert max(got.values()) <= 3 and {x for _, x, _, s in rows if s == "rare"} <= set(got)
