@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, as Column expressions only.
 
 E-mail addresses, phone, card, social security and bank account numbers, IP addresses and dates are found by one pattern, validated,
-and replaced by a value of the same format: a keyed Feistel network permutes all values of the format, so equal values stay equal in
+and replaced by a value of the same format. A match may be followed by digits or words that are not its own: of its beginnings up to
+a separator, one of the usual length of its kind that validates is taken, or else the longest that validates, and the search goes
+on behind it. A keyed Feistel network permutes all values of the format, so equal values stay equal in
 all documents, different ones stay different, and a validated number stays valid. What does not validate is left as it is.
 """
 
@@ -23,6 +25,12 @@ SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 #: Kinds in order of precedence where matches begin at the same place.
 KINDS = {"email": EMAIL, "iban": IBAN, "phone": PHONE, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD}
+#: Usual lengths, without separators: phone numbers by country code, cards by issuer, bank accounts by country.
+USUAL = {
+    "phone": r"^(?:\+(?:[17]\d{10}|(?:27|31|33|34|41|48|61)\d{9}|(?:30|44|52|90|91)\d{10}|4[57]\d{8})|\d{10})$",
+    "card": r"^(?:4\d{15}|3[47]\d{13}|(?:5[1-5]|2[2-7]|35|6\d)\d{14}|3[068]\d{12})$",
+    "iban": r"^(?:NO.{13}|BE.{14}|(?:DK|FI|NL).{16}|(?:AT|LU).{18}|CH.{19}|(?:DE|GB|IE).{20}|(?:ES|SE|CZ).{22}|PT.{23}|(?:FR|IT|GR).{25}|(?:PL|HU).{26})$",
+}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values()).replace(r"([-/])\d{2}\1\d{2}", r"(?:-\d{2}-|/\d{2}/)\d{2}")
 
 # Days from 1900-01-01 to 2099-12-31 are 17 * 4297; social security numbers are (898 areas * 99 groups) * 9999 serials.
@@ -259,6 +267,51 @@ def pseudonym(match: Column, key: str) -> Column:
     return out
 
 
+def _valid(part: Column, usual: bool) -> Column:
+    """Whether a beginning of a match validates as a phone, card or account number, of a usual length if that is asked."""
+    plain = F.regexp_replace(part, "[^0-9A-Z+]", "")
+    account = _mod97(F.concat(plain.substr(F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+    checks = {"iban": account & F.length(plain).between(15, 34), "phone": F.size(_numbers(part)).between(8, 15), "card": _luhn(_numbers(part), 0) % 10 == 0}
+    out = F.lit(False)
+    for kind, check in checks.items():
+        fits = part.rlike("^(?:" + KINDS[kind] + ")$")
+        out = F.when(fits & plain.rlike(USUAL[kind]) if usual else fits, check).otherwise(out)
+    return out
+
+
+def _accepted(match: Column) -> Column:
+    """The part of a match from its beginning on that is looked at as a value; the whole match if no part is better."""
+
+    def pick(parts: Column) -> Column:
+        starts = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))
+
+        def best(s: Column) -> Column:
+            usual, valid = F.get(F.filter(s, lambda x: _valid(x, True)), F.lit(0)), F.get(F.filter(s, lambda x: _valid(x, False)), F.lit(0))
+            return F.coalesce(usual, valid, s[0])
+
+        return let(starts, best)
+
+    numeric = "^(?:" + "|".join(f"(?:{KINDS[k]})" for k in ("iban", "phone", "card")) + ")$"
+    return F.when(match.rlike(numeric), let(F.split(match, r"(?<=[0-9A-Z])(?=[ .()-])"), pick)).otherwise(match)
+
+
+def _taken(looked: Column) -> Column:
+    """For each piece of the text what of it stays (from ``cut`` on) and whether its value is replaced.
+
+    A piece begins where a match may begin and ends before the next such place; a value may reach over several pieces, and those
+    places are then passed over.
+    """
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<struct<cut:int,taken:boolean>>").alias("out"))
+
+    def turn(state: Column, x: Column) -> Column:
+        taken = (state["over"] == 0) & (x["reach"] > 0)
+        reach = F.when(taken, x["reach"]).otherwise(state["over"])
+        step = F.struct(F.least(reach, x["size"]).alias("cut"), taken.alias("taken"))
+        return F.struct(F.greatest(reach - x["size"], F.lit(0)).alias("over"), F.concat(state["out"], F.array(step)).alias("out"))
+
+    return F.aggregate(looked, start, turn, lambda state: state["out"])
+
+
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, the text with pseudonyms, ``n_found``, and ``found``: kind and pseudonym of each, in order.
 
@@ -267,12 +320,22 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     named columns are read; an empty table gives an empty result. Rows are rewritten where they lie, nothing is shuffled.
     """
     text = F.col(text_col)
-    looked = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    matched = df.select(F.col(id_col).alias("id"), text.alias("t"), looked.alias("m"))
+    ahead = f"(?=({ANY}))"
+    looked = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ahead), F.lit(1)))
     some = F.size("m") > 0
-    named = matched.select("id", "t", "m", F.when(some, F.transform("m", lambda x: pseudonym(x, key))).alias("p"))
-    new = F.transform(F.arrays_zip("m", "p"), lambda z: F.coalesce(z["p"]["value"], z["m"]))
-    joined = F.array_join(F.flatten(F.zip_with(F.split("t", ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    found = F.coalesce(F.filter("p", lambda x: x.isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
-    out = named.select("id", F.when(some, joined).otherwise(F.col("t")).alias("text"), found.alias("found"))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("t"), looked.alias("m"))
+    # A line break in front, so that the first piece is never one that begins with a match.
+    pieces = F.when(some, F.split(F.concat(F.lit("\n"), "t"), f"(?={ANY})", -1))
+    rows = rows.select("id", "t", "m", pieces.alias("s"), F.when(some, F.transform("m", _accepted)).alias("a"))
+    named = F.transform("a", lambda x: let(pseudonym(x, key), lambda p: F.struct(p.alias("p"), F.when(p["value"].isNull(), 0).otherwise(F.length(x)).alias("reach"))))
+    rows = rows.select("id", "t", "s", F.when(some, named).alias("p"))
+    sized = F.zip_with(F.slice("s", 2, F.size("s")), "p", lambda x, p: F.struct(p["reach"].alias("reach"), F.length(x).alias("size")))
+    rows = rows.select("id", "t", "s", "p", F.when(F.col("p").isNotNull(), _taken(sized)).alias("k"))
+    each = F.arrays_zip(F.slice("s", 2, F.size("s")).alias("s"), F.col("p.p").alias("p"), F.col("k").alias("k"))
+    rows = rows.select("id", "t", "s", each.alias("e"))
+    write = lambda e: F.concat(F.when(e["k"]["taken"], e["p"]["value"]).otherwise(F.lit("")), e["s"].substr(e["k"]["cut"] + 1, F.length(e["s"])))
+    joined = F.concat(F.expr("substring(s[0], 2)"), F.array_join(F.transform("e", write), ""))
+    found = F.transform(F.filter("e", lambda e: e["k"]["taken"]), lambda e: e["p"])
+    found = F.coalesce(found, F.array().cast("array<struct<kind:string,value:string>>"))
+    out = rows.select("id", F.when(F.col("e").isNotNull(), joined).otherwise(F.col("t")).alias("text"), found.alias("found"))
     return out.select(F.col("id").alias(id_col), "text", F.size("found").cast("bigint").alias("n_found"), "found")

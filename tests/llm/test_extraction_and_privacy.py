@@ -116,3 +116,21 @@ def test_no_python_in_the_plan(spark):
     docs = cases.table(spark, [(1, "x", None, None)])
     plan = pii.pseudonymise(docs, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_values_followed_by_digits_or_words(spark):
+    rows = [
+        (1, "card 4111 1111 1111 1111 12/25 and 4111-1111-1111-1111 123."),
+        (2, "call +1 415 555 2671 2024-01-05 or +1 415 555 2671 20 times"),
+        (3, "pay DE89 3704 0044 0532 0130 00 or BE68 5390 0754 7034 CODE now"),
+        (4, "4111 1111 1111 1111"),
+        (5, "+1 415 555 2671"),
+        (6, "BE68 5390 0754 7034"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(cases.table(spark, [(i, x, None, None) for i, x in rows]), KEY).collect()}
+    card, phone, iban = (got[i].found[0].value for i in (4, 5, 6))
+    assert got[1].text == f"card {card} 12/25 and {card.replace(' ', '-')} 123."
+    date = got[2].found[1].value
+    assert [f.kind for f in got[2].found] == ["phone", "date", "phone"] and date != "2024-01-05"
+    assert got[2].text == f"call {phone} {date} or {phone} 20 times"
+    assert [f.kind for f in got[3].found] == ["iban", "iban"] and got[3].text.endswith(f" or {iban} CODE now")
