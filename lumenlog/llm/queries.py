@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import exact_dedup, filter_audit, hard_negatives, html_extract, langid, lm_scoring, mixing, ngram_join, packing, pii, sharding, topk
+from lumenlog.llm import exact_dedup, filter_audit, hard_negatives, html_extract, langid, licenses, lm_scoring, mixing, ngram_join, packing, pii, sharding, topk
 from lumenlog.llm.shipping import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,9 @@ SELECT * FROM n WHERE rank <= 3
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=shifted)
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", *licenses.labelled(found))
