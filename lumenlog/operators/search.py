@@ -1,4 +1,4 @@
-"""Exact, filtered, grouped, hybrid and approximate vector search.
+"""Exact, filtered, grouped and hybrid vector search; ``vector_index`` has the searches for many queries at once.
 
 Search is filter, score, top-k: filters run before scoring, scoring is batched, and each task hands on at most k candidates.
 """
@@ -6,7 +6,6 @@ Search is filter, score, top-k: filters run before scoring, scoring is batched,
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from lumenlog.functions.vectors import cosine, cosine_with, dot, euclidean, lite
 ID, VECTOR = "vec_id", "embedding"
 
 
-def _ranked(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+def ranked(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc("score"), ID)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -57,7 +56,7 @@ def semantic_search(
 
 def batch_search(df: DataFrame, queries: dict[int, list[float]], k: int) -> DataFrame:
     """Top-k of several queries in one pass over the corpus."""
-    return _ranked(top_matches(df, ID, VECTOR, queries, k), k)
+    return ranked(top_matches(df, ID, VECTOR, queries, k), k)
 
 
 def search_groups(df: DataFrame, query: list[float], group_by: str, group_size: int = 1, limit: int = 10) -> DataFrame:
@@ -148,69 +147,3 @@ def collection_stats(df: DataFrame, payload: list[str]) -> DataFrame:
 def distances(df: DataFrame, query: list[float]) -> DataFrame:
     q = literal_vector(query)
     return df.select(ID, cosine(VECTOR, q).alias("cosine"), dot(VECTOR, q).alias("dot"), euclidean(VECTOR, q).alias("euclid"))
-
-
-# --- approximate search -----------------------------------------------------------------------------------------------
-
-
-def hyperplanes(dim: int, tables: int, bits: int, seed: int = 7) -> list[list[list[float]]]:
-    rng = random.Random(seed)
-    return [[[rng.gauss(0.0, 1.0) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
-
-
-def _signer(planes: list[list[list[float]]]):
-    """Function from a matrix of vectors to their bucket per table; self-contained, as it also runs on executors."""
-
-    def sign(vectors):
-        import numpy as np
-
-        p = np.asarray(planes, dtype=np.float64)
-        tables, bits, dim = p.shape
-        signs = (vectors @ p.reshape(-1, dim).T > 0).reshape(len(vectors), tables, bits)
-        return signs @ (1 << np.arange(bits))
-
-    return sign
-
-
-def with_signatures(df: DataFrame, planes: list[list[list[float]]]) -> DataFrame:
-    """Sign-hash bucket of every vector in every table, as an array of numbers; store it with the vectors."""
-    sign = _signer(planes)
-
-    @F.pandas_udf("array<int>")
-    def signatures(vectors):
-        import numpy as np
-        import pandas as pd
-
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(sign(np.stack(vectors.to_numpy()).astype("float64")).astype("int32")))
-
-    return df.filter(usable(VECTOR, len(planes[0][0]))).withColumn("buckets", signatures(VECTOR))
-
-
-def ann_search(indexed: DataFrame, planes: list[list[list[float]]], queries: dict[int, list[float]], k: int) -> DataFrame:
-    """Approximate top-k: rows that share a bucket with a query (or differ by one bit) in any table, then exact cosine.
-
-    Candidates are picked by a filter on the stored buckets, not by pairing rows with each other, so a crowded bucket only
-    means more rows to score for that query.
-    """
-    import numpy as np
-
-    sign = _signer(planes)
-    parts = None
-    for query_id, vector in queries.items():
-        own = sign(np.asarray([vector], dtype=np.float64))[0]
-        bits = len(planes[0])
-        near: Column = F.lit(False)
-        for table, signature in enumerate(own):
-            probes = [int(signature)] + [int(signature) ^ (1 << bit) for bit in range(bits)]
-            near = near | F.col("buckets")[table].isin(probes)
-        hits = top_matches(indexed.filter(near), ID, VECTOR, {query_id: vector}, k)
-        parts = hits if parts is None else parts.unionByName(hits)
-    return _ranked(parts, k)
-
-
-def recall_at_k(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
-    """Share of the exact top-k each query's approximate result contains."""
-    hit = exact.select("query_id", ID).join(found.select("query_id", ID, F.lit(1).alias("hit")), ["query_id", ID], "left")
-    return hit.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.lit(k)).alias("recall"))

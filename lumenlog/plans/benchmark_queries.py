@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lumenlog.operators import benchmarks as b
-from lumenlog.operators import search as s
 from lumenlog.plans.registry import query, r, rounded
-from lumenlog.plans.search_queries import PLANES, query_vectors
+from lumenlog.plans.search_queries import CELLS, recalls
 
 OK = "FROM bench WHERE error IS NULL"
 
@@ -43,16 +44,19 @@ def _(c):
     return rounded(b.regression_gate(c.bench, "run-1", "run-0"), "p50_change")
 
 
-@query("run_scenarios")
+@query(
+    "tuning_flags_recall",
+    f"{BOTH} SELECT n.scenario, {r('n.a')} AS avg_ms, {r('o.a')} AS baseline_ms, n.a > o.a * 1.1 AS slower, n.scenario = 'view' AS low_recall FROM n JOIN o ON n.scenario = o.scenario",
+)
+def _(c):
+    # One scenario searches every cell, another a single one.
+    every, one = (recalls(c, n).agg(F.avg("recall").alias("recall")) for n in (CELLS, 1))
+    known = every.select(F.lit("click").alias("scenario"), "recall").unionByName(one.select(F.lit("view").alias("scenario"), "recall"))
+    return rounded(b.tuning_flags(c.bench, "run-1", "run-0", known).drop("recall"), "avg_ms", "baseline_ms")
+
+
+@query("recall_gate", "SELECT CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS old_recall, true AS passed UNION ALL SELECT CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), false")
 def _(c):
-    q = query_vectors(c)
-    errors = s.filters(c.vec, {"severity": "ERROR"})
-    scenarios = {
-        "semantic": lambda: s.batch_search(c.vec, q, 10),
-        "filtered": lambda: s.batch_search(errors, q, 10),
-        "hybrid": lambda: s.rrf([s.batch_search(c.vec, {0: q[0]}, 20), s.batch_search(errors, {0: q[0]}, 20)], 10),
-        "grouped": lambda: s.search_groups(c.vec, q[0], "trace_id", 1, 10),
-        "rescored": lambda: s.formula_rescore(c.vec, q[0], "0.7 * score + 0.3 * CASE WHEN severity = 'ERROR' THEN 1 ELSE 0 END"),
-        "approximate": lambda: s.ann_search(s.with_signatures(c.vec, PLANES), PLANES, q, 10),
-    }
-    return b.run_scenarios(c.spark, scenarios, "run").select("scenario", "result_count", "error")
+    good = recalls(c, CELLS)
+    bad = good.withColumn("recall", F.col("recall") - 1)
+    return b.recall_gate(good, good).unionByName(b.recall_gate(bad, good))

@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 from lumenlog.adapters import ORACLE_VIEWS
 from lumenlog.functions.vectors import usable
 from lumenlog.operators import search as s
+from lumenlog.operators import vector_index as v
 from lumenlog.operators.textprep import embed
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import documents
+from lumenlog.session import scratch_path
 
 COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 ORACLE_VIEWS["scores"] = f"""
 SELECT q.vec_id AS query_id, v.vec_id, v.project_id, v.severity, v.service_name, v.trace_id, v.ts, {COS} AS score FROM vec AS v, (SELECT vec_id, embedding FROM vec WHERE vec_id < 5) AS q
 """
+ORACLE_VIEWS["all_scores"] = f"""
+SELECT q.vec_id AS query_id, v.vec_id, {COS} AS score FROM vec AS v, (SELECT vec_id, embedding FROM vec WHERE vec_id % 100 = 0) AS q
+"""
 S = r("score", 5)
+#: Cells of the stored index and how many a query looks into; the vectors here are nearly random, so it takes most of them.
+CELLS, PROBES = 64, 48
+#: Makes one number of a conversation and a turn.
+MOST_TURNS = 1 << 20
 
 
 def query_vectors(c) -> dict[int, list[float]]:
@@ -54,9 +63,26 @@ def _(c):
 BATCH = "SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores"
 
 
-@query("batch_search", f"SELECT query_id, vec_id, rank, {S} AS score FROM ({BATCH}) AS b WHERE rank <= 10")
+ALL_BATCH = BATCH.replace("FROM scores", "FROM all_scores")
+
+
+def all_queries(c):
+    """A hundredth of the vectors."""
+    return v.as_queries(c.vec, F.col("vec_id") % 100 == 0)
+
+
+def stored_index(c):
+    """The vectors in two batches, as an index is built once and then extended."""
+    path = scratch_path(c.spark, "vector-index")
+    late = F.col("vec_id") % 10 == 3
+    v.build_index(c.vec.filter(~late), path, CELLS, 64)
+    v.add_vectors(c.vec.filter(late), path, "second")
+    return path
+
+
+@query("batch_search", f"SELECT query_id, vec_id, rank, {S} AS score FROM ({ALL_BATCH}) AS b WHERE rank <= 10")
 def _(c):
-    return score5(s.batch_search(c.vec, query_vectors(c), 10))
+    return score5(v.exact_search(c.vec, all_queries(c), 10, 64))
 
 
 @query(
@@ -156,18 +182,28 @@ def _(c):
     return rounded(s.distances(c.vec, query_vectors(c)[0]), "cosine", "dot", "euclid", digits=5)
 
 
-PLANES = s.hyperplanes(dim=64, tables=8, bits=6)
+@query("ann_search")
+def _(c):
+    return score5(v.search_index(c.spark, stored_index(c), all_queries(c), 10, PROBES))
 
 
-@query("ann_search")
+@query("ann_search_all_cells", f"SELECT query_id, vec_id, rank, {S} AS score FROM ({ALL_BATCH}) AS b WHERE rank <= 10")
 def _(c):
-    return s.ann_search(s.with_signatures(c.vec, PLANES), PLANES, query_vectors(c), 10)
+    return score5(v.search_index(c.spark, stored_index(c), all_queries(c), 10, CELLS))
+
+
+def recalls(c, probes: int):
+    return v.recall(v.search_index(c.spark, stored_index(c), all_queries(c), 10, probes), v.exact_search(c.vec, all_queries(c), 10, 64))
 
 
 @query("recall_at_k")
 def _(c):
-    q = query_vectors(c)
-    return s.recall_at_k(s.ann_search(s.with_signatures(c.vec, PLANES), PLANES, q, 10), s.batch_search(c.vec, q, 10), 10)
+    return recalls(c, PROBES)
+
+
+@query("recall_reaches_target", "SELECT count(*) AS queries, true AS reached FROM vec WHERE vec_id % 100 = 0")
+def _(c):
+    return recalls(c, PROBES).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
 def document_vectors(c):
@@ -175,27 +211,31 @@ def document_vectors(c):
     return embed(rows, "text", dim=64).withColumn("vec_id", F.col("doc_id"))
 
 
-def text_vector(c, table, text_filter) -> list[float]:
-    """Vector of one given text (one row)."""
-    return list(embed(table.filter(text_filter).limit(1), "text", dim=64).first()["embedding"])
-
-
 @query("similar_logs")
 def _(c):
     docs = document_vectors(c)
-    me = docs.filter("doc_id = 3").select("embedding", "text_hash").first()
-    return s.semantic_search(docs.filter(F.col("text_hash") != me["text_hash"]), list(me["embedding"]), 10, None, payload=["source"])
+    # A text stands once among the candidates, so dropping the query's own text leaves enough of the others.
+    first = docs.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    asked = v.as_queries(docs, F.col("doc_id") % 100 == 0)
+    hits = v.exact_search(docs.join(first, ["text_hash", "doc_id"], "left_semi"), asked, 11, 64).select("query_id", "vec_id", "score")
+    hashes = docs.select("vec_id", "text_hash", "source")
+    own = hashes.select(F.col("vec_id").alias("query_id"), F.col("text_hash").alias("own_hash"))
+    others = hits.join(hashes, "vec_id").join(own, "query_id").filter("text_hash <> own_hash").drop("own_hash")
+    return s.ranked(others, 10)
 
 
 @query("memory_search")
 def _(c):
-    rows = c.conversations.select(F.xxhash64("conv_id", "turn").alias("vec_id"), F.concat(F.lit("tenant-"), F.col("conv_id") % 3).alias("tenant"), "conv_id", "role", "text")
-    q = text_vector(c, c.conversations, "conv_id = 0 AND turn = 0")
-    return s.semantic_search(s.filters(embed(rows, "text", dim=64), {"tenant": "tenant-0", "role": "user"}), q, 10, None, payload=["conv_id", "role"])
+    rows = c.conversations.select(F.concat(F.lit("tenant-"), F.col("conv_id") % 3).alias("tenant"), "conv_id", "turn", "role", "text")
+    rows = rows.withColumn("vec_id", F.col("conv_id") * MOST_TURNS + F.col("turn"))
+    asked = v.as_queries(embed(rows.filter("conv_id = 0 AND turn = 0"), "text", dim=64), F.lit(True))
+    hits = v.exact_search(embed(s.filters(rows, {"tenant": "tenant-0", "role": "user"}), "text", dim=64), asked, 10, 64)
+    return hits.select(F.floor(F.col("vec_id") / MOST_TURNS).alias("conv_id"), (F.col("vec_id") % MOST_TURNS).alias("turn"), "rank", "score")
 
 
 @query("retrieval_context")
 def _(c):
-    docs = document_vectors(c).withColumn("preview", F.substring("text", 1, 500))
-    q = text_vector(c, c.benchmark.select("text", "item_id"), "item_id = 0")
-    return s.semantic_search(docs, q, 5, None, payload=["preview", "source"])
+    docs = document_vectors(c)
+    asked = v.as_queries(embed(c.benchmark, "text", dim=64), F.lit(True), "item_id")
+    hits = v.exact_search(docs, asked, 5, 64)
+    return hits.join(docs.select("vec_id", "source", F.substring("text", 1, 500).alias("preview")), "vec_id")

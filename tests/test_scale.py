@@ -101,15 +101,6 @@ def test_zero_vectors_are_left_out(spark):
     assert [r["vec_id"] for r in s.semantic_search(df, [1.0, 0.0], 5, None).collect()] == [2]
 
 
-def test_ann_recall(spark, corpus):
-    rows, vectors, ids = corpus
-    queries = {int(ids[i]): vectors[i].tolist() for i in range(0, 40, 4)}
-    planes = s.hyperplanes(dim=64, tables=8, bits=6)
-    found = s.ann_search(s.with_signatures(rows, planes), planes, queries, 10)
-    recall = s.recall_at_k(found, s.batch_search(rows, queries, 10), 10).agg(F.avg("recall")).first()[0]
-    assert recall >= 0.8
-
-
 def test_sparse_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     words = ["the", "error"]
