@@ -14,6 +14,7 @@ from lumenlog.plans.registry import query
 from lumenlog.plans.shapes import raw_sink
 from lumenlog.session import scratch_path
 from lumenlog.sources import io
+from lumenlog.sources import merge_table as mt
 
 
 @query(
@@ -119,10 +120,31 @@ def _(c):
     changed = c.vec.filter("severity = 'ERROR'").select("vec_id", "project_id", F.lit("INFO").alias("severity"), F.lit(2).alias("seq"))
     fresh = c.vec.filter("severity = 'WARNING'").select((F.col("vec_id") + 1000000).alias("vec_id"), "project_id", "severity", F.lit(2).alias("seq"))
     path = scratch_path(c.spark, "points")
-    io.upsert_table(c.spark, path, base, "vec_id", "seq", buckets=4)
+    mt.upsert(base, path, "vec_id", "seq", 0, buckets=4)
+    mt.compact(c.spark, path, "vec_id", "seq")
     for _again in range(2):  # the second time nothing may change
-        io.upsert_table(c.spark, path, changed.unionByName(fresh), "vec_id", "seq")
-    return c.spark.read.parquet(path).drop("buckets", "bucket")
+        mt.upsert(changed.unionByName(fresh), path, "vec_id", "seq", 1)
+    return mt.read(c.spark, path, "vec_id", "seq")
+
+
+@query(
+    "upsert_and_delete",
+    """WITH k AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 <> 1 OR o_orderkey % 3 = 0)
+       SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 1 END AS INTEGER) AS seq FROM k""",
+)
+def _(c):
+    """Rows, deletions and late changes over several batches, with a compaction in between."""
+    path = scratch_path(c.spark, "orders-state")
+    rows = c.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(1).alias("seq"))
+    gone = c.orders.filter("o_orderkey % 4 = 1").select("o_orderkey", F.lit(2).alias("seq"))
+    mt.upsert(rows, path, "o_orderkey", "seq", 0, buckets=8)
+    mt.upsert(rows.limit(0), path, "o_orderkey", "seq", 1, deletes=gone)
+    mt.compact(c.spark, path, "o_orderkey", "seq")
+    late = rows.withColumns({"status": F.lit("late"), "seq": F.lit(0)})  # older than what is stored and deleted
+    mt.upsert(late, path, "o_orderkey", "seq", 2)
+    changed = c.orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("X").alias("status"), F.lit(3).alias("seq"))
+    mt.upsert(changed, path, "o_orderkey", "seq", 3)
+    return mt.read(c.spark, path, "o_orderkey", "seq")
 
 
 @query("delete_by_tenant", "SELECT vec_id, project_id FROM vec WHERE project_id <> 'tenant-1'")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenlog.contracts import PAYLOAD_LOG_TYPES
 from lumenlog.functions.ordered import rolling_counts, rolling_rows, with_key_position, with_position
 from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import normalize as n
-from lumenlog.plans.normalize_queries import ALERT_TEXT
-from lumenlog.plans.oracle_views import level_sql
+from lumenlog.plans.normalize_queries import ALERT_TEXT, PAYLOAD_FIELDS, SEVERITY_LIST
+from lumenlog.plans.oracle_views import level_sql, log_type_sql
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
 from lumenlog.plans.text_queries import CHUNKS
 from lumenlog.session import scratch_path
-from lumenlog.sources import io
+from lumenlog.sources import io, merge_table
 from lumenlog.streaming import etl, jobs
 
 
@@ -138,7 +139,7 @@ def _(c):
     streams = [jobs.stream_files(c.spark, c.path("conversations"), c.conversations.schema) for _ in range(2)]
     jobs.dual_write(*streams, state, log, checkpoint, "conv_id", "turn")
     logged = c.spark.read.parquet(log).groupBy("conv_id").agg(F.count("*").alias("logged"))
-    return c.spark.read.parquet(state).drop("buckets", "bucket").join(logged, "conv_id")
+    return merge_table.read(c.spark, state, "conv_id", "turn").join(logged, "conv_id")
 
 
 @query(
@@ -214,17 +215,42 @@ def _(c):
     return jobs.global_progress(c.etl_jobs)
 
 
+DROPPED = "doc_id % 7 = 3"
+CHANGED = r"(SELECT doc_id, source, regexp_replace(CASE WHEN doc_id % 7 = 2 THEN text || ' ' || text ELSE text END, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE doc_id % 7 <> 3) AS changed"
+
+
 @query(
     "embed_documents",
-    CHUNKS
+    CHUNKS.replace("FROM documents", f"FROM {CHANGED}")
     + r""" SELECT source, sha256(chunk_text) AS text_hash, chunk_id, CAST(64 AS INTEGER) AS dim FROM chunk_rows JOIN (SELECT doc_id AS d, source FROM documents) AS x ON d = doc_id
         WHERE regexp_matches(chunk_text, '[\p{L}\p{N}_]')""",
 )
 def _(c):
+    """Documents are stored, then some are doubled, some cut short and some deleted."""
     target = scratch_path(c.spark, "points")
-    etl.embed_documents(documents(c), target)
-    etl.embed_documents(documents(c), target)  # everything is stored already
-    return c.spark.read.parquet(target).select("source", "text_hash", "chunk_id", F.size("embedding").alias("dim"))
+    docs = documents(c).select("doc_id", "source", "text")
+    doubled = docs.filter("doc_id % 7 IN (1, 2, 3)").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    etl.embed_documents(docs.filter("doc_id % 7 NOT IN (1, 2, 3)").unionByName(doubled), target, 0)
+    again = docs.filter("doc_id % 7 = 1")
+    for batch in (1, 1, 2):  # a repeated batch and an unchanged one
+        etl.embed_documents(again, target, batch, deleted=docs.filter(DROPPED).select("doc_id"))
+    merge_table.compact(c.spark, target, "chunk_id", "version")
+    return etl.documents_table(c.spark, target).select("source", "text_hash", "chunk_id", F.size("embedding").alias("dim"))
+
+
+@query(
+    "ingest_logs",
+    f"""SELECT service_name AS source, count(*) AS points FROM logs WHERE event_timestamp IS NOT NULL AND service_name IS NOT NULL AND severity IN ({SEVERITY_LIST})
+        AND {log_type_sql('source_table')} IN ({", ".join(repr(x) for x in PAYLOAD_LOG_TYPES)}) AND length(message) <= 10000 GROUP BY 1""",
+)
+def _(c):
+    target, quarantine = two_paths(c, "log-points")
+    payload = c.logs.select(
+        "log_id", F.concat(F.lit("tenant-"), F.expr("right(log_id, 1)")).alias("tenant_id"), "service_name", "severity", n.log_type("source_table").alias("log_type"),
+        F.col("event_timestamp").alias("timestamp"), "source_table", "message",
+    )
+    etl.ingest_logs(payload, target, quarantine, 0, [*PAYLOAD_FIELDS, "body"], PAYLOAD_FIELDS[:-1])
+    return etl.documents_table(c.spark, target).groupBy("source").agg(F.count("*").alias("points"))
 
 
 @query("realtime_error_embeddings", f"SELECT log_id, alert_text, CAST(64 AS INTEGER) AS dim FROM ({ALERT_TEXT}) AS a")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.operators import normalize, textprep
 from lumenlog.session import materialize
-from lumenlog.sources import io
+from lumenlog.sources import io, merge_table
 
 
 def records_of(sinks: dict[str, DataFrame], dataset: str, start: str | None = None) -> DataFrame:
@@ -39,20 +39,46 @@ def load_report(sinks: dict[str, DataFrame], dataset: str, target: DataFrame) ->
     return both.withColumn("status", status)
 
 
-def embed_documents(docs: DataFrame, target: str, tenant: str = "source", dim: int = 64, max_size: int = textprep.CHUNK_SIZE) -> None:
-    """Chunk, embed and upsert every chunk by its id; running it again changes nothing.
+def embed_documents(
+    docs: DataFrame, target: str, batch: int, tenant: str = "source", dim: int = 64, max_size: int = textprep.CHUNK_SIZE, deleted: DataFrame | None = None
+) -> bool:
+    """Chunk, embed and store the documents of a batch, each as a whole: what a document's stored chunks have too many goes.
 
-    A changed text replaces the point of its chunk; documents with equal texts keep a point each. Chunks whose stored text is the
-    same are left alone, and a text that several chunks share is embedded once.
+    ``batch`` counts upwards and is the version of what it writes; a batch that was applied is passed over (False). Texts are trimmed,
+    and a document without a text, or whose id is in ``deleted`` (a column ``doc_id``), keeps no chunk; rows without an id are left out.
+    If a batch has several texts for a document one of them is taken, the same one on every run. Chunks whose text is stored already
+    are left alone, and a text that several chunks share is embedded once. Read the table with ``documents_table``.
     """
     spark: SparkSession = docs.sparkSession
-    rows = textprep.chunk_rows(docs.select("doc_id", tenant, "text"), "doc_id", "text", max_size).drop("text")
-    rows = rows.withColumns({"text_hash": F.sha2("chunk_text", 256), "written": F.current_timestamp()})
-    if io.table_exists(spark, target):
-        stored = spark.read.parquet(target).select("chunk_id", "text_hash")
-        rows = rows.join(stored, ["chunk_id", "text_hash"], "left_anti")
-    rows = materialize(rows, "chunks")
-    texts = rows.groupBy("text_hash").agg(F.min("chunk_id").alias("chunk_id"))
-    once = textprep.embed(rows.join(texts, ["text_hash", "chunk_id"], "left_semi").select("text_hash", "chunk_text"), "chunk_text", dim)
-    points = rows.join(once.select("text_hash", "embedding").filter(F.col("embedding").isNotNull()), "text_hash")
-    io.upsert_table(spark, target, points, "chunk_id", "written")
+    if batch <= merge_table.manifest(spark, target)["applied"].get("documents", -1):
+        return False
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", tenant, F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text"))
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.xxhash64("text")).alias("_hash")).filter("_n > 1").drop("_n")
+    docs = docs.join(several, "doc_id", "left").filter(F.col("_hash").isNull() | (F.col("_hash") == F.xxhash64("text"))).drop("_hash")
+    rows = textprep.chunk_rows(docs.filter("text <> ''"), "doc_id", "text", max_size).drop("text")
+    rows = materialize(rows.withColumns({"text_hash": F.sha2("chunk_text", 256), "version": F.lit(batch).cast("long")}), "chunks")
+    fresh, gone = rows, None
+    if merge_table.exists(spark, target):
+        touched = docs.select("doc_id") if deleted is None else docs.select("doc_id").unionByName(deleted.select("doc_id"))
+        stored = documents_table(spark, target).select("chunk_id", "doc_id", "text_hash", "total_chunks").join(touched.distinct(), "doc_id", "left_semi")
+        stored = materialize(stored, "stored-chunks")
+        fresh = rows.join(stored, ["chunk_id", "text_hash", "total_chunks"], "left_anti")
+        gone = stored.join(rows, "chunk_id", "left_anti").select("chunk_id", F.lit(batch).cast("long").alias("version"))
+    texts = fresh.groupBy("text_hash").agg(F.min("chunk_id").alias("chunk_id"))
+    once = textprep.embed(fresh.join(texts, ["text_hash", "chunk_id"], "left_semi").select("text_hash", "chunk_text").dropDuplicates(["text_hash"]), "chunk_text", dim)
+    points = fresh.dropDuplicates(["chunk_id"]).join(once.select("text_hash", "embedding").filter(F.col("embedding").isNotNull()), "text_hash")
+    return merge_table.upsert(points, target, "chunk_id", "version", batch, "documents", gone)
+
+
+def documents_table(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks that ``embed_documents`` keeps."""
+    return merge_table.read(spark, target, "chunk_id", "version")
+
+
+def ingest_logs(payload: DataFrame, target: str, quarantine: str, batch: int, allowed: list[str], required: list[str], dim: int = 64) -> bool:
+    """Validate, lay out, chunk, embed and store log payloads; rows that break the contract go to ``quarantine`` with their reasons."""
+    valid, odd = normalize.split_valid(normalize.validate_payload(payload, allowed, required))
+    odd.write.mode("overwrite").parquet(f"{quarantine}/batch={batch}")
+    body = F.col("body") if "body" in payload.columns else F.lit(None).cast("string")
+    docs = valid.select(F.col("log_id").alias("doc_id"), F.col("service_name").alias("source"), textprep.embedding_text("message", body).alias("text"))
+    return embed_documents(docs, target, batch, dim=dim)

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from lumenlog.contracts import ERROR_SEVERITIES
 from lumenlog.functions.columns import count_if
 from lumenlog.operators import chat, normalize
-from lumenlog.sources.io import routes, table_exists, upsert_table
+from lumenlog.sources import merge_table
+from lumenlog.sources.io import routes, table_exists
 
 LOOKBACK = "2 hours"
 
@@ -144,16 +145,23 @@ def run_windowed(stream: DataFrame, path: str, checkpoint: str) -> None:
 # --- dual writes and dead letters -------------------------------------------------------------------------------------
 
 
-def dual_write(log_stream: DataFrame, state_stream: DataFrame, state_path: str, log_path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> Exception | None:
+def dual_write(
+    log_stream: DataFrame, state_stream: DataFrame, state_path: str, log_path: str, checkpoint: str, key: str, order: str, buckets: int = 64, most_deltas: int = 16
+) -> Exception | None:
     """Append every event to the log and keep the latest event per key, as two queries over the same source.
 
     Each query has its own checkpoint, so neither waits for the other: if the state cannot be written, the log still receives
     this and all later batches, and the state catches up from its own checkpoint once it can. Returns what stopped the state.
+    The state is a merge table: a batch writes its own rows only, and every ``most_deltas`` batches are folded in; read it with
+    ``merge_table.read``.
     """
     append_stream(log_stream, log_path, f"{checkpoint}/log")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, state_path, batch, key, order, buckets)
+        spark = batch.sparkSession
+        merge_table.upsert(batch, state_path, key, order, batch_id, "stream", buckets=buckets)
+        if len(merge_table.manifest(spark, state_path)["deltas"]) >= most_deltas:
+            merge_table.compact(spark, state_path, key, order)
 
     try:
         run_to_completion(state_stream, each, f"{checkpoint}/state")

@@ -11,7 +11,7 @@ from lumenlog.operators import aggregates, benchmarks, chat, finops, listing, ma
 from lumenlog.operators import dimensions as d
 from lumenlog.operators import tracing as t
 from lumenlog.session import shared_dir
-from lumenlog.sources import io
+from lumenlog.sources import io, merge_table
 from lumenlog.streaming import jobs
 
 
@@ -267,7 +267,7 @@ def test_dual_write_keeps_latest_state(spark, folder):
         assert jobs.dual_write(*streams, f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4) is None
         if first:
             write_part(spark, source, first, 10)
-    state = {r["who"]: r["id"] for r in spark.read.parquet(f"{folder}/state").collect()}
+    state = {r["who"]: r["id"] for r in merge_table.read(spark, f"{folder}/state", "who", "id").collect()}
     assert state == {"u0": 27, "u1": 28, "u2": 29} and spark.read.parquet(f"{folder}/log").count() == 30
 
 
@@ -285,7 +285,7 @@ def test_log_goes_on_when_the_state_fails(spark, folder):
     os.remove(f"{folder}/state")
     streams = [jobs.stream_files(spark, source, schema) for _ in range(2)]
     assert jobs.dual_write(*streams, f"{folder}/state", f"{folder}/log", f"{folder}/cp", "who", "id", buckets=4) is None
-    assert {r["who"]: r["id"] for r in spark.read.parquet(f"{folder}/state").collect()} == {"u0": 27, "u1": 28, "u2": 29}
+    assert {r["who"]: r["id"] for r in merge_table.read(spark, f"{folder}/state", "who", "id").collect()} == {"u0": 27, "u1": 28, "u2": 29}
 
 
 def test_stored_upsert(spark, folder):
@@ -325,18 +325,87 @@ def test_delete_where(spark, folder):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 5]
 
 
-def test_embed_documents_is_an_upsert(spark, folder):
+def points(spark, path):
+    from lumenlog.streaming import etl
+
+    return {r["chunk_id"]: r for r in etl.documents_table(spark, path).collect()}
+
+
+def test_embed_documents_replaces_whole_documents(spark, folder):
     from lumenlog.streaming import etl
 
     path, kinds = f"{folder}/vectors", "doc_id long, source string, text string"
-    etl.embed_documents(spark.createDataFrame([(1, "s", "same words"), (2, "s", "same words"), (3, "s", "other words")], kinds), path)
-    first = {int(r["doc_id"]): r for r in spark.read.parquet(path).collect()}
-    assert sorted(first) == [1, 2, 3] and first[1]["embedding"] == first[2]["embedding"]
-    for _ in range(2):
-        etl.embed_documents(spark.createDataFrame([(1, "s", "changed words"), (2, "s", "same words")], kinds), path)
-    second = {int(r["doc_id"]): r for r in spark.read.parquet(path).collect()}
-    assert spark.read.parquet(path).count() == 3 and second[1]["chunk_text"] == "changed words"
-    assert {k: v for k, v in second[2].asDict().items() if second[2][k] != first[2][k]} == {}
+
+    def batch(rows, number, deleted=(), **more):
+        gone = spark.createDataFrame([(i,) for i in deleted], "doc_id long")
+        return etl.embed_documents(spark.createDataFrame(rows, kinds), path, number, deleted=gone, **more)
+
+    long = " ".join(f"Sentence number {i}." for i in range(12))
+    assert batch([(1, "s", "same words"), (2, "s", "same words"), (3, "s", long), (None, "s", "no id"), (4, "s", "  "), (5, "s", "five")], 0, max_size=60)
+    first = points(spark, path)
+    assert {"1", "2", "5"} < set(first) and sum(k.startswith("3_chunk_") for k in first) == len(first) - 3 > 3
+    assert first["1"]["embedding"] == first["2"]["embedding"]
+    assert not batch([(1, "s", "a repeat of an applied batch")], 0)
+    assert points(spark, path) == first
+    # A shorter text, an emptied one, a deleted document, a new one, and one with two texts.
+    for number in (1, 2):
+        assert batch([(3, "s", "Short now."), (5, "s", None), (6, "s", "six"), (7, "s", "one text"), (7, "s", "another text")], number, deleted=[1, 99], max_size=60)
+    second = points(spark, path)
+    assert set(second) == {"2", "3", "6", "7"} and second["3"]["chunk_text"] == "Short now." and second["2"] == first["2"]
+    assert {r["version"] for k, r in second.items() if k != "2"} == {1}  # the second time nothing was written anew
+    merge_table.compact(spark, path, "chunk_id", "version")
+    assert points(spark, path) == second
+    assert batch([(1, "s", "back again"), (3, "s", long)], 3, max_size=60)
+    assert points(spark, path)["1"]["chunk_text"] == "back again" and len(points(spark, path)) == len(first) - 3 + 4
+
+
+def test_merge_table_against_a_dictionary(spark, folder):
+    import random
+
+    rng, want, path = random.Random(3), {}, f"{folder}/t"
+    for number in range(8):
+        rows = {(rng.randrange(30) or None, rng.randrange(6)): f"v{number}.{k}" for k in range(rng.randrange(1, 15))}
+        gone = {(rng.randrange(30), rng.randrange(6)) for _ in range(4)}
+        for (key, order), value in rows.items():
+            if (order, False) >= want.get(key, ((-1, False), None))[0]:
+                want[key] = ((order, False), value)
+        for key, order in gone:
+            if (order, True) >= want.get(key, ((-1, False), None))[0]:
+                want[key] = ((order, True), None)
+        changes = spark.createDataFrame([(k, o, f"x{o}") for (k, o) in rows], "k int, o int, v string")
+        deletes = spark.createDataFrame(list(gone), "k int, o int")
+        assert merge_table.upsert(changes, path, "k", "o", number, "a", deletes, buckets=3)
+        assert not merge_table.upsert(changes, path, "k", "o", number, "a")
+        if number % 3 == 2:
+            merge_table.compact(spark, path, "k", "o")
+            merge_table.vacuum(spark, path)
+        got = {r["k"]: (r["o"], r["v"]) for r in merge_table.read(spark, path, "k", "o").collect()}
+        assert got == {k: (o[0], f"x{o[0]}") for k, (o, v) in want.items() if v is not None}
+
+
+def test_merge_table_survives_failures_and_readers(spark, folder):
+    path = f"{folder}/t"
+    rows = spark.createDataFrame([(i, 1, "a") for i in range(200)], "k int, o int, v string")
+    merge_table.upsert(rows, path, "k", "o", 0, buckets=4)
+    merge_table.compact(spark, path, "k", "o")
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+    merge_table.upsert(rows.limit(1).withColumns({"o": F.lit(2), "v": F.lit("b")}), path, "k", "o", 1)
+    grown = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names) - size
+    assert grown < size / 2  # a batch writes its own rows, not the table
+    # What a failed write leaves behind is in no manifest.
+    rows.withColumns({"v": F.lit("lost"), "_deleted": F.lit(False)}).write.parquet(f"{path}/delta/left-over")
+    old = merge_table.manifest(spark, path)
+    reader = merge_table.read(spark, path, "k", "o")
+    before = sorted(map(tuple, reader.collect()))
+    merge_table.compact(spark, path, "k", "o")
+    assert sorted(map(tuple, reader.collect())) == before  # a reader keeps its version
+    assert sorted(map(tuple, merge_table.read(spark, path, "k", "o").collect())) == before
+    assert sorted(map(tuple, merge_table.read(spark, path, "k", "o", old["version"]).collect())) == before
+    with pytest.raises(RuntimeError):
+        merge_table._commit(spark, path, old)
+    assert "delta/left-over" in merge_table.vacuum(spark, path)
+    assert sorted(map(tuple, merge_table.read(spark, path, "k", "o").collect())) == before
+    assert merge_table.vacuum(spark, path) == []
 
 
 def test_hierarchy_adds_up_to_the_top(spark):
