@@ -16,7 +16,7 @@ from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
 from lumenlog.plans.text_queries import CHUNKS
 from lumenlog.session import scratch_path
 from lumenlog.sources import io, merge_table
-from lumenlog.streaming import etl, jobs
+from lumenlog.streaming import alerts, etl, jobs
 
 
 def event_stream(c):
@@ -132,6 +132,44 @@ def _(c):
     return jobs.fired(jobs.windowed_rates(log_columns(c.events), "ts", "10 minutes", "1 minute"), "errors", 5)
 
 
+# Two seconds apart, so that windows hold enough rows for the rules to fire at any size of the table.
+ALERT_ROWS = """SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + event_id * INTERVAL '2' SECOND AS ts, CASE WHEN event_type = 'click' AND value > 40 THEN 503 ELSE 200 END AS status,
+    CASE WHEN event_type = 'click' THEN value / 30 END AS latency_s, event_type = 'purchase' AND value > 120 AS denied, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity,
+    'f-' || CAST(user_id % 9 AS STRING) AS fingerprint FROM events"""
+
+
+def _alert_windows(minutes: int, what: str, where: str = "true", by: str = "") -> str:
+    return f"""SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, date_trunc('minute', ts) + ({minutes} - k) * INTERVAL 1 MINUTE AS window_end, {what}
+        FROM alert_rows, (SELECT unnest(range({minutes})) AS k) WHERE {where} GROUP BY 1, 2{by}"""
+
+
+@query(
+    "alert_rules_stream",
+    f"""WITH alert_rows AS ({ALERT_ROWS.replace("AS STRING", "AS VARCHAR")})
+        SELECT '5xx Rate Alert' AS rule, window_start, window_end, CAST(n AS DOUBLE) AS value, n > 10 AS fired FROM ({_alert_windows(5, "count(*) FILTER (WHERE status >= 500) AS n")})
+        UNION ALL SELECT 'Latency P95 Alert', window_start, window_end, slow / n, p95 > 5 FROM ({_alert_windows(60, "count(*) FILTER (WHERE latency_s > 5) AS slow, count(*) AS n, quantile_disc(latency_s, 0.95) AS p95", "latency_s IS NOT NULL")})
+        UNION ALL SELECT 'Error Cluster Growth', window_start, window_end, CAST(count(*) AS DOUBLE), true FROM ({_alert_windows(10, "fingerprint, count(*) AS n", "severity = 'ERROR'", ", fingerprint")}) WHERE n > 5 GROUP BY 1, 2, 3
+        UNION ALL SELECT 'Audit Anomalies', window_start, window_end, CAST(n AS DOUBLE), n > 5 FROM ({_alert_windows(60, "count(*) FILTER (WHERE denied) AS n")})""",
+)
+def _(c):
+    """The rules over a stream that is stopped and goes on, with late rows; a heartbeat at the end closes the last windows."""
+    source, checkpoint = two_paths(c, "alert-rows")
+    out = scratch_path(c.spark, "alert-windows")
+    rows = c.sql(ALERT_ROWS).withColumn("ts", F.col("ts").cast("timestamp"))
+    # Every fiftieth row comes up to ten minutes late; the watermark waits for a quarter of an hour.
+    half = rows.agg(F.max("event_id")).first()[0] / 2
+    late = F.when(F.col("event_id") % 50 == 7, 300).otherwise(0)
+    parts = [rows.filter(F.col("event_id") + late < half), rows.filter(F.col("event_id") + late >= half)]
+    parts[1] = parts[1].unionByName(rows.limit(1).withColumn("ts", F.lit("2100-01-01").cast("timestamp")))
+    for k, part in enumerate(parts):
+        part.drop("event_id").write.parquet(f"{source}/part={k}")
+        alerts.run_rules({rule.measure: jobs.stream_files(c.spark, f"{source}/part=*", rows.drop("event_id").schema) for rule in alerts.RULES}, out, checkpoint)
+    return c.spark.read.schema(ALERT_WINDOWS).parquet(f"{out}/*/*")
+
+
+ALERT_WINDOWS = "rule string, window_start timestamp, window_end timestamp, value double, fired boolean"
+
+
 @query("dual_write", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text, count(*) AS logged FROM conversations GROUP BY 1")
 def _(c):
     state, checkpoint = two_paths(c, "state")
