@@ -16,7 +16,7 @@ from lumenlog.plans.shapes import SINK_KINDS, documents, raw_sinks
 from lumenlog.plans.text_queries import CHUNKS
 from lumenlog.session import scratch_path
 from lumenlog.sources import io, merge_table
-from lumenlog.streaming import alerts, etl, jobs
+from lumenlog.streaming import alerts, etl, jobs, retries
 
 
 def event_stream(c):
@@ -216,6 +216,49 @@ def _(c):
     return jobs.redrive(jobs.split_retries(c.etl_jobs)[1], to_priority=True).select("job_id", "retry_count", "priority", "status")
 
 
+# Attempts of a job in the order of its user's events; clicks and purchases go well.
+OUTCOMES = "SELECT 'job-' || CAST(user_id AS STRING) AS job_id, event_type IN ('click', 'purchase') AS ok, event_type || ' ' || CAST(event_id AS STRING) AS error, user_id % 2 = 0 AS priority, ts AS tried_at FROM events"
+# Failures are counted from the last success on, and every third one in a row uses up the tries.
+TRIED = f"""WITH o AS ({OUTCOMES.replace("AS STRING", "AS VARCHAR")}), i AS (SELECT *, count(*) FILTER (WHERE ok) OVER p AS island, row_number() OVER (PARTITION BY job_id ORDER BY tried_at DESC, ok DESC, error DESC) AS back FROM o WINDOW p AS (PARTITION BY job_id ORDER BY tried_at, ok, error ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY job_id, island ORDER BY tried_at, ok, error ROWS UNBOUNDED PRECEDING) AS n FROM i)"""
+
+
+def followed(c, label: str) -> tuple[str, str]:
+    """(queue, dead letters) after following the outcomes; a tick far ahead ends all delays."""
+    source, checkpoint = two_paths(c, label)
+    queue, dead = two_paths(c, f"{label}-out")
+    rows = c.sql(OUTCOMES).withColumn("at", F.col("tried_at").cast("timestamp")).drop("tried_at")
+    null = [F.lit(None).cast(t).alias(n) for n, t in rows.dtypes if n != "at"]
+    rows.write.parquet(f"{source}/part=0")
+    schema = rows.schema
+    retries.run_retries(jobs.stream_files(c.spark, f"{source}/part=*", schema), queue, dead, checkpoint)
+    rows.limit(1).select(*null, F.lit("2100-01-01").cast("timestamp").alias("at")).select(*rows.columns).write.parquet(f"{source}/part=1")
+    retries.run_retries(jobs.stream_files(c.spark, f"{source}/part=*", schema), queue, dead, checkpoint)
+    return queue, dead
+
+
+@query(
+    "retry_queue",
+    f"""{TRIED} SELECT job_id, CAST(n % 3 AS INTEGER) AS retry_count, priority, epoch_us(tried_at) // 1000 + 60000 * CASE n % 3 WHEN 1 THEN 1 ELSE 2 END AS due FROM t WHERE back = 1 AND NOT ok AND n % 3 <> 0""",
+)
+def _(c):
+    queue, _dead = followed(c, "retry")
+    return c.spark.read.parquet(queue).select("job_id", "retry_count", "priority", F.unix_millis("due").alias("due"))
+
+
+@query(
+    "redrive_letters",
+    f"""{TRIED}, d AS (SELECT job_id, max(epoch_us(tried_at) // 1000) AS died FROM t WHERE NOT ok AND n % 3 = 0 GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY died, job_id) AS r FROM d)
+        SELECT job_id, CASE WHEN r <= 20 THEN 'queued' ELSE 'dead' END AS place, CAST(CASE WHEN r <= 20 THEN 0 ELSE 3 END AS INTEGER) AS tries FROM k""",
+)
+def _(c):
+    queue, dead = followed(c, "redrive")
+    for _again in range(2):
+        retries.redrive(c.spark, dead, queue, 0, to_priority=True, limit=20)
+    queued = c.spark.read.parquet(f"{queue}/source=redrive").select("job_id", F.lit("queued").alias("place"), F.col("retry_count").alias("tries"))
+    return queued.unionByName(retries.dead_letters(c.spark, dead).select("job_id", F.lit("dead").alias("place"), "tries"))
+
+
 PENDING = "status IN ('RUNNING', 'QUEUED', 'PARTIAL')"
 
 
