@@ -6,43 +6,67 @@ stage returns the packing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.llm import exact_dedup, langid, mixing, ngram_join, packing
 from lumenlog.llm.shipping import ship_code
-from lumenlog.session import materialize
+from lumenlog.session import collected_scratch, materialize, remove_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents get the language their text is in; texts without a letter go."""
-    ship_code(spark)
+#: Scratch folders of the stage before, by application.
+_scratch: dict[str, list[str]] = {}
+
+
+def stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
+    """A stage that runs ``work``. By contract its documents have been written, so what the stage before it kept on the way is removed
+    first; where they still read from such a folder, it stays."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        app = spark.sparkContext.applicationId
+        left = remove_scratch(spark, _scratch.pop(app, []), docs)
+        with collected_scratch() as made:
+            out = work(docs)
+        _scratch[app] = left + made
+        return out
+
+    return run
+
+
+@stage
+def languages(docs: DataFrame) -> DataFrame:
+    """Documents get the language their text is in; texts that are null or without a letter go. Repeated rows are judged alike."""
     return langid.keep_identified(docs)
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
+@stage
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """Of equal texts one row with the smallest id stays, null ids last; a null text equals an empty one."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document with the smallest id stays."""
-    ship_code(spark)
+@stage
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles, one row with the smallest id stays, null ids last."""
     return ngram_join.drop_similar(docs, n=5, percent=80)
 
 
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights; a document that is taken several times has as many rows."""
-    ship_code(spark)
+@stage
+def source_mix(docs: DataFrame) -> DataFrame:
+    """Sources in their target weights; a document that is taken several times has as many rows. A null source is one of its own, and
+    texts without words are not taken."""
     return mixing.mixed_documents(docs)
 
 
-def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of all documents."""
-    ship_code(spark)
+@stage
+def sequences(docs: DataFrame) -> DataFrame:
+    """The packing of all documents, repeated rows each for itself; a null text is empty."""
     return packing.pack(docs)
 
 
@@ -61,6 +85,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, run_stage in STAGES[:-1]:
+        docs = materialize(run_stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_collecting: ContextVar[list[str] | None] = ContextVar("_collecting", default=None)
+
 
 def build_session(app_name: str = "lumenlog", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings every job here relies on; cluster settings win where they are given."""
@@ -44,7 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lumenlog/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumenlog/{label}-{uuid.uuid4().hex}"
+    if (made := _collecting.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def collected_scratch() -> Iterator[list[str]]:
+    """The scratch paths handed out in the block, for a job that removes them once its result is stored elsewhere."""
+    made: list[str] = []
+    token = _collecting.set(made)
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
+def remove_scratch(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
+    """Delete scratch folders, except those that ``keep`` still reads; returns these."""
+    read = keep.inputFiles() if paths else []
+    left = []
+    for path in paths:
+        if any(f"/{path.rpartition('/')[2]}/" in file for file in read):
+            left.append(path)
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return left
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
