@@ -170,6 +170,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     kinds = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = materialize(docs.mapInArrow(_pieces(length, end_id, tokenizer, ranks), kinds), "pack-pieces")
     groups = -(-pieces.count() // GROUP_PIECES)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(max(1, groups))).cast("int"))
+    # Dealt by the place of the row in the table just written, so that no number of equal rows gathers in one group.
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, groups))).cast("int"))
     packed = dealt.groupBy("grp").applyInArrow(_pack(length), kinds + ", sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)
