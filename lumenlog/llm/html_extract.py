@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+# Up to the end of a tag: past quoted values if all are closed, or simply to the next bracket.
+QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -25,7 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
 )
-REMOVED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe label menu nav object select svg template video math".split())
+REMOVED = frozenset("aside audio button canvas datalist dialog embed footer head iframe label menu nav object select svg template video math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 # What an element that starts closes, up to the nearest of the second group.
@@ -42,6 +44,10 @@ SIDE = frozenset(
 MAIN = frozenset("article body content entry main page post story text".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 
+CONTROLS = frozenset("button input select textarea".split())
+#: Characters for each control, and one time more, from which a form is rather prose with some controls.
+CONTROL_CHARS = 200
+
 LEAST_LENGTH = 25
 SIBLING_SHARE = 0.2
 LINKED = 0.5
@@ -50,12 +56,13 @@ LINKED = 0.5
 class Node:
     """An element that is not inline; ``parts`` holds texts and elements in order."""
 
-    __slots__ = ("tag", "parent", "parts", "points", "side", "chars", "linked", "mains")
+    __slots__ = ("tag", "parent", "parts", "points", "side", "chars", "linked", "controls", "inside", "near", "far")
 
     def __init__(self, tag: str, parent: Node | None, side: bool = False):
         self.tag, self.parent, self.side = tag, parent, side
         self.parts: list = []
-        self.points, self.chars, self.linked, self.mains = 0.0, 0, 0, 0
+        self.points, self.chars, self.linked, self.controls, self.inside = 0.0, 0, 0, 0, False
+        self.near, self.far = 0.0, 0.0
 
 
 def _is_side(tag: str, attributes: str) -> bool:
@@ -73,63 +80,105 @@ def _is_side(tag: str, attributes: str) -> bool:
     return bool(names & SIDE) and (not names & MAIN or bool(names & COMMENTS))
 
 
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, whether it ends an element, name, attributes, where the tag ends), the name empty at the end of the page and for
+    comments and the like; send a position to go on from there.
+
+    Each character is looked at a bounded number of times, however broken the markup: what comes after the last bracket is text, and
+    once a quote was found open to the end of the page, quotes in tags are no more than characters.
+    """
+    at = begin = 0
+    last, quotes = page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            yield page[begin:], False, "", "", len(page)
+            return
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end, name, attributes, ends = (stop + 3 if stop >= 0 else len(page)), "", "", False
+        elif at > last:
+            at += 1
+            continue
+        elif page.startswith(("<!", "<?"), at):
+            end, name, attributes, ends = page.index(">", at) + 1, "", "", False
+        else:
+            ends = page.startswith("/", at + 1)
+            m = NAME.match(page, at + 1 + ends)
+            if not m:
+                at += 1
+                continue
+            name, tail = m[0], QUOTED.match(page, m.end()) if quotes else None
+            quotes = quotes and tail is not None
+            end = tail.end() if tail else page.index(">", m.end()) + 1
+            attributes = page[m.end() : end - 1]
+        moved = yield page[begin:at], ends, name.lower(), attributes, end
+        at = begin = end if moved is None else moved
+
+
 def parse(page: str) -> Node:
     """The tree of a page. End tags without a start are passed over; what is left open ends with the element around it."""
     root = node = Node("#root", None)
-    links, at = 0, 0
-    while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    links = 0
+    opened: dict[str, int] = {}
+    last = page.rfind(">") + 1
+    tokens = _tokens(page)
+    token = next(tokens, None)
+
+    def close(up: Node) -> Node:
+        """End all elements from the open one up to ``up``; the one around it is open then."""
+        n = node
+        while True:
+            opened[n.tag] -= 1
+            if n is up:
+                return n.parent
+            n = n.parent
+
+    while token is not None:
+        text, end, tag, attributes, at = token
+        moved = None
         if text:
-            text = html.unescape(text)
-            node.parts.append((text, links > 0))
-        if not m:
-            return root
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            node.parts.append((html.unescape(text), links > 0))
         if not tag:
-            continue
-        tag = tag.lower()
-        if end:
+            pass
+        elif end:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "p" or tag not in INLINE:
+            elif (tag == "p" or tag not in INLINE) and opened.get(tag):
                 up = node
-                while up is not root and up.tag != tag:
+                while up.tag != tag:
                     up = up.parent
-                if up is not root:
-                    node, links = up.parent, 0
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
-            continue
-        if tag in VOID:
+                node, links = close(up), 0
+        elif tag in RAW:
+            node.controls += tag in CONTROLS
+            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, max(at, last))
+            moved = stop.end() if stop else len(page)
+        elif tag in VOID:
+            node.controls += tag in CONTROLS and not re.search(r"type\s*=\s*[\"']?hidden", attributes, re.I)
             if tag in ("br", "hr"):
                 node.parts.append((" ", False))
-            continue
-        if tag == "a":
+        elif tag == "a":
             links += not attributes.rstrip().endswith("/")
-            continue
-        if tag in INLINE:
-            if attributes and _is_side(tag, attributes):
-                tag = "#inline"
-            else:
-                continue
-        links = 0
-        if tag in CLOSES:
-            closed, until = CLOSES[tag]
-            up = node
-            while up is not root and up.tag not in closed and up.tag not in until:
-                up = up.parent
-            if up.tag in closed:
-                node = up.parent
-        if node.tag in ENDS_PARAGRAPH and tag != "#inline":
-            node = node.parent
-        child = Node(tag, node, _is_side(tag, attributes))
-        node.parts.append(child)
-        if not attributes.rstrip().endswith("/"):
-            node = child
+        elif tag not in INLINE or attributes and _is_side(tag, attributes):
+            tag = "#inline" if tag in INLINE else tag
+            links = 0
+            if tag in CLOSES and any(opened.get(c) for c in CLOSES[tag][0]):
+                closed, until = CLOSES[tag]
+                up = node
+                while up.tag not in closed and up.tag not in until:
+                    up = up.parent
+                if up.tag in closed:
+                    node = close(up)
+            if node.tag in ENDS_PARAGRAPH and tag != "#inline":
+                node = close(node)
+            child = Node(tag, node, _is_side(tag, attributes))
+            node.parts.append(child)
+            child.controls = int(tag in CONTROLS)
+            if not attributes.rstrip().endswith("/"):
+                node = child
+                opened[tag] = opened.get(tag, 0) + 1
+        token = tokens.send(moved) if at < len(page) or moved is not None else next(tokens, None)
+    return root
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -174,15 +223,19 @@ def _score(root: Node) -> None:
             continue
         free = max(0, n.chars - n.linked)
         points = (free >= LEAST_LENGTH) + min(free / 100, 3.0) + text.count(",") * (free / n.chars)
-        up, share = (n.parent if n.tag in ENDS_PARAGRAPH or n.tag in ("li", "td", "th", "dd", "dt", "pre", "blockquote") else n), 1.0
-        level = 0
-        while up is not None and up.tag != "#root":
-            up.points += points * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
-            up, level = up.parent, level + 1
+        up = n.parent if n.tag in ENDS_PARAGRAPH or n.tag in ("li", "td", "th", "dd", "dt", "pre", "blockquote") else n
+        if up is not None:
+            up.points += points
+    # All points go to the element around a paragraph, half to the next, a sixth to the third, then half each time: from the leaves
+    # up, an element needs to know its own, its children's (near) and what comes from below them (far).
     for n in reversed(order):
-        if n.parent is not None:
-            n.parent.chars += n.chars
-            n.parent.linked += n.linked
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.linked += n.linked
+            up.near += n.points
+            up.far += n.near / 6 + n.far / 2
+        n.points += n.near / 2 + n.far
 
 
 def _density(n: Node) -> float:
@@ -190,22 +243,40 @@ def _density(n: Node) -> float:
 
 
 def _spare_wrappers(root: Node) -> None:
-    """An element around the page's article is not taken out for its name, nor is the head of an article for its headings."""
-    for n in _every(root):
+    """An element around the page's article is not taken out for its name, nor is the head of an article for its headings.
+
+    A form goes as one unless it holds the article, or most of the page's text, or much text for its controls.
+    """
+    order = list(_every(root))
+    for n in order[1:]:
+        n.inside = n.parent.inside or n.parent.tag in ("article", "main")
         if n.tag in ("article", "main") and not n.side:
             up = n.parent
-            while up is not None:
+            # What is around an article that was met before is spared already.
+            while up is not None and up.tag not in ("article", "main"):
                 if up.tag not in REMOVED:
                     up.side = False
                 up = up.parent
         if n.tag == "header":
-            up = n.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            n.side = True
-            if up is not None:
-                n.side = False
+            n.side = not n.inside
+            if n.inside:
                 n.parts = [p for p in n.parts if isinstance(p, Node) and p.tag in HEADINGS | {"div", "hgroup"}]
+    if not any(n.tag == "form" for n in order):
+        return
+    chars, controls, mains = {}, {}, {}
+    for n in reversed(order):
+        below = [p for p in n.parts if isinstance(p, Node)]
+        own = len(" ".join("".join(p[0] for p in n.parts if isinstance(p, tuple)).split()))
+        chars[n] = own + sum(chars[p] for p in below if not p.side)
+        controls[n] = n.controls + sum(controls[p] for p in below)
+        mains[n] = n.tag in ("article", "main") or any(mains[p] for p in below)
+        if n.tag == "form" and not mains[n] and chars[n] < CONTROL_CHARS * (controls[n] + 1):
+            n.side = True
+    forms = [n for n in order if n.tag == "form" and n.side]
+    everything = chars[root] + sum(chars[n] for n in forms)
+    for n in forms:
+        if 2 * chars[n] > everything:
+            n.side = False
 
 
 def _every(root: Node) -> Iterator[Node]:
