@@ -15,6 +15,7 @@ from lumenlog.contracts import BILLED_JOB_TYPES, SERVICE_NAMES, USD_PER_TIB
 from lumenlog.functions.columns import count_if, extract
 from lumenlog.functions.timewin import day, days_back, month_start, week_start
 from lumenlog.session import materialize
+from lumenlog.sources.io import table_exists
 
 TIB = float(1024**4)
 
@@ -153,14 +154,14 @@ def cost_bucket(cost: str | Column = "cost") -> Column:
 ARCHIVE_KEYS = "billing_account_id service_id service_name sku_id sku_description project_id usage_unit country region".split()
 
 
-def archive_rollup(billing: DataFrame) -> DataFrame:
-    """Monthly cold-storage aggregate of billing lines."""
+def _archive_sums(billing: DataFrame) -> DataFrame:
+    """Monthly sums that can be added up."""
     return billing.groupBy(
         F.year("usage_date").alias("archive_year"), F.month("usage_date").alias("archive_month"), *ARCHIVE_KEYS, cost_bucket().alias("cost_bucket")
     ).agg(
         F.count("*").alias("record_count"),
         F.sum("cost").alias("total_cost"),
-        F.avg("cost").alias("avg_cost"),
+        F.count("cost").alias("cost_count"),
         F.max("cost").alias("max_cost"),
         F.sum("usage_amount").alias("total_usage_amount"),
         F.min("usage_date").alias("period_start"),
@@ -168,15 +169,49 @@ def archive_rollup(billing: DataFrame) -> DataFrame:
     )
 
 
-def archive_incremental(billing: DataFrame, archive: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """Roll up what has grown older than ``days`` and lies outside the days already archived; a second run adds nothing.
+def archive_rollup(billing: DataFrame) -> DataFrame:
+    """Monthly cold-storage aggregate of billing lines."""
+    return _archive_sums(billing).withColumn("cost_count", F.try_divide("total_cost", "cost_count")).withColumnRenamed("cost_count", "avg_cost")
+
 
-    What is archived is, for each month, the days from the first period's start to the last one's end.
+def _archive_run(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger of an archive: what was counted, and by which run."""
+    return spark.read.schema("billing_account_id string, usage_date date, batch_id string, run int").parquet(f"{path}/ledger") if table_exists(spark, f"{path}/ledger") else None
+
+
+def archive_incremental(billing: DataFrame, path: str, run: int, as_of: str, days: int = 180, batch: str = "batch_id") -> None:
+    """Archive what has grown older than ``days`` and was not counted yet, as run number ``run`` of the archive at ``path``.
+
+    Lines are counted by (account, day, batch of the export): a batch that comes late for a day that is archived already is added to
+    its month, and nothing is counted twice. A run writes its sums, then its ledger; sums without a ledger do not count, so a run that
+    failed is done again under its number. A run that is in the ledger is passed over.
     """
-    old = billing.filter(F.col("usage_date") < F.date_sub(day(as_of), days))
-    done = archive.groupBy("archive_year", "archive_month").agg(F.min("period_start").alias("_from"), F.max("period_end").alias("_to"))
-    same_month = (F.year(old["usage_date"]) == done["archive_year"]) & (F.month(old["usage_date"]) == done["archive_month"])
-    return archive_rollup(old.join(done, same_month & old["usage_date"].between(done["_from"], done["_to"]), "left_anti"))
+    spark = billing.sparkSession
+    ledger = _archive_run(spark, path)
+    old = billing.filter(F.col("usage_date") < F.date_sub(day(as_of), days)).withColumn("_batch", F.col(batch).cast("string"))
+    if ledger is not None:
+        if not ledger.filter(F.col("run") == run).isEmpty():
+            return
+        same = [old[c].eqNullSafe(ledger[d]) for c, d in (("billing_account_id", "billing_account_id"), ("usage_date", "usage_date"), ("_batch", "batch_id"))]
+        old = old.join(ledger, same[0] & same[1] & same[2], "left_anti")
+    _archive_sums(old).write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    counted = old.select("billing_account_id", "usage_date", F.col("_batch").alias("batch_id")).distinct()
+    counted.write.mode("overwrite").parquet(f"{path}/ledger/run={run}")
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """The archive: the sums of all runs that the ledger holds, merged by month and keys."""
+    runs = _archive_run(spark, path).select("run").distinct()  # one row for each run
+    rows = spark.read.parquet(f"{path}/rows").join(F.broadcast(runs), "run", "left_semi")
+    return rows.groupBy("archive_year", "archive_month", *ARCHIVE_KEYS, "cost_bucket").agg(
+        F.sum("record_count").alias("record_count"),
+        F.sum("total_cost").alias("total_cost"),
+        F.try_divide(F.sum("total_cost"), F.sum("cost_count")).alias("avg_cost"),
+        F.max("max_cost").alias("max_cost"),
+        F.sum("total_usage_amount").alias("total_usage_amount"),
+        F.min("period_start").alias("period_start"),
+        F.max("period_end").alias("period_end"),
+    )
 
 
 def archive_workforce(attribution: DataFrame, archive: DataFrame, as_of: str, days: int = 180) -> DataFrame:

@@ -5,8 +5,6 @@ Search is filter, score, top-k: filters run before scoring, scoring is batched,
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,33 +90,6 @@ def dbsf(legs: list[DataFrame], limit: int) -> DataFrame:
     return out.groupBy(ID).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), ID).limit(limit)
 
 
-def sparse_search(docs: DataFrame, id_column: str, text: str, words: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 leg over a text column for a few query words: ranked (id, score).
-
-    Word counts per document are computed in place; the corpus statistics are one aggregate row per word.
-    """
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\w]+"), lambda w: w != "")
-
-    def occurrences(word: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == F.lit(word)))
-
-    counted = docs.select(F.col(id_column).cast("bigint").alias(ID), tokens.alias("t")).select(
-        ID, F.size("t").alias("len"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    )
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(words))], F.lit(0)) > 0
-    stats = counted.agg(
-        F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]
-    ).first()  # one row
-    rows = counted.filter(hit)
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, n, df = F.col(f"tf{i}"), stats["n"], stats[f"df{i}"]
-        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
-        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
-    best = rows.select(ID, score.alias("score")).orderBy(F.desc("score"), ID).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), ID)))  # at most k rows
-
-
 def hybrid_search(df: DataFrame, query: list[float], sparse: DataFrame, limit: int, prefetch: int | None = None, fusion: str = "rrf") -> DataFrame:
     """Dense and sparse legs, each fetched ten deeper than asked, fused."""
     depth = prefetch or limit + 10

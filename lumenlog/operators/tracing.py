@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.columns import col, count_if, literal_like
+from lumenlog.functions.ordered import running_sum, with_position
 from lumenlog.functions.stats import quantile
 from lumenlog.functions.timewin import shift
+from lumenlog.session import materialize
 
 TRACE_COLUMNS = {
     "trace_id": "string",
@@ -97,26 +99,31 @@ def system_summary(traces: DataFrame) -> DataFrame:
 def related_logs(anchors: DataFrame, logs: DataFrame, minutes: int = 30, limit: int = 50) -> DataFrame:
     """Rows of the anchor's service within ± ``minutes`` of it, the first ``limit`` per anchor.
 
-    An interval join as an equi-join: an anchor is copied to the few time buckets its interval touches and meets only the
-    rows of its service in those buckets. Tasks keep ``limit`` rows per anchor before anything is shuffled on the anchor.
+    Rows are numbered by time inside their service, and the anchors' starts are sorted in among them, which tells each anchor the
+    number of its first row. From there it needs ``limit`` numbers, so it meets the rows of two blocks of numbers at most: the work
+    follows the result, however many rows and anchors a service has. One sort of narrow rows; a service may span many tasks.
     """
-    width = minutes * 60
-    a = anchors.select(
-        F.col("log_id").alias("anchor_id"), F.col("service_name").alias("service_name"), F.col("event_timestamp").cast("timestamp").alias("anchor_ts")
-    )
-    seconds = F.unix_timestamp("anchor_ts")
-    first, last = F.floor((seconds - width) / width), F.floor((seconds + width) / width)
-    a = a.withColumn("bucket", F.explode(F.sequence(first, last)))
-    rows = logs.withColumn("bucket", F.floor(F.unix_timestamp(F.col("event_timestamp").cast("timestamp")) / width))
-    hit = rows.join(a, ["service_name", "bucket"])
     span = F.make_dt_interval(mins=F.lit(minutes))
     ts = F.col("event_timestamp").cast("timestamp")
-    hit = hit.filter(ts.between(F.col("anchor_ts") - span, F.col("anchor_ts") + span))
-    first_rows = Window.partitionBy("anchor_id").orderBy("event_timestamp", "log_id")
-    kept = hit.withColumn("rn", F.row_number().over(first_rows)).filter(F.col("rn") <= limit)
-    return kept.select(
-        "anchor_id", "log_id", "event_timestamp", "severity", "service_name", F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("message"),
-        "trace_id", (ts == F.col("anchor_ts")).alias("is_error"), "rn",
+    rows = logs.filter("service_name IS NOT NULL AND event_timestamp IS NOT NULL").select(
+        "service_name", ts.alias("_at"), F.lit(1).alias("_row"), F.col("log_id"), "event_timestamp", "severity",
+        F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("message"), "trace_id", F.lit(None).cast("timestamp").alias("anchor_ts"),
+    )
+    starts = anchors.filter("service_name IS NOT NULL AND event_timestamp IS NOT NULL").select(
+        "service_name", (ts - span).alias("_at"), F.lit(0).alias("_row"), F.col("log_id").cast(logs.schema["log_id"].dataType).alias("log_id"), ts.alias("anchor_ts")
+    )
+    placed = with_position(rows.unionByName(starts, allowMissingColumns=True), [F.col(c) for c in ("service_name", "_at", "_row", "log_id")], "_place")
+    counted = running_sum(placed, ["service_name"], "_place", "_row", "_upto")
+    counted = materialize(counted.withColumn("_number", F.col("_upto") - F.col("_row")), "related-logs")
+    block = F.floor(F.col("_number") / limit)
+    held = counted.filter("_row = 1").drop("anchor_ts", "_at", "_row", "_place", "_upto").withColumn("_block", block)
+    asked = counted.filter("_row = 0").select(
+        "service_name", F.col("log_id").alias("anchor_id"), "anchor_ts", F.col("_number").alias("_first"), F.explode(F.sequence(block, F.floor((F.col("_number") + limit - 1) / limit))).alias("_block")
+    )
+    inside = F.col("_number").between(F.col("_first"), F.col("_first") + (limit - 1)) & (ts <= F.col("anchor_ts") + span)
+    return held.join(asked, ["service_name", "_block"]).filter(inside).select(
+        "anchor_id", "log_id", "event_timestamp", "severity", "service_name", "message", "trace_id", (ts == F.col("anchor_ts")).alias("is_error"),
+        (F.col("_number") - F.col("_first") + 1).cast("int").alias("rn"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.adapters import ORACLE_VIEWS
 from lumenlog.functions.vectors import usable
+from lumenlog.operators import postings
 from lumenlog.operators import search as s
 from lumenlog.operators import vector_index as v
 from lumenlog.operators.textprep import embed
@@ -133,13 +134,40 @@ def bm25_sql(words: list[str], k: int) -> str:
         SELECT vec_id, {r('sum(1.0 / (2 + rank))', 5)} AS score FROM l GROUP BY 1 ORDER BY sum(1.0 / (2 + rank)) DESC, vec_id LIMIT 10""",
 )
 def _(c):
-    sparse = s.sparse_search(documents(c), "doc_id", "text", ["the", "of", "error"], 20)
+    sparse = keyword_hits(c, c.benchmark.limit(1).select(F.lit(0).alias("query_id"), F.array(*map(F.lit, ["the", "of", "error"])).alias("words")), 20)
     return score5(s.hybrid_search(c.vec, query_vectors(c)[0], sparse, 10))
 
 
+def keyword_hits(c, queries, k: int):
+    """Hits over the documents' postings, which are stored in two batches."""
+    path = scratch_path(c.spark, "postings")
+    late = F.col("doc_id") % 5 == 2
+    postings.add_documents(documents(c).filter(~late), path, "doc_id", "text", "first")
+    postings.add_documents(documents(c).filter(late), path, "doc_id", "text", "second")
+    return postings.search(c.spark, path, queries, k)
+
+
 @query("sparse_search", f"WITH {bm25_sql(['the', 'with', 'http'], 20)} SELECT vec_id, {S} AS score, rank FROM sparse")
 def _(c):
-    return score5(s.sparse_search(documents(c), "doc_id", "text", ["the", "with", "http"], 20))
+    asked = c.benchmark.limit(1).select(F.lit(0).alias("query_id"), F.array(*map(F.lit, ["the", "with", "http"])).alias("words"))
+    return score5(keyword_hits(c, asked, 20).drop("query_id"))
+
+
+SPLIT = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')"
+
+
+@query(
+    "sparse_search_many",
+    f"""WITH d AS (SELECT doc_id AS vec_id, {SPLIT} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM d),
+        p AS (SELECT vec_id, len, term, count(*) AS tf FROM (SELECT vec_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY 1, 2, 3), lx AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+        q AS (SELECT DISTINCT conv_id AS query_id, unnest({SPLIT}) AS term FROM conversations WHERE turn = 0),
+        h AS (SELECT query_id, vec_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM q JOIN lx ON lx.term = q.term JOIN p ON p.term = q.term, st GROUP BY 1, 2),
+        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM h) SELECT query_id, rank, {S} AS score FROM k WHERE rank <= 10""",
+)
+def _(c):
+    """The first turn of every conversation asks. Near copies tie but for the last bits, so only ranks and scores are compared."""
+    asked = c.conversations.filter("turn = 0").select(F.col("conv_id").alias("query_id"), postings.terms("text").alias("words"))
+    return score5(keyword_hits(c, asked, 10)).select("query_id", "rank", "score")
 
 
 @query(

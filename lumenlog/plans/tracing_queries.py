@@ -73,12 +73,13 @@ ANCHORS = """a AS (SELECT log_id AS anchor_id, service_name AS anchor_service, t
 
 @query(
     "related_logs",
-    f"""WITH {ANCHORS}, j AS (SELECT anchor_id, log_id, event_timestamp, severity, service_name, substr(coalesce(message, ''), 1, 200) AS message, trace_id, event_timestamp = anchor_ts AS is_error,
+    """WITH a AS (SELECT log_id AS anchor_id, service_name AS anchor_service, event_timestamp AS anchor_ts FROM logs WHERE severity IN ('ERROR', 'CRITICAL', 'WARNING')),
+        j AS (SELECT anchor_id, log_id, event_timestamp, severity, service_name, substr(coalesce(message, ''), 1, 200) AS message, trace_id, event_timestamp = anchor_ts AS is_error,
         CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY event_timestamp, log_id) AS INTEGER) AS rn FROM logs JOIN a ON service_name = anchor_service
-        AND event_timestamp BETWEEN anchor_ts - INTERVAL 12 HOUR AND anchor_ts + INTERVAL 12 HOUR) SELECT * FROM j WHERE rn <= 50""",
+        AND event_timestamp BETWEEN anchor_ts - INTERVAL 30 MINUTE AND anchor_ts + INTERVAL 30 MINUTE) SELECT * FROM j WHERE rn <= 50""",
 )
 def _(c):
-    return t.related_logs(listing.recent_matching(c.logs, "connection", AS_OF), c.logs, minutes=720)
+    return t.related_logs(c.logs.filter("severity IN ('ERROR', 'CRITICAL', 'WARNING')"), c.logs)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import ordered
 from lumenlog.functions.stats import exact_quantiles
+from lumenlog.operators import postings
 from lumenlog.operators import search as s
 
 SF = "/root/testdata/sf0.001"
@@ -101,10 +102,15 @@ def test_zero_vectors_are_left_out(spark):
     assert [r["vec_id"] for r in s.semantic_search(df, [1.0, 0.0], 5, None).collect()] == [2]
 
 
-def test_sparse_search(spark):
+def test_sparse_search(spark, folder):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     words = ["the", "error"]
-    got = [(r["vec_id"], round(r["score"], 9)) for r in s.sparse_search(docs, "doc_id", "text", words, 15).orderBy("rank").collect()]
+    for batch in (0, 1, 1):
+        postings.add_documents(docs.filter(F.col("doc_id") % 2 == batch), folder, "doc_id", "text", str(batch))
+    asked = spark.createDataFrame([(7, [*words, "the", "nowhere"]), (8, ["nowhere"])], "query_id int, words array<string>")
+    hits = postings.search(spark, folder, asked, 15).collect()
+    assert {r["query_id"] for r in hits} == {7}
+    got = [(r["vec_id"], round(r["score"], 9)) for r in sorted(hits, key=lambda r: r["rank"])]
     texts = {r["doc_id"]: [w for w in re.split(r"[^\w]+", r["text"].lower()) if w] for r in docs.collect()}
     n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
     scores = {}

@@ -408,6 +408,43 @@ def test_merge_table_survives_failures_and_readers(spark, folder):
     assert merge_table.vacuum(spark, path) == []
 
 
+def test_archive_adds_late_lines_once(spark, folder):
+    rows = [("A", 1, 2.0, "b0"), ("A", 20, 4.0, "b0"), ("B", 10, 0.5, "b1"), ("A", 1, 6.0, "b2"), ("A", 1, None, "b2"), ("A", 28, 9.0, "b3")]
+
+    def lines(*batches):
+        kept = [(f"acct-{a}", f"2001-01-{d:02d}", c, b) for a, d, c, b in rows if b in batches]
+        df = spark.createDataFrame(kept, "billing_account_id string, d string, cost double, batch_id string").withColumn("usage_date", F.to_date("d"))
+        others = [k for k in finops.ARCHIVE_KEYS if k != "billing_account_id"]
+        return df.withColumns({**{k: F.lit(k) for k in others}, "usage_amount": F.lit(1.0)})
+
+    def stored():
+        return {(r["billing_account_id"], r["cost_bucket"]): (r["record_count"], r["total_cost"], r["avg_cost"], str(r["period_start"]), str(r["period_end"])) for r in finops.archived(spark, folder).collect()}
+
+    finops.archive_incremental(lines("b0"), folder, 0, "2001-12-01")
+    assert stored() == {("acct-A", "medium"): (2, 6.0, 3.0, "2001-01-01", "2001-01-20")}
+    # A run that failed after its sums and before its ledger.
+    finops.archive_rollup(lines("b1")).write.parquet(f"{folder}/rows/run=1")
+    assert len(stored()) == 1
+    for run in (1, 1, 2):
+        finops.archive_incremental(lines("b0", "b1", "b2"), folder, run, "2001-12-01")
+    late = stored()
+    assert late[("acct-B", "small")] == (1, 0.5, 0.5, "2001-01-10", "2001-01-10") and late[("acct-A", "medium")] == (3, 12.0, 4.0, "2001-01-01", "2001-01-20")
+    finops.archive_incremental(lines("b0", "b1", "b2", "b3"), folder, 3, "2001-12-01")
+    whole = {(r["billing_account_id"], r["cost_bucket"]): (r["record_count"], r["total_cost"], r["avg_cost"], str(r["period_start"]), str(r["period_end"])) for r in finops.archive_rollup(lines("b0", "b1", "b2", "b3")).collect()}
+    assert stored() == whole
+
+
+def test_related_logs_of_many_anchors_in_one_service(spark):
+    base = "timestamp_seconds(1704067200 + CAST(id / 4 AS BIGINT))"
+    logs = spark.range(20_000).selectExpr("lpad(id, 6, '0') AS log_id", f"{base} AS event_timestamp", "'INFO' AS severity", "CASE WHEN id % 9 = 0 THEN 'b' ELSE 'a' END AS service_name", "'m' AS message", "'t' AS trace_id")
+    anchors = logs.filter("CAST(log_id AS INT) % 2 = 0")
+    got = t.related_logs(anchors, logs, minutes=1, limit=20)
+    assert got.groupBy("anchor_id").count().filter("count = 20").count() == 10_000
+    one = {r["rn"]: r["log_id"] for r in got.filter("anchor_id = '010000'").collect()}
+    service = [f"{i:06d}" for i in range(20_000) if i % 9 and 2500 - 60 <= i // 4]
+    assert [one[k] for k in sorted(one)] == service[:20]
+
+
 def test_hierarchy_adds_up_to_the_top(spark):
     from lumenlog.operators import finops
 
