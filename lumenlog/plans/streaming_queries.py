@@ -347,17 +347,27 @@ def _(c):
 KIND_OF = "(VALUES " + ", ".join(f"('{name}', '{kind}')" for name, kind in SINK_KINDS.items()) + ") AS k(sink, kind)"
 
 
+RECENT, OLD = "TIMESTAMP '2024-01-25 00:00:00'", "TIMESTAMP '2024-01-11 00:00:00'"
+
+
 @query(
     "full_and_incremental_load",
-    f"""SELECT 'logs_v1.' || sink AS stream_id, count(*) AS extracted, count(*) AS loaded, 'COMPLETED' AS status
-        FROM raw_flat JOIN {KIND_OF} ON sink_kind = kind GROUP BY 1""",
+    f"""WITH n AS (SELECT sink, count(*) AS n, count(*) FILTER (WHERE ts >= {RECENT}) AS recent, count(*) FILTER (WHERE ts < {OLD}) AS old FROM raw_flat JOIN {KIND_OF} ON sink_kind = kind GROUP BY 1),
+        j AS (SELECT 0 AS run, 'incremental' AS mode, sink, 'COMPLETED' AS status, recent AS extracted, recent AS loaded FROM n
+            UNION ALL SELECT 1, 'stream', sink, 'COMPLETED', n, n - recent FROM n WHERE sink = 'requests'
+            UNION ALL SELECT 2, 'full', sink, 'COMPLETED', n, CASE WHEN sink = 'requests' THEN 0 ELSE n - recent END FROM n
+            UNION ALL SELECT 2, 'full', 'gone', 'FAILED', NULL, NULL UNION ALL SELECT 3, 'cleanup', sink, 'COMPLETED', old, 0 FROM n)
+        SELECT CAST(run AS INTEGER) AS run, mode, 'logs_v1.' || sink AS stream_id, status, extracted, loaded FROM j
+        UNION ALL SELECT CAST(run AS INTEGER), mode, NULL, CASE WHEN run = 2 THEN 'PARTIAL' ELSE 'COMPLETED' END, CAST(sum(extracted) AS BIGINT), CAST(sum(loaded) AS BIGINT) FROM j GROUP BY run, mode""",
 )
 def _(c):
-    target = scratch_path(c.spark, "unified-load")
-    sinks = raw_sinks(c)
-    etl.load(sinks, "logs_v1", target, "full", AS_OF)
-    etl.load(sinks, "logs_v1", target, "incremental", AS_OF, start="2024-01-30 22:00:00")
-    return etl.load_report(sinks, "logs_v1", c.spark.read.parquet(target))
+    """The four modes, one after the other; a sink is missing in the full load."""
+    target, job_table = two_paths(c, "unified-load")
+    sinks = {name: lambda df=df: df for name, df in raw_sinks(c).items()}
+    gone = {"gone": lambda: c.spark.read.parquet(f"{target}/no-such-sink")}
+    for run, (mode, more) in enumerate((("incremental", {}), ("stream", {"only": ["requests"]}), ("full", {}), ("cleanup", {"days": 20}))):
+        etl.run_load(c.spark, sinks | (gone if mode == "full" else {}), "logs_v1", target, job_table, run, "2024-01-31 00:00:00", mode, hours=144, **more)
+    return etl.job_rows(c.spark, job_table).select("run", "mode", "stream_id", "status", "extracted", "loaded")
 
 
 @query("cleanup_after_load", "SELECT stream_id, count(*) AS kept FROM logs WHERE event_timestamp IS NULL OR event_timestamp >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1")

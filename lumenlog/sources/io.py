@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,20 +224,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str) -> None:
+def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None) -> None:
     """Append rows whose id is not stored yet; running it twice changes nothing.
 
     Only the partitions between the first and last day of the batch are read for the check, and the partition without a date,
-    which holds the rows that have no timestamp.
+    which holds the rows that have no timestamp. The observations get ``counts`` of the rows that came and of those that were
+    added, from the one pass that writes.
     """
     spark = df.sparkSession
     batch = loadable(df, batch_id, loaded_at)
+    if extracted is not None:
+        batch = batch.observe(extracted, *counts)
     if table_exists(spark, path):
         # reads the timestamp column only
         span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
         held = F.col("log_date").isNull() if span["first"] is None else F.col("log_date").between(span["first"], span["last"]) | F.col("log_date").isNull()
         batch = batch.join(spark.read.parquet(path).filter(held).select("log_id"), "log_id", "left_anti")
-    write_clustered(batch.dropDuplicates(["log_id"]), path, "log_date", ["severity", "service_name", "resource_type"])
+    batch = batch.dropDuplicates(["log_id"])
+    if loaded is not None:
+        batch = batch.observe(loaded, *counts)
+    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"])
 
 
 def keyed_upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.operators import normalize, textprep
@@ -30,13 +32,79 @@ def load(sinks: dict[str, DataFrame], dataset: str, target: str, batch_id: str,
     io.append_logs(unified, target, batch_id, loaded_at)
 
 
-def load_report(sinks: dict[str, DataFrame], dataset: str, target: DataFrame) -> DataFrame:
-    """Extracted and stored rows of each stream, and whether its load is complete."""
-    extracted = records_of(sinks, dataset).groupBy("stream_id").agg(F.count_distinct("log_id").alias("extracted"))
-    loaded = target.groupBy("stream_id").agg(F.count("*").alias("loaded"))
-    both = extracted.join(loaded, "stream_id", "left").withColumn("loaded", F.coalesce("loaded", F.lit(0)))
-    status = F.when(F.col("loaded") == 0, "FAILED").when(F.col("loaded") < F.col("extracted"), "PARTIAL").otherwise("COMPLETED")
-    return both.withColumn("status", status)
+JOBS = "job_id string, run int, mode string, stream_id string, status string, extracted bigint, loaded bigint, error string, seq int"
+MODES = ("full", "incremental", "stream", "cleanup")
+
+
+def _record(spark: SparkSession, jobs: str, rows: list[tuple], number: int) -> None:
+    """Job rows of one run: one for each stream and one for the run."""
+    merge_table.upsert(spark.createDataFrame(rows, JOBS), jobs, "job_id", "seq", number, "etl", buckets=8)
+
+
+def job_rows(spark: SparkSession, jobs: str) -> DataFrame:
+    """The latest state of every job."""
+    return merge_table.read(spark, jobs, "job_id", "seq")
+
+
+def _opened(sources: dict[str, Callable[[], DataFrame]], dataset: str, start: str | None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Raw records of the sources that can be read, and what is wrong with the others."""
+    found, broken = {}, {}
+    for name, source in sources.items():
+        try:
+            found[name] = records_of({name: source()}, dataset, start)
+        except (AnalysisException, KeyError) as e:
+            broken[name] = str(e).splitlines()[0][:500]
+    return found, broken
+
+
+def run_load(
+    spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], dataset: str, target: str, jobs: str, run: int, as_of: str,
+    mode: str = "full", hours: float = 24, only: list[str] | None = None, days: int = 30, continue_on_error: bool = True,
+) -> str:
+    """One load of the sinks named in ``sources``, recorded as job rows; returns its status.
+
+    ``full`` takes everything, ``incremental`` the last ``hours``, ``stream`` the sinks named in ``only``; ``cleanup`` counts what is
+    older than ``days`` in the sources and loads nothing. All sinks go through one plan, and rows that came and rows that were added are
+    counted while it writes. A sink that cannot be opened is FAILED and the others are loaded, which makes the run PARTIAL; without
+    ``continue_on_error`` it, or any error of the load itself, makes the run FAILED. ``run`` counts upwards.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    chosen = {n: s for n, s in sources.items() if mode != "stream" or n in (only or [])}
+
+    def row(name: str | None, status: str, extracted=None, loaded=None, error=None, seq: int = 1) -> tuple:
+        stream = None if name is None else f"{dataset}.{name}"
+        return (f"{run}/{stream or 'run'}", run, mode, stream, status, extracted, loaded, error, seq)
+
+    _record(spark, jobs, [row(n, "RUNNING", seq=0) for n in [*chosen, None]], 2 * run)
+    ago = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days if mode == "cleanup" else 0), F.lit(hours if mode == "incremental" else 0).cast("int"))
+    start = str(spark.range(1).select(ago.cast("string")).first()[0])
+    found, broken = _opened(chosen, dataset, start if mode == "incremental" else None)
+    rows = [row(n, "FAILED", error=e) for n, e in broken.items()]
+    if broken and not continue_on_error:
+        _record(spark, jobs, rows + [row(n, "FAILED", error="not tried") for n in found] + [row(None, "FAILED", error=next(iter(broken.values())))], 2 * run + 1)
+        return "FAILED"
+    extracted, loaded = Observation(), Observation()
+    counts = [F.count_if(F.col("stream_id") == f"{dataset}.{n}").alias(n) for n in found]
+    try:
+        if found:
+            records = reduce(DataFrame.unionByName, found.values())
+            if mode == "cleanup":
+                old = records.filter(F.col("event_timestamp") < F.lit(start).cast("timestamp")).agg(*counts).first().asDict()
+                came, added = old, {n: 0 for n in found}
+            else:
+                unified = normalize.classify_or_other(normalize.normalize_logs(records))
+                io.append_logs(unified, target, f"run-{run}", as_of, extracted, loaded, counts)
+                came, added = extracted.get, loaded.get
+            rows += [row(n, "COMPLETED", came[n], added[n]) for n in found]
+        status = "PARTIAL" if broken else "COMPLETED"
+    except Exception as e:
+        failed = [row(n, "FAILED", error=str(e)[:500]) for n in found]
+        _record(spark, jobs, rows + failed + [row(None, "FAILED", error=str(e)[:500])], 2 * run + 1)
+        raise
+    total = [sum(r[k] or 0 for r in rows) for k in (5, 6)]
+    _record(spark, jobs, rows + [row(None, status, *total, error=next(iter(broken.values()), None))], 2 * run + 1)
+    return status
 
 
 def embed_documents(

@@ -408,6 +408,31 @@ def test_merge_table_survives_failures_and_readers(spark, folder):
     assert merge_table.vacuum(spark, path) == []
 
 
+def test_load_records_failures(spark, folder):
+    from lumenlog.streaming import etl
+
+    def sink(n):
+        return lambda: spark.createDataFrame([(f"i{k}", f"2024-01-0{k + 1} 00:00:00", f"text {k}") for k in range(n)], "insertId string, t string, textPayload string").withColumn("timestamp", F.to_timestamp("t")).drop("t")
+
+    sinks = {"a": sink(3), "b": sink(2), "gone": lambda: spark.read.parquet(f"{folder}/nothing"), "odd": lambda: spark.createDataFrame([(1,)], "x int")}
+    assert etl.run_load(spark, sinks, "d", f"{folder}/t", f"{folder}/jobs", 0, "2024-02-01 00:00:00", continue_on_error=False) == "FAILED"
+    assert not io.table_exists(spark, f"{folder}/t")
+    for run, added in ((1, {"a": 3, "b": 2}), (2, {"a": 0, "b": 0})):
+        assert etl.run_load(spark, sinks, "d", f"{folder}/t", f"{folder}/jobs", run, "2024-02-01 00:00:00") == "PARTIAL"
+        rows = {r["stream_id"]: r for r in etl.job_rows(spark, f"{folder}/jobs").filter(f"run = {run}").collect()}
+        assert {k: rows[f"d.{k}"]["loaded"] for k in "ab"} == added and rows["d.a"]["extracted"] == 3
+        assert rows["d.gone"]["status"] == rows["d.odd"]["status"] == "FAILED" and rows["d.gone"]["error"] and rows[None]["extracted"] == 5
+    assert {r["status"] for r in etl.job_rows(spark, f"{folder}/jobs").filter("run = 0").collect()} == {"FAILED"}
+    # What stops the write is recorded and raised; the run stays neither running nor complete.
+    with open(f"{folder}/file", "w") as f:
+        f.write("no table")
+    with pytest.raises(Exception):
+        etl.run_load(spark, {"a": sink(1)}, "d", f"{folder}/file", f"{folder}/jobs", 3, "2024-02-01 00:00:00")
+    assert {r["status"] for r in etl.job_rows(spark, f"{folder}/jobs").filter("run = 3").collect()} == {"FAILED"}
+    with pytest.raises(ValueError):
+        etl.run_load(spark, sinks, "d", f"{folder}/t", f"{folder}/jobs", 4, "2024-02-01 00:00:00", "sometimes")
+
+
 def test_archive_adds_late_lines_once(spark, folder):
     rows = [("A", 1, 2.0, "b0"), ("A", 20, 4.0, "b0"), ("B", 10, 0.5, "b1"), ("A", 1, 6.0, "b2"), ("A", 1, None, "b2"), ("A", 28, 9.0, "b3")]
 
