@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import aggregates as a
 from lumenlog.operators import normalize as n
+from lumenlog.operators import summaries
 from lumenlog.plans.oracle_views import log_type_sql, present
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import unified
+from lumenlog.session import scratch_path
 
 ALL = 24 * 31  # hours: the whole data set
 SINCE = "log_date BETWEEN DATE '2023-12-31' AND DATE '2024-01-31' AND event_timestamp >= TIMESTAMP '2023-12-31 00:00:00'"
@@ -113,6 +115,26 @@ def _(c):
     return rounded(a.services_hourly(unified(c), requests_only=True), "avg_latency_ms")
 
 
+DAILY_KEYS = ["service_name", "environment", "severity"]
+
+
+@query(
+    "services_by_day_summaries",
+    f"""SELECT service_name, environment, severity, count(*) AS log_count, {n_if('is_error')} AS error_count, {r('avg(http_latency_ms)')} AS avg_latency_ms, count(DISTINCT http_url) AS urls,
+        quantile_disc(http_latency_ms, 0.5) AS p50_latency_ms, quantile_disc(http_latency_ms, 0.95) AS p95_latency_ms FROM o_normal WHERE log_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY ALL""",
+)
+def _(c):
+    """Three days out of the stored summaries."""
+    path = scratch_path(c.spark, "service-days")
+    counts = {"errors": F.col("is_error").cast("int")}
+    days = summaries.summarise(unified(c), "log_date", DAILY_KEYS, counts, {"url": F.col("http_url")}, {"latency": F.col("http_latency_ms")})
+    summaries.store(days, path, "log_date")
+    rows = summaries.merged(c.spark, path, DAILY_KEYS, "2024-01-10", "2024-01-12")
+    measures = {"log_count": F.col("rows"), "error_count": F.col("errors"), "avg_latency_ms": summaries.mean("latency"), "urls": summaries.estimate("url"),
+                "p50_latency_ms": summaries.quantile("latency", 0.5), "p95_latency_ms": summaries.quantile("latency", 0.95)}
+    return rounded(rows.select(*DAILY_KEYS, *[e.alias(n) for n, e in measures.items()]), "avg_latency_ms")
+
+
 ENDPOINTS = """SELECT service_name, request_url, status, count(*) AS error_count, min(event_timestamp) AS first_seen, max(event_timestamp) AS last_seen
     FROM requests WHERE severity = 'INFO' AND status >= 400 GROUP BY service_name, request_url, status"""
 

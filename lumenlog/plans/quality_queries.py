@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lumenlog.functions.timewin import EVENTS_AS_OF as AS_OF
 from lumenlog.operators import quality as q
 from lumenlog.operators import tracing as t
+from lumenlog.operators import summaries
 from lumenlog.plans.oracle_views import SEVERITY_LIST
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.shapes import canonical, unified
 from lumenlog.plans.tracing_queries import traces
+from lumenlog.session import scratch_path
 
 ALL = 24 * 31
 SINCE = "event_timestamp >= TIMESTAMP '2023-12-31 00:00:00'"
@@ -172,6 +174,24 @@ def _(c):
     return rounded(q.cluster_effectiveness({name: (frames[table], list(keys)) for name, table, *keys in CLUSTERS}), "avg_rows_per_cluster_combo")
 
 
+CLUSTER_KEYS = ["severity", "service_name", "resource_type"]
+
+
+@query(
+    "cluster_effectiveness_by_day",
+    f"SELECT table_cluster_config, total_rows, cluster_key_1_cardinality, cluster_key_2_cardinality, cluster_key_3_cardinality, {r('x')} AS avg_rows_per_cluster_combo FROM ({_cluster_sql('fact_logs', 'logs', *CLUSTER_KEYS)}) AS u",
+)
+def _(c):
+    """Days are summarised in two goes, one day twice; the answer reads the summaries."""
+    path = scratch_path(c.spark, "day-summaries")
+    for days in ("log_date < DATE '2024-01-16'", "log_date >= DATE '2024-01-15'"):
+        rows = c.logs.filter(days)
+        sketches = {**{k: F.col(k) for k in CLUSTER_KEYS}, "combination": summaries.combination(CLUSTER_KEYS)}
+        summaries.store(summaries.summarise(rows, "log_date", [], {}, sketches, {}), path, "log_date")
+    return rounded(summaries.cluster_effectiveness(c.spark, path, "fact_logs", CLUSTER_KEYS), "avg_rows_per_cluster_combo")
+
+
+
 @query(
     "label_compliance",
     """WITH l AS (SELECT json_extract_string(payload, '$.name') AS name, unnest(json_extract_string(payload, '$.labels[*].key')) AS k FROM assets)
