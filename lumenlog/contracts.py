@@ -25,7 +25,7 @@ DEFAULT_LIMIT, DEFAULT_HOURS = 100, 24
 MAX_LIMIT, MAX_HOURS = 1000, 168
 
 # Text caps of the unified log table.
-MESSAGE_CAP, STACK_CAP, ERROR_CAP, SUMMARY_CAP = 10_000, 5_000, 500, 200
+MESSAGE_CAP, SUMMARY_CAP = 10_000, 200
 
 # Log types a vector payload may carry.
 PAYLOAD_LOG_TYPES = ["application", "system", "audit"]

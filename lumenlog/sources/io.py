@@ -21,6 +21,7 @@ from lumenlog.functions.columns import col, contains_any, first_present, literal
 from lumenlog.functions.ids import natural_key
 from lumenlog.functions.timewin import since
 from lumenlog.session import materialize
+from lumenlog.sources import membership
 
 # --- raw sinks --------------------------------------------------------------------------------------------------------
 
@@ -227,19 +228,30 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None) -> None:
     """Append rows whose id is not stored yet; running it twice changes nothing.
 
-    Only the partitions between the first and last day of the batch are read for the check, and the partition without a date,
-    which holds the rows that have no timestamp. The observations get ``counts`` of the rows that came and of those that were
+    An id belongs to one day, as it is a hash of what the row is, its time included. Bitmaps of the stored ids, by day and beside the
+    table, tell which ids of the batch may be stored already. Only these meet the stored ids, of the days between the batch's first
+    and last one and of the partition without a date. The observations get ``counts`` of the rows that came and of those that were
     added, from the one pass that writes.
     """
     spark = df.sparkSession
     batch = loadable(df, batch_id, loaded_at)
+    ids, known = batch.select("log_id", "log_date"), f"{path.rstrip('/')}_ids"
     if extracted is not None:
         batch = batch.observe(extracted, *counts)
     if table_exists(spark, path):
+        stored = spark.read.parquet(path).select("log_id", "log_date")
+        if not table_exists(spark, known):
+            membership.add(stored, known, "log_id", "log_date")
         # reads the timestamp column only
         span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
-        held = F.col("log_date").isNull() if span["first"] is None else F.col("log_date").between(span["first"], span["last"]) | F.col("log_date").isNull()
-        batch = batch.join(spark.read.parquet(path).filter(held).select("log_id"), "log_id", "left_anti")
+
+        def held(day: str) -> Column:
+            return F.col(day).isNull() if span["first"] is None else F.col(day).between(span["first"], span["last"]) | F.col(day).isNull()
+
+        suspects = membership.may_hold(spark, known, ids, "log_id", "log_date", held("day")).select("log_id").distinct()
+        present = materialize(stored.filter(held("log_date")).join(suspects, "log_id", "left_semi").select("log_id").distinct(), "stored-ids")
+        batch, ids = batch.join(present, "log_id", "left_anti"), ids.join(present, "log_id", "left_anti")
+    membership.add(ids, known, "log_id", "log_date")
     batch = batch.dropDuplicates(["log_id"])
     if loaded is not None:
         batch = batch.observe(loaded, *counts)
