@@ -176,6 +176,18 @@ def _(c):
     return rounded(rounded(f.bq_cost_detail(c.billing, c.jobs, "id-0"), "cost_per_tb"), "cost_per_slot_second", digits=6)
 
 
+@query(
+    "bq_cost_detail_by_job",
+    f"""SELECT usage_date, billing.project_id, cost, usage_amount, sku_description, l_orderkey, l_linenumber, job_id, user_name, statement_type, total_bytes_billed, total_slot_ms, cache_hit,
+        {r('CASE WHEN total_bytes_billed > 0 THEN cost / (total_bytes_billed / power(1024, 4)) END')} AS cost_per_tb, {r('CASE WHEN total_slot_ms > 0 THEN cost / (total_slot_ms / 1000) END', 6)} AS cost_per_slot_second
+        FROM billing LEFT JOIN jobs ON billing.project_id = jobs.project_id AND usage_date = CAST(creation_time AS DATE) WHERE service_id = 'id-0' AND usage_date BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'""",
+)
+def _(c):
+    month = F.col("usage_date").between("1995-03-01", "1995-03-31")
+    jobs = c.jobs.filter(F.to_date("creation_time").between("1995-03-01", "1995-03-31"))
+    return rounded(rounded(f.bq_cost_detail(c.billing.filter(month), jobs, "id-0", per_job=True), "cost_per_tb"), "cost_per_slot_second", digits=6)
+
+
 def like(*pairs: tuple[str, str], default: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(sku_description, '{w}') THEN '{v}'" for w, v in pairs) + f" ELSE '{default}' END"
 

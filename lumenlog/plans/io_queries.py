@@ -65,6 +65,20 @@ def _(c):
     return io.derive_streams(c.logs, "logs_v1")
 
 
+@query(
+    "load_staging_array",
+    "SELECT TIMESTAMP '2024-01-30 00:00:00' AS fetched_at, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown' ELSE 'kind' || s_suppkey % 3 END AS asset_type, s_name AS name, s_nationkey AS nation FROM supplier",
+)
+def _(c):
+    """One file with a JSON array for each nation."""
+    path = scratch_path(c.spark, "staging-arrays")
+    kind = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("kind"), F.col("s_suppkey") % 3))
+    objects = c.supplier.select("s_nationkey", F.struct(kind.alias("assetType"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("o"))
+    objects.groupBy("s_nationkey").agg(F.to_json(F.collect_list("o")).alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    rows = io.load_staging_array(c.spark, path, "2024-01-30 00:00:00")
+    return rows.select("fetched_at", "asset_type", F.get_json_object("payload", "$.name").alias("name"), F.get_json_object("payload", "$.nation").cast(c.supplier.schema["s_nationkey"].dataType).alias("nation"))
+
+
 @query(
     "load_staging_json",
     """SELECT TIMESTAMP '2024-01-30 00:00:00' AS fetched_at, coalesce(json_extract_string(payload, '$.assetType'), 'unknown') AS asset_type,

@@ -212,9 +212,19 @@ def _(c):
     return m.catalog_upsert(catalog(c.logs.filter(F.col("log_date") < "2024-01-15")).unionByName(legacy), catalog(c.logs))
 
 
-@query("schema_inventory")
+def _described(table: str) -> str:
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
+    kind = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in kinds.items()) + " END"
+    return f"""SELECT '{table}' AS table_name, column_name, {kind} AS data_type, 'NULLABLE' AS mode, column_name = 'log_date' AS is_partition, column_name IN ('severity', 'service_name') AS is_cluster,
+        (SELECT count(*) FROM {table}) AS row_count FROM (DESCRIBE SELECT * FROM {table}) AS d"""
+
+
+INVENTORIED = ("events", "documents", "customer", "labels")
+
+
+@query("schema_inventory", " UNION ALL ".join(_described(t) for t in INVENTORIED))
 def _(c):
-    return m.schema_inventory({"logs": c.logs, "billing": c.billing, "records": c.records}, partition_by="log_date", cluster_by=("severity", "service_name"), counts=True)
+    return m.schema_inventory({t: getattr(c, t) for t in INVENTORIED}, partition_by="log_date", cluster_by=("severity", "service_name"), counts=True)
 
 
 @query(

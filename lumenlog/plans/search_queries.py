@@ -72,13 +72,29 @@ def all_queries(c):
     return v.as_queries(c.vec, F.col("vec_id") % 100 == 0)
 
 
-def stored_index(c):
+#: What was indexed in this session, by kind and data folder.
+_INDEXED: dict[tuple[str, str, str], str] = {}
+
+
+def indexed(c, kind: str, build) -> str:
+    """The path of an index, which is built when it is first asked for and then serves all queries of the session."""
+    key = (kind, c.spark.sparkContext.applicationId, c.sf_dir)
+    if key not in _INDEXED:
+        path = scratch_path(c.spark, kind)
+        build(path)
+        _INDEXED[key] = path
+    return _INDEXED[key]
+
+
+def stored_index(c) -> str:
     """The vectors in two batches, as an index is built once and then extended."""
-    path = scratch_path(c.spark, "vector-index")
-    late = F.col("vec_id") % 10 == 3
-    v.build_index(c.vec.filter(~late), path, CELLS, 64)
-    v.add_vectors(c.vec.filter(late), path, "second")
-    return path
+
+    def build(path: str) -> None:
+        late = F.col("vec_id") % 10 == 3
+        v.build_index(c.vec.filter(~late), path, CELLS, 64)
+        v.add_vectors(c.vec.filter(late), path, "second")
+
+    return indexed(c, "vector-index", build)
 
 
 @query("batch_search", f"SELECT query_id, vec_id, rank, {S} AS score FROM ({ALL_BATCH}) AS b WHERE rank <= 10")
@@ -140,11 +156,13 @@ def _(c):
 
 def keyword_hits(c, queries, k: int):
     """Hits over the documents' postings, which are stored in two batches."""
-    path = scratch_path(c.spark, "postings")
-    late = F.col("doc_id") % 5 == 2
-    postings.add_documents(documents(c).filter(~late), path, "doc_id", "text", "first")
-    postings.add_documents(documents(c).filter(late), path, "doc_id", "text", "second")
-    return postings.search(c.spark, path, queries, k)
+
+    def build(path: str) -> None:
+        late = F.col("doc_id") % 5 == 2
+        postings.add_documents(documents(c).filter(~late), path, "doc_id", "text", "first")
+        postings.add_documents(documents(c).filter(late), path, "doc_id", "text", "second")
+
+    return postings.search(c.spark, indexed(c, "postings", build), queries, k)
 
 
 @query("sparse_search", f"WITH {bm25_sql(['the', 'with', 'http'], 20)} SELECT vec_id, {S} AS score, rank FROM sparse")

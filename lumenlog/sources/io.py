@@ -225,33 +225,34 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None) -> None:
+def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None, id_bits: int = membership.DAY_BITS) -> None:
     """Append rows whose id is not stored yet; running it twice changes nothing.
 
     An id belongs to one day, as it is a hash of what the row is, its time included. Bitmaps of the stored ids, by day and beside the
     table, tell which ids of the batch may be stored already. Only these meet the stored ids, of the days between the batch's first
     and last one and of the partition without a date. The observations get ``counts`` of the rows that came and of those that were
-    added, from the one pass that writes.
+    added, from the one pass that writes. ``id_bits`` is log2 of the bits of a day's bitmap in a table that has none yet.
     """
-    spark = df.sparkSession
+    spark, known = df.sparkSession, f"{path.rstrip('/')}_ids"
     batch = loadable(df, batch_id, loaded_at)
-    ids, known = batch.select("log_id", "log_date"), f"{path.rstrip('/')}_ids"
+    ids = materialize(batch.select("log_id", "log_date"), "batch-ids")
     if extracted is not None:
         batch = batch.observe(extracted, *counts)
+    log2 = membership.size(spark, known)
     if table_exists(spark, path):
         stored = spark.read.parquet(path).select("log_id", "log_date")
-        if not table_exists(spark, known):
-            membership.add(stored, known, "log_id", "log_date")
-        # reads the timestamp column only
-        span = df.agg(F.to_date(F.min("event_timestamp")).alias("first"), F.to_date(F.max("event_timestamp")).alias("last")).first()
+        if log2 is None:
+            log2 = id_bits
+            membership.add(stored, known, "log_id", "log_date", log2)
+        span = ids.agg(F.min("log_date").alias("first"), F.max("log_date").alias("last")).first()
 
         def held(day: str) -> Column:
             return F.col(day).isNull() if span["first"] is None else F.col(day).between(span["first"], span["last"]) | F.col(day).isNull()
 
-        suspects = membership.may_hold(spark, known, ids, "log_id", "log_date", held("day")).select("log_id").distinct()
+        suspects = membership.may_hold(spark, known, ids, "log_id", "log_date", held("day"), log2).select("log_id")
         present = materialize(stored.filter(held("log_date")).join(suspects, "log_id", "left_semi").select("log_id").distinct(), "stored-ids")
         batch, ids = batch.join(present, "log_id", "left_anti"), ids.join(present, "log_id", "left_anti")
-    membership.add(ids, known, "log_id", "log_date")
+    membership.add(ids, known, "log_id", "log_date", log2 or id_bits)
     batch = batch.dropDuplicates(["log_id"])
     if loaded is not None:
         batch = batch.observe(loaded, *counts)
