@@ -7,7 +7,7 @@ themselves; no digest decides that two texts are equal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.marks import marked, marks, numbered, unmarked, without_ids
@@ -24,7 +24,8 @@ def normalised(text: Column) -> Column:
 
 
 def _members(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """Every row with its group (level and node, no node if it is alone), the group's size and smallest id; ``row`` if it is named."""
+    """Every row with its group (level and node, no node if it is alone), the group's size and smallest id, and its place in its level
+    (none if it is alone); ``row`` if it is named."""
     text = normalised(F.col(text_col))
     own = ["id"] if row_col is None else ["id", "row"]
     named = [F.col(c).alias(name) for c, name in zip((id_col, row_col), own)]
@@ -42,10 +43,11 @@ def _members(df: DataFrame, id_col: str, text_col: str, row_col: str | None = No
         split = near.join(nodes.hint("merge"), ["parent", "head"], "left")
         open_text = F.col("node").isNotNull() & (F.octet_length("rest") > 0)
         split = split.select(*own, "sha", "node", "n", "rep", F.when(open_text, F.col("rest")).alias("rest"))
-        stored = materialize(split, f"radix-{level}")
+        # With its level, the place of a row in what is written here tells it from rows that repeat its id and text.
+        stored = materialize(split.withColumn("place", F.monotonically_increasing_id()), f"radix-{level}")
         alone = unmarked(rows, found, F.col("parent"), head).select(*own, "sha")
-        done.append(alone.select(*own, "sha", F.lit(level).alias("level"), *[F.lit(None).cast("bigint").alias(c) for c in ("node", "n")], F.col("id").alias("rep")))
-        done.append(stored.filter("rest IS NULL").select(*own, "sha", F.lit(level).alias("level"), "node", "n", "rep"))
+        done.append(alone.select(*own, "sha", F.lit(level).alias("level"), *[F.lit(None).cast("bigint").alias(c) for c in ("node", "n", "place")], F.col("id").alias("rep")))
+        done.append(stored.filter("rest IS NULL").select(*own, "sha", F.lit(level).alias("level"), "node", "n", "place", "rep"))
         rows = stored.filter("rest IS NOT NULL").select(*own, "sha", F.col("node").alias("parent"), "rest")
         if rows.isEmpty():
             break
@@ -69,10 +71,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     alone = F.col("node").isNull()
     found = _members(df, id_col, text_col)
-    found = found.select("id", "sha", "level", "node", F.coalesce("n", F.lit(1)).alias("n"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"))
-    first = F.row_number().over(Window.partitionBy("level", "node", "id").orderBy("sha")) == 1
+    found = found.select("id", "sha", "level", "node", "place", F.coalesce("n", F.lit(1)).alias("n"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("rep"))
     may_stay = ~alone & F.col("id").eqNullSafe(F.col("rep"))
-    stays = found.filter(may_stay).withColumn("kept", first)
+    # One of the rows with the kept id, however many there are: combined before the shuffle, then met by a key of its own.
+    first = found.filter(may_stay).groupBy("level", "node").agg(F.min("place").alias("place")).select("level", "place", F.lit(True).alias("first"))
+    stays = found.filter(may_stay).join(first, ["level", "place"], "left").withColumn("kept", F.coalesce("first", F.lit(False)))
+    stays = stays.select(*found.columns, "kept")
     rest = found.filter(~may_stay).withColumn("kept", alone)
     return stays.unionByName(rest).select(
         F.col("id").alias(id_col), F.col("rep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256")

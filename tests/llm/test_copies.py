@@ -169,3 +169,10 @@ def test_stages_keep_every_text(spark):
     plain = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x or "")
     got = exact_dedup.drop_exact_copies(docs).collect()
     assert sorted(plain(r.text) for r in got) == sorted({plain(x) for _, x, _, _ in ROWS})
+
+
+def test_one_row_stays_of_rows_without_an_id(spark):
+    rows = [(None, "same", None, None)] * 500 + [(None, "other words", None, None), (7, "twice", None, None), (7, "twice", None, None)]
+    got = exact_dedup.exact_groups(cases.table(spark, rows)).collect()
+    kept = [r for r in got if r.kept]
+    assert len(got) == 503 and sorted((r.doc_id or 0, r.group_size) for r in kept) == [(0, 1), (0, 500), (7, 2)]
