@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Positions of one network; longer values are permuted part by part.
-PART = 12
+#: Steps of a text that are gathered before they are put away.
+STEPS = 64
+#: Numbers that one hash gives to a round.
+DRAWS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
@@ -25,6 +27,8 @@ SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 #: Kinds in order of precedence where matches begin at the same place.
 KINDS = {"email": EMAIL, "iban": IBAN, "phone": PHONE, "ip": IP, "date": DATE, "ssn": SSN, "card": CARD}
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})(?:[ .-]?\(0\))?|^"
 #: Usual lengths, without separators: phone numbers by country code, cards by issuer, bank accounts by country.
 USUAL = {
     "phone": r"^(?:\+(?:[17]\d{10}|(?:27|31|33|34|41|48|61)\d{9}|(?:30|44|52|90|91)\d{10}|4[57]\d{8})|\d{10})$",
@@ -61,41 +65,36 @@ def feistel(left: Column, right: Column, left_radix, right_radix, tweak: Column,
     return let(F.array(_long(left), _long(right), _long(left_radix), _long(right_radix)), run)
 
 
-def _number(symbols: Column, start: Column, size: Column) -> Column:
-    """Value of struct(radix, digit) symbols as a number, most significant first."""
-    return F.aggregate(F.slice(symbols, start, size), _long(0), lambda n, s: n * s["radix"] + s["digit"])
+def _permuted(symbols: Column, kind: str, key: str) -> Column:
+    """New digits of all symbols, as array<bigint>: a network over two halves of the whole value, however long it is.
 
+    A round adds to each digit of one half, within its radix, a number drawn from a keyed hash of the other half.
+    """
 
-def _radix(symbols: Column, start: Column, size: Column) -> Column:
-    return F.aggregate(F.slice(symbols, start, size), _long(1), lambda n, s: n * s["radix"])
+    def whole(symbols: Column) -> Column:
+        low = F.floor(F.size(symbols) / 2).cast("int")
+        tweak = F.concat_ws("|", F.lit(kind), F.size(symbols).cast("string"))
+        plain = F.transform(symbols, lambda s: s["digit"])
+        start = F.struct(F.slice(plain, 1, low).alias("x"), F.slice(plain, low + 1, F.size(plain) - low).alias("y"))
+        # The radices of the half that a round changes, and those of the other one.
+        radix = F.transform(symbols, lambda s: s["radix"])
+        first, second = F.slice(radix, 1, low), F.slice(radix, low + 1, F.size(radix) - low)
 
+        def run(v: Column) -> Column:
+            def turn(state: Column, i: Column) -> Column:
+                seed = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.array_join(state["y"].cast("array<string>"), ".")), 256)
 
-def _digits(number: Column, symbols: Column, start: Column, size: Column) -> Column:
-    """The inverse of ``_number``."""
-    back = F.aggregate(
-        F.reverse(F.slice(symbols, start, size)),
-        F.array(_long(number)),
-        lambda out, s: F.concat(F.array(F.floor(out[0] / s["radix"]).cast("bigint"), F.pmod(out[0], s["radix"])), F.slice(out, 2, F.size(out))),
-    )
-    return F.slice(back, 2, F.size(back))
+                def changed(blocks: Column) -> Column:
+                    drawn = lambda d, j: d + F.conv(F.substring(F.get(blocks, F.floor(j / DRAWS).cast("int")), j % DRAWS * 8 + 1, 8), 16, 10).cast("bigint")
+                    return F.zip_with(F.transform(state["x"], drawn), F.when(i % 2 == 0, v["first"]).otherwise(v["second"]), F.pmod)
 
+                last = F.floor(F.size(state["x"]) / DRAWS).cast("int")
+                blocks = lambda seed: F.transform(F.sequence(F.lit(0), last), lambda b: F.when(b == 0, seed).otherwise(F.sha2(F.concat_ws("|", seed, b.cast("string")), 256)))
+                return F.struct(state["y"].alias("x"), let(let(seed, blocks), changed).alias("y"))
 
-def _permuted(symbols: Column, kind: str, key: str) -> Column:
-    """New digits of all symbols, in parts of at most ``PART``."""
+            return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), v["start"], turn, lambda s: F.concat(s["x"], s["y"]))
 
-    def whole(symbols: Column) -> Column:
-        def part(at: Column) -> Column:
-            size = F.least(F.lit(PART), F.size(symbols) - at)
-            low = F.floor(size / 2).cast("int")
-            first, second = at + 1, at + 1 + low
-            tweak = F.concat_ws("|", F.lit(kind), F.size(symbols).cast("string"), at.cast("string"))
-            net = feistel(
-                _number(symbols, first, low), _number(symbols, second, size - low), _radix(symbols, first, low), _radix(symbols, second, size - low), tweak, key
-            )
-            return let(net, lambda n: F.concat(_digits(n[0], symbols, first, low), _digits(n[1], symbols, second, size - low)))
-
-        starts = F.sequence(F.lit(0), F.size(symbols) - 1, F.lit(PART))
-        return F.when(F.size(symbols) > 0, F.flatten(F.transform(starts, part))).otherwise(F.array().cast("array<bigint>"))
+        return let(F.struct(start.alias("start"), first.alias("first"), second.alias("second")), run)
 
     return let(symbols, whole)
 
@@ -119,25 +118,24 @@ def _symbols(chars: Column, alphabets: tuple[str, ...]) -> Column:
     return F.filter(F.transform(chars, place), lambda s: s.isNotNull())
 
 
-def _written(chars: Column, digits: Column, alphabets: tuple[str, ...]) -> Column:
-    """The characters with new digits in the places of the old ones; places beyond the last digit keep their character."""
-    letters = "".join(alphabets)
+def _written(text: Column, digits: Column, alphabets: tuple[str, ...]) -> Column:
+    """The text with new digits in the places of the old ones; places beyond the last digit keep their character."""
+    one = "[" + "".join(alphabets) + "]"
 
     def write(v: Column) -> Column:
         def put(c: Column, i: Column) -> Column:
-            mine = F.size(F.filter(F.slice(v["chars"], 1, i + 1), lambda x: F.instr(F.lit(letters), x) > 0))
-
             def symbol(digit: Column) -> Column:
                 out = c
                 for a in alphabets:
                     out = F.when(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), (digit + 1).cast("int"), 1)).otherwise(out)
                 return F.coalesce(out, c)
 
-            return let(F.get(v["digits"], mine - 1), symbol)
+            return let(F.get(v["digits"], i), symbol)
 
-        return F.array_join(F.transform(v["chars"], put), "")
+        between = F.split(v["text"], one, -1)
+        return F.array_join(F.zip_with(between, F.transform(F.regexp_extract_all(v["text"], F.lit(f"({one})"), F.lit(1)), put), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
-    return let(F.struct(chars.alias("chars"), digits.alias("digits")), write)
+    return let(F.struct(text.alias("text"), digits.alias("digits")), write)
 
 
 def _numbers(text: Column) -> Column:
@@ -162,18 +160,20 @@ def _mod97(text: Column) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     alphabets = (DIGITS, LOWER, UPPER)
-    chars = _chars(F.substring_index(m, "@", 1))
-    local = let(chars, lambda c: _written(c, _permuted(_symbols(c, alphabets), "email", key), alphabets))
+    local = let(F.substring_index(m, "@", 1), lambda x: _written(x, _permuted(_symbols(_chars(x), alphabets), "email", key), alphabets))
     return F.concat(local, F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; numbers have 8 to 15 digits with it, or 10 without."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^", 0)
+    """The country code and a bracketed trunk zero stay; numbers have 8 to 15 digits with the code, or 10 without.
+
+    What is permuted is the national number alone, so all spellings of a number stay linked, with or without its country code.
+    """
+    code = F.regexp_extract(m, COUNTRY, 0)
 
     def new(code: Column) -> Column:
-        chars = _chars(m.substr(F.length(code) + 1, F.length(m)))
-        return F.concat(code, let(chars, lambda c: _written(c, _permuted(_symbols(c, (DIGITS,)), "phone", key), (DIGITS,))))
+        rest = m.substr(F.length(code) + 1, F.length(m))
+        return F.concat(code, let(rest, lambda x: _written(x, _permuted(_symbols(_chars(x), (DIGITS,)), "phone", key), (DIGITS,))))
 
     return F.when(F.size(_numbers(m)).between(8, 15), let(code, new))
 
@@ -181,17 +181,17 @@ def _phone(m: Column, key: str) -> Column:
 def _card(m: Column, key: str) -> Column:
     """The check digit follows from the others."""
 
-    def new(chars: Column) -> Column:
-        symbols = _symbols(chars, (DIGITS,))
+    def new(text: Column) -> Column:
+        symbols = _symbols(_chars(text), (DIGITS,))
         body = let(symbols, lambda s: F.slice(s, 1, F.size(s) - 1))
 
         def checked(digits: Column) -> Column:
             check = F.pmod(10 - _luhn(F.transform(digits, lambda d: d.cast("int")), 1) % 10, F.lit(10)).cast("bigint")
-            return _written(chars, F.concat(digits, F.array(check)), (DIGITS,))
+            return _written(text, F.concat(digits, F.array(check)), (DIGITS,))
 
         return let(_permuted(body, "card", key), checked)
 
-    return F.when(_luhn(_numbers(m), 0) % 10 == 0, let(_chars(m), new))
+    return F.when(_luhn(_numbers(m), 0) % 10 == 0, let(m, new))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -203,7 +203,7 @@ def _iban(m: Column, key: str) -> Column:
 
     plain = F.regexp_replace(m, " ", "")
     ok = (_mod97(F.concat(plain.substr(F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
-    account = let(_chars(m.substr(F.lit(5), F.length(m))), lambda c: _written(c, _permuted(_symbols(c, (DIGITS,)), "iban", key), (DIGITS,)))
+    account = let(m.substr(F.lit(5), F.length(m)), lambda x: _written(x, _permuted(_symbols(_chars(x), (DIGITS,)), "iban", key), (DIGITS,)))
     return F.when(ok, let(account, new))
 
 
@@ -301,15 +301,19 @@ def _taken(looked: Column) -> Column:
     A piece begins where a match may begin and ends before the next such place; a value may reach over several pieces, and those
     places are then passed over.
     """
-    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<struct<cut:int,taken:boolean>>").alias("out"))
+    steps = F.array().cast("array<struct<cut:int,taken:boolean>>")
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<array<struct<cut:int,taken:boolean>>>").alias("done"), steps.alias("open"))
 
+    # Steps are gathered in short arrays, as an array is copied whenever a step is added.
     def turn(state: Column, x: Column) -> Column:
         taken = (state["over"] == 0) & (x["reach"] > 0)
         reach = F.when(taken, x["reach"]).otherwise(state["over"])
-        step = F.struct(F.least(reach, x["size"]).alias("cut"), taken.alias("taken"))
-        return F.struct(F.greatest(reach - x["size"], F.lit(0)).alias("over"), F.concat(state["out"], F.array(step)).alias("out"))
+        step = F.array(F.struct(F.least(reach, x["size"]).alias("cut"), taken.alias("taken")))
+        full = F.size(state["open"]) == STEPS
+        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        return F.struct(F.greatest(reach - x["size"], F.lit(0)).alias("over"), done.alias("done"), F.when(full, step).otherwise(F.concat(state["open"], step)).alias("open"))
 
-    return F.aggregate(looked, start, turn, lambda state: state["out"])
+    return F.aggregate(looked, start, turn, lambda state: F.concat(F.flatten(state["done"]), state["open"]))
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
