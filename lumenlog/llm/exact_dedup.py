@@ -84,7 +84,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: of equal texts one row with the smallest id, null ids last."""
+    """The rows that stay, with all their columns: of equal texts one row with the smallest id, null ids last.
+
+    Ids may repeat or be null: rows are told apart by a number of their own, and of several rows with the smallest id the one that
+    was written first stays. A null text equals an empty one; whole texts are compared, however long. Other columns are carried
+    along, whatever their names. An empty table gives an empty result.
+    """
     rows, row = numbered(df, "exact-rows")
     shared = _members(rows, id_col, text_col, row).filter("node IS NOT NULL")
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))["row"]

@@ -178,7 +178,9 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents whose language can be told, with it in place of the given one; texts that are null or without a letter go.
 
     The model learns from the labelled rows that ``remainder`` modulo 5 does not hold out; where there are none, languages stay as
-    they are. Rows are judged where they lie, so nothing is shuffled and ids need not be unique.
+    they are. Rows are judged where they lie, so nothing is shuffled and ids need not be unique: repeated rows are judged alike and
+    all stay or go. Of equally likely languages the first by name is taken. Other columns are carried along, whatever their names.
+    An empty table gives an empty result.
     """
     model = train(df.filter(remainder(id_col, 5) != 0), id_col, text_col, lang_col)
     if not model.languages:

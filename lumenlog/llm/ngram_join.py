@@ -441,7 +441,12 @@ def _key(name: str):
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row of each group of similar texts, with all columns: one with the smallest id, null ids last."""
+    """One row of each group of similar texts, with all columns: one with the smallest id, null ids last.
+
+    Ids may repeat or be null: rows are told apart by a number of their own, and of several rows with the smallest id the one that
+    was written first stays. A text that is null or has no words is similar to none and stays; whole texts are compared, however
+    long. Other columns are carried along, whatever their names. An empty table gives an empty result.
+    """
     rows, row = numbered(df, "similar-rows")
     found = jaccard_components(rows, row, text_col, n, percent).select(F.col(row).alias("row"), "component_id")
     named = found.join(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")), "row")
