@@ -1,7 +1,8 @@
 """The corpus pipeline: languages, exact copies, similar texts, source mix, packed sequences.
 
 Each stage reads what the one before wrote and works on all of it. Inputs and results are tables of ``documents`` columns; the last
-stage returns the packing.
+stage returns the packing. All stages read whole texts, however long, take ids that repeat or are null, and give an empty result for
+an empty table; all but the last carry other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,19 +42,22 @@ def stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
 
 @stage
 def languages(docs: DataFrame) -> DataFrame:
-    """Documents get the language their text is in; texts that are null or without a letter go. Repeated rows are judged alike."""
+    """Documents get the language their text is in; texts that are null or without a letter go. Repeated rows are judged alike, and
+    of equally likely languages the first by name is taken."""
     return langid.keep_identified(docs)
 
 
 @stage
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """Of equal texts one row with the smallest id stays, null ids last; a null text equals an empty one."""
+    """Of equal texts one row with the smallest id stays, null ids last (of several with that id the one written first); a null text
+    equals an empty one."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 @stage
 def similar_texts(docs: DataFrame) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles, one row with the smallest id stays, null ids last."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles, one row with the smallest id stays, null ids
+    last (of several with that id the one written first). Texts that are null or without words are linked with none and stay."""
     return ngram_join.drop_similar(docs, n=5, percent=80)
 
 
