@@ -126,6 +126,32 @@ def test_sparse_search(spark, folder):
     assert got == [(d, round(v, 9)) for d, v in expected]
 
 
+def test_many_searches_in_shards_and_blocks(spark, folder, monkeypatch):
+    """Many queries against all scores; ids that repeat, and queries that repeat, add up."""
+    rng = np.random.default_rng(5)
+    texts = [(int(i), " ".join(f"w{min(40, rng.zipf(1.3))}" for _ in range(rng.integers(1, 60)))) for i in range(300)] + [(3, "w1 w2 w39"), (4, None)]
+    asked = [(int(i % 70) if i else None, [f"w{x}" for x in rng.integers(1, 42, 6)]) for i in range(90)]
+    for name, most in (("SHARD_DOCUMENTS", 37), ("BLOCK_QUERIES", 30), ("STORED_PAIRS", 16), ("COUNTED_TERMS", 100)):
+        monkeypatch.setattr(postings, name, most)
+    postings.add_documents(spark.createDataFrame(texts, "doc_id int, text string"), folder, "doc_id", "text", "0")
+    hits = postings.search(spark, folder, spark.createDataFrame(asked, "query_id int, words array<string>"), 5).collect()
+    split = [(i, (t or "").split()) for i, t in texts]
+    n, avg = len(split), sum(len(t) for _, t in split) / len(split)
+    df = {w: sum(w in t for _, t in split) for _, t in split for w in t}
+    scores = {}
+    for q, words in asked:
+        for w in set(words) & set(df):
+            for i, t in split:
+                if c := t.count(w):
+                    part = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / avg))
+                    scores.setdefault(q, {}).setdefault(i, []).append(part)
+    for q, all_ in scores.items():
+        best = sorted((-round(sum(v), 9), i) for i, v in all_.items())[:5]
+        got = [(-round(r["score"], 9), r["vec_id"]) for r in sorted((r for r in hits if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == best, q
+    assert {r["query_id"] for r in hits} == set(scores)
+
+
 def test_hybrid_fusion(spark, corpus):
     rows, vectors, ids = corpus
     sparse = spark.createDataFrame([(int(ids[9]), 3.0, 1), (int(ids[0]), 2.0, 2)], "vec_id long, score double, rank int")
