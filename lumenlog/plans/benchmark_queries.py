@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenlog.operators import benchmarks as b
 from lumenlog.plans.registry import query, r, rounded
 from lumenlog.plans.search_queries import CELLS, recalls
+from lumenlog.session import materialize
 
 OK = "FROM bench WHERE error IS NULL"
 
@@ -57,6 +58,6 @@ def _(c):
 
 @query("recall_gate", "SELECT CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS old_recall, true AS passed UNION ALL SELECT CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), false")
 def _(c):
-    good = recalls(c, CELLS)
+    good = materialize(recalls(c, CELLS), "recalls")  # the gate reads it four times
     bad = good.withColumn("recall", F.col("recall") - 1)
     return b.recall_gate(good, good).unionByName(b.recall_gate(bad, good))
