@@ -49,22 +49,31 @@ def _processor(most: int, delay_seconds: int) -> StatefulProcessor:
             if key[0] is None:
                 return  # a tick: it only moves the watermark
             told = [r for r in rows if r["at"] is not None and r["ok"] is not None]
+            if not told:
+                return
+            # The state is read and written once for a batch, however many outcomes it has.
+            held = self.state.get() if self.state.exists() else None
+            tries, error, priority, due = held or (0, None, None, None)
+            waiting = due
             # Outcomes of one batch in the order of their time; equal times: failures first, so that a success stands.
             for r in sorted(told, key=lambda r: (r["at"], r["ok"], r["error"] or "")):
-                held = self.state.get() if self.state.exists() else None
-                tries, due = (held[0], held[3]) if held else (0, None)
-                if due is not None:
-                    self.handle.deleteTimer(due)
                 if r["ok"]:
-                    self.state.clear()
                     yield action(key, "done", tries, None, r["priority"], millis(r["at"]))
+                    tries, due = 0, None
                 elif tries + 1 >= most:
-                    self.state.clear()
                     yield action(key, "dead", tries + 1, r["error"], r["priority"], millis(r["at"]))
+                    tries, due = 0, None
                 else:
                     due = millis(r["at"]) + delay_seconds * 1000 * 2**tries
-                    self.handle.registerTimer(due)
-                    self.state.update((tries + 1, r["error"], r["priority"], due))
+                    tries, error, priority = tries + 1, r["error"], r["priority"]
+            if waiting is not None and waiting != due:
+                self.handle.deleteTimer(waiting)
+            if due is not None and due != waiting:
+                self.handle.registerTimer(due)
+            if tries:
+                self.state.update((tries, error, priority, due))
+            elif held:
+                self.state.clear()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             if self.state.exists():
