@@ -6,7 +6,7 @@ any other; rankings run on the aggregated rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.contracts import COUNTABLE_FIELDS, ERROR_SEVERITIES, ERROR_TYPE_PATTERN
@@ -118,15 +118,23 @@ def services_hourly(df: DataFrame, requests_only: bool = False) -> DataFrame:
     rows = df.filter(F.col("log_date").isNotNull())
     if requests_only:
         rows = rows.filter(F.col("http_latency_ms").isNotNull() | F.col("is_request"))
-    hour = F.date_trunc("HOUR", "event_timestamp").alias("hour")
-    return rows.groupBy("log_date", hour, "service_name", "environment", "severity").agg(
-        F.count("*").alias("log_count"),
-        count_if(F.col("is_error")).alias("error_count"),
-        count_if(F.col("is_request")).alias("request_count"),
-        F.avg("http_latency_ms").alias("avg_latency_ms"),
-        quantile("http_latency_ms", 0.50).alias("p50_latency_ms"),
-        quantile("http_latency_ms", 0.95).alias("p95_latency_ms"),
-        quantile("http_latency_ms", 0.99).alias("p99_latency_ms"),
+    hour = F.date_trunc("HOUR", "event_timestamp")
+    keys, value = ["log_date", "hour", "service_name", "environment", "severity"], F.col("http_latency_ms")
+    # Rows of a latency are counted before they are moved; only their counts are sorted, and no sketch of a small group is sent around.
+    counted = rows.withColumn("hour", hour).groupBy(*keys, "http_latency_ms").agg(
+        F.count("*").alias("log_count"), count_if(F.col("is_error")).alias("error_count"), count_if(F.col("is_request")).alias("request_count"), F.count("http_latency_ms").alias("_n")
+    )
+    group = Window.partitionBy(*keys)
+    counted = counted.withColumns({"_upto": F.sum("_n").over(group.orderBy("http_latency_ms")), "_all": F.sum("_n").over(group)})
+    at = lambda f: F.min(F.when(F.col("_upto") >= F.ceil(F.lit(f) * F.col("_all")), value))
+    return counted.groupBy(*keys).agg(
+        F.sum("log_count").alias("log_count"),
+        F.sum("error_count").alias("error_count"),
+        F.sum("request_count").alias("request_count"),
+        F.try_divide(F.sum(value * F.col("_n")), F.sum("_n")).alias("avg_latency_ms"),
+        at(0.50).alias("p50_latency_ms"),
+        at(0.95).alias("p95_latency_ms"),
+        at(0.99).alias("p99_latency_ms"),
     )
 
 
