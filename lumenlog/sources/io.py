@@ -204,14 +204,15 @@ def loadable(df: DataFrame, batch_id: str, loaded_at: str, version: str = "1.0.0
     )
 
 
-def write_clustered(df: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append") -> None:
+def write_clustered(df: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append", placed: bool = False) -> None:
     """Partition and cluster layout.
 
     Rows are rebalanced by partition value: adaptive execution cuts a day that holds a large share of the rows into files of
     the advisory size and merges small days, with no sampling pass over the input. Sorting inside the files gives their row
-    groups narrow min/max bounds on the cluster keys.
+    groups narrow min/max bounds on the cluster keys. Rows that lie by partition value in pieces of bounded size (``placed``) stay there.
     """
-    df.hint("rebalance", partition).sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
+    rows = df if placed else df.hint("rebalance", partition)
+    rows.sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
