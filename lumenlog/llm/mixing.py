@@ -28,7 +28,7 @@ MOST_SOURCES = 100_000
 STREAM_ROWS = 4096
 CHUNK_SLOTS = 1 << 16
 GOLDEN = np.uint64(11400714819323198485)
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from lumenlog.llm.graph import components
 from lumenlog.llm.marks import marked, marks, numbered, without_ids
 from lumenlog.session import materialize
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Sets a task remembers to send each once; forgetting some only sends them again.
 REMEMBERED_SETS = 1_000_000
 #: Sets that share a fragment and are compared in one go.
