@@ -88,9 +88,10 @@ def exact_search(df: DataFrame, queries: DataFrame, k: int, dim: int, id_column:
     """query_id, vec_id, score, rank: the k best rows by cosine for every query; ties go to the smaller id.
 
     Parts of the table meet blocks of queries, both of bounded size. Rows and queries of another dimension, and all zeros, take no part.
+    Vectors are stored before they are checked, counted and met, so those made from texts are made once.
     """
-    rows = df.filter(indexable(vector, dim)).select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-    queries = queries.filter(indexable("vector", dim))
+    rows = materialize(df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("vector")), "search-rows").filter(indexable("vector", dim))
+    queries = materialize(queries, "search-queries").filter(indexable("vector", dim))
     parts, blocks = (max(1, -(-t.count() // most)) for t, most in ((rows, PART_ROWS), (queries, BLOCK_QUERIES)))
     rows = rows.select("id", "vector", _dealt("id", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = queries.select("query_id", "vector", _dealt("query_id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

@@ -92,3 +92,18 @@ def test_recall_of_the_registered_index(spark):
 
     got = recalls(Tables(spark, "/root/testdata/sf0.01"), PROBES)
     assert got.agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_exact_search_makes_each_vector_once(spark, small):
+    rows = some(5, 60)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def copy(x):
+        made.add(1)
+        return x
+
+    df = frame(spark, rows).withColumn("embedding", copy("embedding"))
+    asked = v.as_queries(frame(spark, rows), F.col("vec_id") % 10 == 0)
+    assert found(v.exact_search(df, asked, 7, 8)) == plain(rows, range(0, 60, 10), 7)
+    assert made.value == len(rows)
