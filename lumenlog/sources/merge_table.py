@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenlog.session import pieces
+
+#: Stored bytes of a bucket that are merged in one task.
+BUCKET_BYTES = 64 << 20
 DELETED = "_deleted"
 _EMPTY = {"version": 0, "buckets": 0, "base": {}, "deltas": [], "applied": {}, "schema": None}
 
@@ -82,32 +86,49 @@ def upsert(changes: DataFrame, path: str, key: str, order: str, batch: int, sour
     return True
 
 
-def _newest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key with the highest order; a deletion wins over a change of the same order, then the row's hash decides."""
-    rest = [c for c in rows.columns if c != key]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, DELETED, F.xxhash64(*rest))).alias("_row"))
-    return latest.select(key, "_row.*").select(*rows.columns)
+def _stored(spark: SparkSession, path: str, at: dict, folders: list[str]) -> DataFrame | None:
+    """The rows of some folders of the table."""
+    schema = T.StructType.fromJson(json.loads(at["schema"]))
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in folders]) if folders else None
 
 
-def _merged(spark: SparkSession, path: str, at: dict, key: str, order: str, base: list[str] | None = None) -> DataFrame:
-    schema = T.StructType.fromJson(json.loads(at["schema"]))
-    folders = [f"{path}/{f}" for f in (at["base"].values() if base is None else base)]
-    held = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
-    if not at["deltas"]:
-        return held
-    changes = spark.read.schema(schema).parquet(*[f"{path}/{d}" for d in at["deltas"]])
+def _hashed(rows: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """Some columns of rows, with a hash of all of them but the key."""
+    return rows.select(*kept, F.xxhash64(*[c for c in rows.columns if c != key]).alias("_hash"))
+
+
+def _newest(rows: DataFrame, key: str, order: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """The row of each key with the highest order; a deletion wins over a change of the same order, then the row's hash decides.
+
+    Columns in ``within`` depend on the key; rows that are placed by them are not moved again.
+    """
+    rest = [c for c in rows.columns if c not in (key, "_hash", *within)]
+    latest = rows.groupBy(*within, key).agg(F.max_by(F.struct(*rest), F.struct(order, DELETED, "_hash")).alias("_row"))
+    return latest.select(key, *within, "_row.*").select(*[c for c in rows.columns if c != "_hash"])
+
+
+def _merged(spark: SparkSession, path: str, at: dict, key: str, order: str, kept: list[str]) -> DataFrame:
+    held, changes = _stored(spark, path, at, [*at["base"].values()]), _stored(spark, path, at, at["deltas"])
+    if changes is None:
+        return held.select(*kept)
+    if held is None:
+        return _newest(_hashed(changes, key, kept), key, order)
     # Rows whose key no batch has pass by without being moved, as long as the batches' keys are few enough to be sent around.
     keys = changes.select(F.col(key).alias("_key")).distinct()
-    same = held[key].eqNullSafe(keys["_key"])
-    return held.join(keys, same, "left_anti").unionByName(_newest(held.join(keys, same, "left_semi").unionByName(changes), key, order))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    again = _hashed(held, key, kept).join(keys, same, "left_semi").unionByName(_hashed(changes, key, kept))
+    return held.select(*kept).join(keys, same, "left_anti").unionByName(_newest(again, key, order))
 
 
-def read(spark: SparkSession, path: str, key: str, order: str, version: int | None = None) -> DataFrame:
-    """The newest version of every key that is not deleted, as of one manifest."""
+def read(spark: SparkSession, path: str, key: str, order: str, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The newest version of every key that is not deleted, as of one manifest; with ``columns`` only these of it are moved."""
     at = manifest(spark, path, version)
     if at["schema"] is None:
         raise ValueError(f"no table at {path}")
-    return _merged(spark, path, at, key, order).filter(~F.col(DELETED)).drop(DELETED)
+    names = T.StructType.fromJson(json.loads(at["schema"])).names
+    kept = [n for n in names if columns is None or n in (key, order, DELETED, *columns)]
+    rows = _merged(spark, path, at, key, order, kept).filter(~F.col(DELETED)).drop(DELETED)
+    return rows if columns is None else rows.select(*columns)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -115,16 +136,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def compact(spark: SparkSession, path: str, key: str, order: str) -> None:
-    """Fold all batches into the buckets they touch. Deletions stay as marks, so that a late change cannot bring a key back."""
+    """Fold all batches into the buckets they touch. Deletions stay as marks, so that a late change cannot bring a key back.
+
+    Rows are moved once, to their bucket, or to one of its parts where a bucket is large, and merged there.
+    """
     at = manifest(spark, path)
     if not at["deltas"]:
         return
-    changes = spark.read.schema(T.StructType.fromJson(json.loads(at["schema"]))).parquet(*[f"{path}/{d}" for d in at["deltas"]])
+    changes = _stored(spark, path, at, at["deltas"])
     touched = [str(r[0]) for r in changes.select(_bucket(key, at["buckets"])).distinct().collect()]  # at most one row per bucket
     old = [at["base"][b] for b in touched if b in at["base"]]
-    merged = _merged(spark, path, at, key, order, old).withColumn("bucket", _bucket(key, at["buckets"]))
+    rows = _stored(spark, path, at, old + at["deltas"])
+    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("part")), F.lit(-(-pieces(rows, BUCKET_BYTES) // at["buckets"])))
+    placed = _hashed(rows, key, rows.columns).withColumns({"bucket": _bucket(key, at["buckets"]), "part": part}).repartition("bucket", "part")
+    merged = _newest(placed, key, order, ("bucket", "part")).drop("part")
     name = f"base/{uuid.uuid4().hex}"
-    merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    merged.write.partitionBy("bucket").parquet(f"{path}/{name}")
     base = at["base"] | {b: f"{name}/bucket={b}" for b in touched}
     _commit(spark, path, at | {"version": at["version"] + 1, "base": base, "deltas": []})
 

@@ -116,31 +116,34 @@ def embed_documents(
     and a document without a text, or whose id is in ``deleted`` (a column ``doc_id``), keeps no chunk; rows without an id are left out.
     If a batch has several texts for a document one of them is taken, the same one on every run. Chunks whose text is stored already
     are left alone, and a text that several chunks share is embedded once. Read the table with ``documents_table``.
+
+    What is new is told from keys and hashes; of the texts only one copy of each is moved, once, to be embedded.
     """
     spark: SparkSession = docs.sparkSession
     if batch <= merge_table.manifest(spark, target)["applied"].get("documents", -1):
         return False
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", tenant, F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text"))
-    several = docs.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.xxhash64("text")).alias("_hash")).filter("_n > 1").drop("_n")
-    docs = docs.join(several, "doc_id", "left").filter(F.col("_hash").isNull() | (F.col("_hash") == F.xxhash64("text"))).drop("_hash")
+    several = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.xxhash64("text")).alias("_hash")).filter("_n > 1").drop("_n"), "several-texts")
+    if not several.isEmpty():
+        docs = docs.join(several, "doc_id", "left").filter(F.col("_hash").isNull() | (F.col("_hash") == F.xxhash64("text"))).drop("_hash")
     rows = textprep.chunk_rows(docs.filter("text <> ''"), "doc_id", "text", max_size).drop("text")
     rows = materialize(rows.withColumns({"text_hash": F.sha2("chunk_text", 256), "version": F.lit(batch).cast("long")}), "chunks")
-    fresh, gone = rows, None
+    fresh, gone = rows.drop("chunk_text"), None
     if merge_table.exists(spark, target):
         touched = docs.select("doc_id") if deleted is None else docs.select("doc_id").unionByName(deleted.select("doc_id"))
-        stored = documents_table(spark, target).select("chunk_id", "doc_id", "text_hash", "total_chunks").join(touched.distinct(), "doc_id", "left_semi")
+        stored = documents_table(spark, target, ["chunk_id", "doc_id", "text_hash", "total_chunks"]).join(touched.distinct(), "doc_id", "left_semi")
         stored = materialize(stored, "stored-chunks")
-        fresh = rows.join(stored, ["chunk_id", "text_hash", "total_chunks"], "left_anti")
+        fresh = fresh.join(stored, ["chunk_id", "text_hash", "total_chunks"], "left_anti")
         gone = stored.join(rows, "chunk_id", "left_anti").select("chunk_id", F.lit(batch).cast("long").alias("version"))
-    texts = fresh.groupBy("text_hash").agg(F.min("chunk_id").alias("chunk_id"))
-    once = textprep.embed(fresh.join(texts, ["text_hash", "chunk_id"], "left_semi").select("text_hash", "chunk_text").dropDuplicates(["text_hash"]), "chunk_text", dim)
-    points = fresh.dropDuplicates(["chunk_id"]).join(once.select("text_hash", "embedding").filter(F.col("embedding").isNotNull()), "text_hash")
-    return merge_table.upsert(points, target, "chunk_id", "version", batch, "documents", gone)
+    fresh = materialize(fresh.dropDuplicates(["chunk_id"]), "fresh-chunks")
+    texts = rows.groupBy("text_hash").agg(F.first("chunk_text").alias("chunk_text")).filter(F.lower("chunk_text").rlike(r"(?U)\w"))  # others have no vector
+    once = textprep.embed(texts.join(fresh, "text_hash", "left_semi"), "chunk_text", dim)
+    return merge_table.upsert(fresh.join(once, "text_hash"), target, "chunk_id", "version", batch, "documents", gone)
 
 
-def documents_table(spark: SparkSession, target: str) -> DataFrame:
-    """The chunks that ``embed_documents`` keeps."""
-    return merge_table.read(spark, target, "chunk_id", "version")
+def documents_table(spark: SparkSession, target: str, columns: list[str] | None = None) -> DataFrame:
+    """The chunks that ``embed_documents`` keeps, or some columns of them."""
+    return merge_table.read(spark, target, "chunk_id", "version", columns=columns)
 
 
 def ingest_logs(payload: DataFrame, target: str, quarantine: str, batch: int, allowed: list[str], required: list[str], dim: int = 64) -> bool:

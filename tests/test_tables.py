@@ -536,3 +536,39 @@ def test_retries(spark):
     again, dead = jobs.split_retries(df)
     assert [r["job_id"] for r in again.collect()] == [1] and [r["job_id"] for r in dead.collect()] == [2]
     assert jobs.redrive(dead).first()["retry_count"] == 0
+
+
+def test_embed_documents_moves_each_text_once(spark, folder, monkeypatch):
+    """One exchange below the stored points has texts under it: that of the distinct texts."""
+    from lumenlog.streaming import etl
+
+    plans, upsert = [], merge_table.upsert
+
+    def kept(changes, *more):
+        plans.append(changes._jdf.queryExecution().executedPlan().toString().splitlines())
+        return upsert(changes, *more)
+
+    monkeypatch.setattr(merge_table, "upsert", kept)
+    path = f"{folder}/vectors"
+    docs = spark.createDataFrame([(i, "s", f"text {i % 40}") for i in range(400)], "doc_id long, source string, text string")
+    assert etl.embed_documents(docs, path, 0) and len(points(spark, path)) == 400
+    (lines,) = plans
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    moving = 0
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith("Exchange"):
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            moving += any("FileScan" in x and "chunk_text" in x for x in lines[i + 1 : end])
+    assert moving == 1
+
+
+def test_some_columns_of_a_merge_table(spark, folder):
+    path = f"{folder}/t"
+    for number, v in enumerate(("a", "b")):
+        rows = spark.createDataFrame([(k, number, v, "x" * k) for k in range(number, 5)], "k long, o long, v string, more string")
+        merge_table.upsert(rows, path, "k", "o", number)
+        want = sorted((r["v"], r["k"]) for r in merge_table.read(spark, path, "k", "o").collect())
+        assert sorted(map(tuple, merge_table.read(spark, path, "k", "o", columns=["v", "k"]).collect())) == want
+        if not number:
+            merge_table.compact(spark, path, "k", "o")
+    assert want == [("a", 0), *[("b", k) for k in range(1, 5)]]
