@@ -19,6 +19,9 @@ from lumenlog.session import collected_scratch, materialize, remove_scratch
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Bytes of a batch that goes to a Python worker; executors and their workers stay for all stages, and each keeps some batches' memory.
+BATCH_BYTES = 2 << 20
+
 #: Scratch folders of the stage before, by application.
 _scratch: dict[str, list[str]] = {}
 
@@ -29,7 +32,7 @@ def stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
 
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_code(spark)
+        ship_code(spark, BATCH_BYTES)
         app = spark.sparkContext.applicationId
         left = remove_scratch(spark, _scratch.pop(app, []), docs)
         with collected_scratch() as made:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions.ordered import running_sum
 from lumenlog.llm import words as W
 from lumenlog.llm.marks import numbered
-from lumenlog.session import materialize
+from lumenlog.session import local_table, materialize
 
 BLOCK_WORDS = 1024
 MOST_REPEATS = 3
@@ -81,7 +81,7 @@ def _schedule(spark, need: list[int]) -> DataFrame:
     """(slot, sid, rank): which source fills each slot; source i fills exactly ``need[i]`` slots, ranked from 0."""
     slots, kinds = sum(need), "slot bigint, sid int, rank bigint"
     if not slots:
-        return spark.createDataFrame([], kinds)
+        return local_table(spark, [], kinds)
     edges = np.cumsum(np.asarray(need, np.float64)) / slots
     chunks = spark.range(0, -(-slots // CHUNK_SLOTS))
     drawn = materialize(chunks.mapInArrow(_points(edges, slots), "chunk bigint, slot bigint, sid int, rank bigint"), "mix-points")
@@ -97,9 +97,9 @@ def _schedule(spark, need: list[int]) -> DataFrame:
         if have < n:
             missing.append((sid, have, n - 1, at))
             at += n - have
-    known = spark.createDataFrame(wanted, "sid int, need bigint")
+    known = local_table(spark, wanted, "sid int, need bigint")
     ranked = ranked.join(known, "sid").filter("rank < need").select("slot", "sid", "rank")
-    late = spark.createDataFrame(missing, "sid int, low bigint, high bigint, at bigint").withColumn("rank", F.explode(F.sequence("low", "high")))
+    late = local_table(spark, missing, "sid int, low bigint, high bigint, at bigint").withColumn("rank", F.explode(F.sequence("low", "high")))
     return ranked.unionByName(late.select((F.col("at") + F.col("rank") - F.col("low")).alias("slot"), "sid", "rank"))
 
 
@@ -127,7 +127,7 @@ class Mix:
         target = targets(sizes, shares)
         take = [int(t + Fraction(1, 2)) for t in target]
         table = [(i, r["source"], r["size"], float(t), -(-r["size"] // block_words), n // r["size"] if r["size"] else 0, n % r["size"] if r["size"] else 0) for i, (r, t, n) in enumerate(zip(totals, target, take))]
-        known = spark.createDataFrame(table, "sid int, source string, source_size bigint, target double, blocks bigint, epochs bigint, rest bigint")
+        known = local_table(spark, table, "sid int, source string, source_size bigint, target double, blocks bigint, epochs bigint, rest bigint")
         named = known.withColumnRenamed("source", "_source")
         self.rows = sized.join(F.broadcast(named), sized["source"].eqNullSafe(named["_source"])).select("uid", "id", "source", "sid", "size", "source_size", "target")
 

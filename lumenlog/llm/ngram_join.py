@@ -33,6 +33,8 @@ REMEMBERED_SETS = 1_000_000
 #: Sets that share a fragment and are compared in one go.
 GROUP_SETS = 256
 BLOCK_NGRAMS = 200_000
+#: N-grams a task gives back at a time.
+SENT_NGRAMS = 1 << 18
 BLOCK_SETS = 512
 OVERLAP_WIDTH = 2048
 
@@ -306,7 +308,7 @@ def _grams(n: int):
                 names.append(_signature(grams))
                 sets.append(grams.view(np.int64))
                 size += len(grams)
-                if size > 1_000_000:
+                if size > SENT_NGRAMS:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sets)], names=["name", "grams"])
                     names, sets, size = [], [], 0
             if names:

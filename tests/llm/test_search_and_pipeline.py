@@ -118,3 +118,29 @@ def test_clean_documents_stay(spark):
 def test_registered_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_small_tables_and_batches_keep_executors_small(spark, monkeypatch):
+    """Tables of the driver's rows need no Python workers of their own, and the pipeline's stages hand on small batches."""
+    import corpus_pipeline
+    from pyspark.sql import SparkSession
+
+    from lumenlog.session import local_table
+
+    rows = [(1, None, 1 << 40, 0.5), (2, "é\x00", None, 1e300)]
+    table = local_table(spark, rows, "sid int, source string, n bigint, t double")
+    assert [tuple(r) for r in table.collect()] == rows and table.dtypes == [("sid", "int"), ("source", "string"), ("n", "bigint"), ("t", "double")]
+    assert local_table(spark, [], "sid int, source string").collect() == []
+    docs = spark.createDataFrame([(i, "abc def ghi " * i, "en", f"s{i % 3}") for i in range(1, 30)], "doc_id bigint, text string, lang string, source string")
+    scans, create = [], SparkSession.createDataFrame
+
+    def created(self, *args, **kwargs):
+        made = create(self, *args, **kwargs)
+        scans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(SparkSession, "createDataFrame", created)
+    corpus_pipeline.languages(spark, docs, "").count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    corpus_pipeline.source_mix(spark, docs, "").count()
+    assert len(scans) >= 3 and all("LocalTableScan" in s and "ExistingRDD" not in s for s in scans)
