@@ -68,7 +68,7 @@ def failing(df: DataFrame, filters: dict[str, Column], id_col: str, text_col: st
 def flagged(rows: DataFrame, labels: DataFrame, id_col: str, flags: dict[str, Column]) -> DataFrame:
     """``rows`` with a flag for each condition that some label row of the id meets. Null ids have no labels."""
     held = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(f) for f, c in flags.items()])
-    joined = rows.join(held, "id", "left")
+    joined = rows.join(held.hint("merge"), "id", "left")
     return joined.select("row", "part", *[F.coalesce(f, F.lit(False)).cast("int").alias(f) for f in flags])
 
 
@@ -82,7 +82,8 @@ def audit(df: DataFrame, labels: DataFrame, filters: dict[str, Column] | None =
     ``MOST_FILTERS`` filters, since orders are their factorial.
 
     Row numbers, parts and flags are all that is shuffled; a row is in the lattice 2^filters times, whatever its part or text. The
-    key (set, row) is unique, so no task gets more than its share. Counts are combined before they move.
+    key (set, row) is unique, so no task gets more than its share. Counts are combined before they move. The joins merge: a size that is
+    estimated from the files knows neither that they are packed nor that a row has many sets, and would send the lattice through the driver.
     """
     filters = text_filters(F.col("t")) if filters is None else filters
     flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1} if flags is None else flags
@@ -98,11 +99,12 @@ def audit(df: DataFrame, labels: DataFrame, filters: dict[str, Column] | None =
     sets = F.sequence(F.lit(0), F.lit(every))
     inside = F.col("set").bitwiseAND(F.col("bit")) != 0
     struck = fails.withColumn("set", F.explode(sets)).filter(inside)
-    left = documents.withColumn("set", F.explode(sets)).join(struck.select("set", "row"), ["set", "row"], "left_anti")
+    left = documents.withColumn("set", F.explode(sets)).join(struck.select("set", "row").hint("merge"), ["set", "row"], "left_anti")
     # The other way round: a filter's failing rows against what a set without it leaves.
-    asked = fails.join(documents, "row").withColumn("set", F.explode(sets)).filter(~inside)
-    taken = asked.join(left.select("set", "row"), ["set", "row"], "left_semi")
-    missed = asked.join(left.select("set", "row"), ["set", "row"], "left_anti")
+    asked = fails.join(documents.hint("merge"), "row").withColumn("set", F.explode(sets)).filter(~inside)
+    there = left.select("set", "row").hint("merge")
+    taken = asked.join(there, ["set", "row"], "left_semi")
+    missed = asked.join(there, ["set", "row"], "left_anti")
 
     measures = ["kept", "removed", "redundant", *[f"{f}_lost" for f in flags]]
 

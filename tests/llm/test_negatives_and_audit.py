@@ -158,3 +158,12 @@ def test_audit_of_nothing_and_of_own_filters(spark):
     }
     with pytest.raises(ValueError):
         filter_audit.audit(frame, labels, {str(i): F.lit(True) for i in range(9)})
+
+
+def test_audit_sends_no_lattice_through_the_driver(spark):
+    """However small the stored tables look, rows with their sets, failing rows and labels meet by merging."""
+    rows = [(i, f"text {i}", "en", None) for i in range(20)]
+    got = filter_audit.audit(cases.table(spark, rows), spark.createDataFrame([(1, 1, 0, "p", 1)], LABELS))
+    assert len(got.collect()) == 600
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
