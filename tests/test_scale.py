@@ -152,6 +152,24 @@ def test_many_searches_in_shards_and_blocks(spark, folder, monkeypatch):
     assert {r["query_id"] for r in hits} == set(scores)
 
 
+def test_postings_are_moved_once_for_all_blocks_of_queries(spark, folder, monkeypatch):
+    """What a search stores are the asked postings, each once, and at most k rows of a task for a query; no copy for a block or a shard."""
+    import pyarrow as pa
+
+    docs, queries = 200, 90
+    postings.add_documents(spark.createDataFrame([(i, f"w{i % 7} w{i % 11} both rare{i}") for i in range(docs)], "doc_id int, text string"), folder, "doc_id", "text", "0")
+    asked = spark.createDataFrame([(i, [f"w{i % 7}", "both", "nowhere"]) for i in range(queries)], "query_id int, words array<string>")
+    for name, most in (("SHARD_DOCUMENTS", 20), ("BLOCK_QUERIES", 10), ("MOST_TASKS", 3)):
+        monkeypatch.setattr(postings, name, most)
+    kept, materialize = {}, postings.materialize
+    monkeypatch.setattr(postings, "materialize", lambda df, label: kept.update({label: materialize(df, label)}) or kept[label])
+    hits = postings.search(spark, folder, asked, 4)
+    assert hits.count() == 4 * queries
+    stored = [pa.ipc.open_stream(bytes(r["postings"])).read_all().num_rows for r in kept["shards"].collect()]
+    assert len(stored) > 5 and sum(stored) == sum(len({f"w{i % 7}", f"w{i % 11}", "both"} & {f"w{j}" for j in range(7)}) + 1 for i in range(docs))
+    assert postings.search(spark, folder, asked.limit(0), 4).collect() == []
+
+
 def test_hybrid_fusion(spark, corpus):
     rows, vectors, ids = corpus
     sparse = spark.createDataFrame([(int(ids[9]), 3.0, 1), (int(ids[0]), 2.0, 2)], "vec_id long, score double, rank int")
