@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,9 @@ from lumenlog.functions.timewin import since
 from lumenlog.session import materialize
 from lumenlog.sources import membership
 
+#: Rows of a piece that a load sorts and writes, and those that are worth a piece of their own while cores are idle.
+PIECE_ROWS, LEAST_ROWS = 1 << 17, 1 << 12
+
 # --- raw sinks --------------------------------------------------------------------------------------------------------
 
 
@@ -226,19 +230,26 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None, id_bits: int = membership.DAY_BITS) -> None:
+def append_logs(
+    df: DataFrame, path: str, batch_id: str, loaded_at: str, extracted: Observation | None = None, loaded: Observation | None = None, counts: list[Column] | None = None,
+    id_bits: int = membership.DAY_BITS, shape: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Append rows whose id is not stored yet; running it twice changes nothing.
 
     An id belongs to one day, as it is a hash of what the row is, its time included. Bitmaps of the stored ids, by day and beside the
     table, tell which ids of the batch may be stored already. Only these meet the stored ids, of the days between the batch's first
-    and last one and of the partition without a date. The observations get ``counts`` of the rows that came and of those that were
-    added, from the one pass that writes. ``id_bits`` is log2 of the bits of a day's bitmap in a table that has none yet.
+    and last one and of the partition without a date. The observations get ``counts`` of the rows that came, from the pass over their
+    ids, and of those that were added, from the one that writes. ``id_bits`` is log2 of the bits of a day's bitmap in a table that has
+    none yet. ``shape`` makes the stored rows, one of each row.
+
+    Rows are moved once, as they come and before ``shape`` widens them, into pieces by day and id, of a bounded number of rows. There
+    they meet the ids that are stored and their own copies, take their shape, are sorted and written.
     """
     spark, known = df.sparkSession, f"{path.rstrip('/')}_ids"
-    batch = loadable(df, batch_id, loaded_at)
-    ids = materialize(batch.select("log_id", "log_date"), "batch-ids")
-    if extracted is not None:
-        batch = batch.observe(extracted, *counts)
+    rows = df.withColumn("log_date", F.to_date("event_timestamp"))
+    came = rows if extracted is None else rows.observe(extracted, *counts)
+    ids = materialize(came.select("log_id", "log_date"), "batch-ids")
+    rows = rows.withColumn("_stored", F.lit(False))
     log2 = membership.size(spark, known)
     if table_exists(spark, path):
         stored = spark.read.parquet(path).select("log_id", "log_date")
@@ -250,14 +261,20 @@ def append_logs(df: DataFrame, path: str, batch_id: str, loaded_at: str, extract
         def held(day: str) -> Column:
             return F.col(day).isNull() if span["first"] is None else F.col(day).between(span["first"], span["last"]) | F.col(day).isNull()
 
-        suspects = membership.may_hold(spark, known, ids, "log_id", "log_date", held("day"), log2).select("log_id")
-        present = materialize(stored.filter(held("log_date")).join(suspects, "log_id", "left_semi").select("log_id").distinct(), "stored-ids")
-        batch, ids = batch.join(present, "log_id", "left_anti"), ids.join(present, "log_id", "left_anti")
-    membership.add(ids, known, "log_id", "log_date", log2 or id_bits)
-    batch = batch.dropDuplicates(["log_id"])
+        suspects = membership.may_hold(spark, known, ids, "log_id", "log_date", held("day"), log2)
+        present = materialize(suspects.join(stored.filter(held("log_date")).select("log_id"), "log_id", "left_semi").distinct(), "stored-ids")
+        rows = rows.unionByName(present.withColumn("_stored", F.lit(True)), allowMissingColumns=True)
+    membership.add(ids, known, "log_id", "log_date", log2 or id_bits)  # bits of stored ids are set already
+    size = ids.count()
+    wanted = max(1, -(-size // PIECE_ROWS), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_ROWS)))
+    by = [F.col("_day"), F.col("log_id")]
+    placed = rows.withColumn("_day", F.when(F.col("log_id").isNotNull(), F.col("log_date"))).repartitionByRange(wanted, *by)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_stored")))
+    fresh = placed.withColumn("_nth", nth).filter("_nth = 1 AND NOT _stored").drop("_nth", "_stored", "_day")
+    batch = loadable(fresh if shape is None else shape(fresh), batch_id, loaded_at)
     if loaded is not None:
         batch = batch.observe(loaded, *counts)
-    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"])
+    write_clustered(batch, path, "log_date", ["severity", "service_name", "resource_type"], placed=True)
 
 
 def keyed_upsert(target: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:

@@ -23,13 +23,17 @@ def records_of(sinks: dict[str, DataFrame], dataset: str, start: str | None = No
     return reduce(DataFrame.unionByName, parts)
 
 
+def unified(records: DataFrame) -> DataFrame:
+    """Raw records as classified unified rows, one of each."""
+    return normalize.classify_or_other(normalize.normalize_logs(records))
+
+
 def load(sinks: dict[str, DataFrame], dataset: str, target: str, batch_id: str, loaded_at: str, start: str | None = None) -> None:
     """Extract, normalise, classify and append; rows already stored are left alone, so a re-run changes nothing.
 
     A full load passes no ``start``; an incremental one passes the start of its look-back window.
     """
-    unified = normalize.classify_or_other(normalize.normalize_logs(records_of(sinks, dataset, start)))
-    io.append_logs(unified, target, batch_id, loaded_at)
+    io.append_logs(records_of(sinks, dataset, start), target, batch_id, loaded_at, shape=unified)
 
 
 JOBS = "job_id string, run int, mode string, stream_id string, status string, extracted bigint, loaded bigint, error string, seq int"
@@ -64,8 +68,8 @@ def run_load(
     """One load of the sinks named in ``sources``, recorded as job rows; returns its status.
 
     ``full`` takes everything, ``incremental`` the last ``hours``, ``stream`` the sinks named in ``only``; ``cleanup`` counts what is
-    older than ``days`` in the sources and loads nothing. All sinks go through one plan, and rows that came and rows that were added are
-    counted while it writes. A sink that cannot be opened is FAILED and the others are loaded, which makes the run PARTIAL; without
+    older than ``days`` in the sources and loads nothing. All sinks go through one plan; rows that came are counted while their ids are read, and
+    rows that were added while they are written. A sink that cannot be opened is FAILED and the others are loaded, which makes the run PARTIAL; without
     ``continue_on_error`` it, or any error of the load itself, makes the run FAILED. ``run`` counts upwards.
     """
     if mode not in MODES:
@@ -93,8 +97,7 @@ def run_load(
                 old = records.filter(F.col("event_timestamp") < F.lit(start).cast("timestamp")).agg(*counts).first().asDict()
                 came, added = old, {n: 0 for n in found}
             else:
-                unified = normalize.classify_or_other(normalize.normalize_logs(records))
-                io.append_logs(unified, target, f"run-{run}", as_of, extracted, loaded, counts)
+                io.append_logs(records, target, f"run-{run}", as_of, extracted, loaded, counts, shape=unified)
                 came, added = extracted.get, loaded.get
             rows += [row(n, "COMPLETED", came[n], added[n]) for n in found]
         status = "PARTIAL" if broken else "COMPLETED"

@@ -462,6 +462,40 @@ def test_load_records_failures(spark, folder):
         etl.run_load(spark, sinks, "d", f"{folder}/t", f"{folder}/jobs", 4, "2024-02-01 00:00:00", "sometimes")
 
 
+def test_load_moves_rows_once_before_they_are_widened(spark, folder, monkeypatch):
+    """Raw rows are placed by day and id; stored rows and copies are told there, and nothing that is parsed is moved."""
+    from lumenlog.streaming import etl
+
+    monkeypatch.setattr(io, "PIECE_ROWS", 3)
+    monkeypatch.setattr(io, "LEAST_ROWS", 2)
+    plans, widen, write = [], etl.normalize.normalize_logs, io.write_clustered
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(etl.normalize, "normalize_logs", lambda df: plan(df) or widen(df))
+    monkeypatch.setattr(io, "write_clustered", lambda df, *args, **more: plan(df) or write(df, *args, **more))
+
+    def sink(days):
+        rows = [(f"i{k}", None if k == 4 else f"2024-01-{k % 9 + 1:02d} 00:00:00", f"text {k}") for k in days]
+        return lambda: spark.createDataFrame(rows, "insertId string, t string, textPayload string").withColumn("timestamp", F.to_timestamp("t")).drop("t")
+
+    jobs = f"{folder}/jobs"
+    for run, (days, added) in enumerate((([*range(10), 3, 3, 4, 12], 11), ([*range(8, 30), 4, 20], 19), (range(30), 0))):
+        etl.run_load(spark, {"a": sink(days)}, "d", f"{folder}/t", jobs, run, "2024-02-01 00:00:00")
+        got = etl.job_rows(spark, jobs).filter(f"run = {run} AND stream_id = 'd.a'").first()
+        assert (got["status"], got["extracted"], got["loaded"]) == ("COMPLETED", len(days), added)
+        assert [p.count("Exchange") for p in plans[-2:]] == [p.count("Exchange rangepartitioning") for p in plans[-2:]] == [1, 1]
+    rows = spark.read.parquet(f"{folder}/t").collect()
+    assert sorted(r["message"] for r in rows) == sorted(f"text {k}" for k in range(30))
+    assert {r["insert_id"]: str(r["log_date"]) for r in rows} == {f"i{k}": "None" if k == 4 else f"2024-01-{k % 9 + 1:02d}" for k in range(30)}
+
+
+def test_append_keeps_one_row_of_an_id(spark, folder):
+    """Null ids are one id in a batch, and none that is stored; rows of an id are taken once, whatever else they hold."""
+    rows = [(None, "2024-01-01 00:00:00", "INFO", "a", "m"), (None, "2024-01-02 00:00:00", "INFO", "a", "m"), ("1", "2024-01-01 00:00:00", "INFO", "a", "m"), ("1", "2024-01-01 00:00:00", "ERROR", "b", "n"), ("2", None, "INFO", "a", "m")]
+    for batch, left in (("b1", 3), ("b2", 4)):
+        io.append_logs(log_frame(spark, rows), f"{folder}/t", batch, "2024-02-01 00:00:00")
+        assert spark.read.parquet(f"{folder}/t").count() == left
+
+
 def test_archive_adds_late_lines_once(spark, folder):
     rows = [("A", 1, 2.0, "b0"), ("A", 20, 4.0, "b0"), ("B", 10, 0.5, "b1"), ("A", 1, 6.0, "b2"), ("A", 1, None, "b2"), ("A", 28, 9.0, "b3")]
 
